@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, language_id, mixing, quality_knn, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality_knn": quality_knn.op2_quality_knn,
+        "op3_language_id": language_id.op3_language_id,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_sharding": sharding.op7_sharding,
         "op10_mixing": mixing.op10_mixing,
