@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality_knn, quality_rules, sharding, toxicity
+from . import exact_dedup, language_id, mixing, packing, quality_knn, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
         "op2_quality_knn": quality_knn.op2_quality_knn,
         "op3_language_id": language_id.op3_language_id,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
