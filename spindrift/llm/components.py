@@ -1,0 +1,29 @@
+"""Connected components of links between records, by Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: a, b. One row per record that has a link: `v`, `component` (the smallest record it reaches).
+
+    Each round takes the smallest label among neighbours and then the label of that label, so the number of rounds
+    grows with the logarithm of the longest path; every round's labels are a written table.
+    """
+    both = links.select("a", "b").where("a <> b").distinct()
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("l"))
+    labels = materialise(labels, "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("n"))
+        better = labels.join(near, "v").select("v", "l", F.least("l", "n").alias("m"))
+        better = materialise(better, "labels")
+        up = better.select(F.col("v").alias("m"), F.col("m").alias("j"))
+        moved = materialise(better.join(up, "m").select("v", F.col("j").alias("l"), (F.col("j") != F.col("l")).alias("moved")), "labels")
+        labels = moved.select("v", "l")
+        if moved.where("moved").isEmpty():
+            return labels.withColumnRenamed("l", "component")
