@@ -149,18 +149,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def fit_toxicity(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Learn from about `rows` rows of each class, chosen by a hash of the key.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    """Learn from about `rows` documents of each class, chosen among the labels by a hash of the key; the labels chosen,
+    2 * rows about, are sent to the documents, whose texts stay where they are.
 
     Three quarters give the n-gram counts, summed by Spark; the differences of the others, which no count has seen,
     give the line to the log-odds. A class without rows leaves the score at one half of nothing known.
     """
-    labelled = labelled.where(F.col(toxic).isin(0, 1)).select(F.xxhash64(key, F.lit("kn")).alias("_h"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    labels = labels.where(F.col(toxic).isin(0, 1)).select(F.col(key), F.xxhash64(key, F.lit("kn")).alias("_h"), F.col(toxic).cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     limit = F.lit(0)
     for k, m in n.items():
         limit = F.when(F.col("toxic") == k, F.lit(int(min(1.0, rows / m) * 1_000_000))).otherwise(limit)
-    chosen = labelled.where(F.pmod(F.shiftright("_h", 8), F.lit(1_000_000)) < limit)
+    chosen = labels.where(F.pmod(F.shiftright("_h", 8), F.lit(1_000_000)) < limit)
+    chosen = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
     first = F.pmod("_h", F.lit(4)) != 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,5 +201,5 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = fit_toxicity(docs.join(known, "doc_id"))
+    model = fit_toxicity(docs, known)
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
