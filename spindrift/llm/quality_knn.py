@@ -133,13 +133,14 @@ def _weigh(counts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_neighbours(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Neighbours:
-    """Learn from about `rows` rows chosen by a hash of the key: executors count terms, the driver gets sparse counts
-    of the sample and finds its leading singular vectors by randomised subspace iteration. Without rows every score
-    is one half."""
-    labelled = labelled.where(F.col(label).isin(0, 1))
-    share = min(1.0, rows / max(labelled.count(), 1))
-    chosen = labelled.where(F.pmod(F.xxhash64(key, F.lit("knn")), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit_neighbours(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Neighbours:
+    """Learn from about `rows` documents chosen among the labels by a hash of the key; those labels are sent to the
+    documents. Executors count terms, the driver gets sparse counts of the sample and finds its leading singular
+    vectors by randomised subspace iteration. Without rows every score is one half."""
+    labels = labels.where(F.col(label).isin(0, 1))
+    share = min(1.0, rows / max(labels.count(), 1))
+    chosen = labels.where(F.pmod(F.xxhash64(key, F.lit("knn")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = docs.select(key, text).join(F.broadcast(chosen.select(key, label)), key)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,5 +180,5 @@ def score_quality(df: DataFrame, model: Neighbours, text: str = "text") -> DataF
 def op2_quality_knn(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    model = fit_neighbours(docs.join(known, "doc_id"))
+    model = fit_neighbours(docs, known)
     return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
