@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality_knn, quality_rules, sharding, toxicity
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality_knn, quality_rules, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_sharding": sharding.op7_sharding,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
     }
