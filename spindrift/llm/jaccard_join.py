@@ -109,8 +109,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     Rows with equal sets are classes, made by their digests; one of each goes on. n-grams are ordered by a count of
     the sets that hold their bucket, rarest first, and rows are joined on their prefixes' n-grams:
-    first each with one leader per n-gram, which ties tight groups together in a number of pairs that is linear in the
-    group; then, where an n-gram's rows are in different components still, those outside the leader's with all others.
+    first each with one leader per n-gram, the row that has the fewest rarer n-grams of its own and so is the most
+    central one, which ties tight groups together in a number of pairs that is linear in the group; then, where an n-gram's rows are in different components still, those outside the leader's with all others.
     So no pair that can link is left out, and no group is expanded into all its pairs.
     """
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -129,7 +129,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     n, m, i, j = F.col("n"), F.col("m"), F.col("place"), F.col("at")
     near = (100 * F.least(n, m) >= share * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, share))
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at"))).alias("x")
+    first = F.min(F.struct(F.col("place").alias("at"), F.xxhash64("id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"))).alias("x")
     leaders = materialise(index.groupBy("gram").agg(first, F.count("*").alias("c")).where("c > 1").select("gram", "x.leader", "x.m", "x.at"), "jaccard-leaders")
     stars = index.join(leaders, "gram").where((F.col("id") != F.col("leader")) & near)
     stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
