@@ -17,6 +17,8 @@ from .shingles import shingle_set
 
 #: Buckets of the frequencies by which n-grams are ordered, and parts that the suffix filter counts.
 SKETCH_BITS, PARTS = 16, 64
+#: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
+SENT = 1 << 22
 
 
 def _prefix(n: int, share: int) -> int:
@@ -91,11 +93,20 @@ def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, shar
     pairs = materialise(pairs.where(_parts_agree("parts_a", "parts_b", most)).select("a", "b", "n_a", "n_b"), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
+    ids = materialise(ids, "jaccard-ids")
+    if ids.count() <= SENT:  # as one sorted array; beyond, texts are joined
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["id"].to_numpy(np.int64)))
+        chosen = docs
+    else:
+        wanted, chosen = None, docs.join(ids, "id", "left_semi")
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch[np.isin(batch["id"].to_numpy(), wanted.value)]
             yield pd.DataFrame({"id": batch["id"], "grams": [shingle_set(t, words).astype("<u8").tobytes() for t in batch["text"]]})
 
-    sets = materialise(docs.join(ids, "id", "left_semi").mapInPandas(make, "id long, grams binary"), "jaccard-sets")
+    sets = materialise(chosen.mapInPandas(make, "id long, grams binary"), "jaccard-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", _common("grams_a", "grams_b"))
     return both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
