@@ -42,13 +42,13 @@ def attachment(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame
 def uniform(spark: SparkSession, n: int, mean_degree: float, seed: int = 42) -> DataFrame:
     """An undirected graph in which every pair is as likely: about n * mean_degree / 2 edges, i < j."""
     edges = int(n * mean_degree / 2)
-    at = spark.range(edges).select((scramble(F.col("id"), seed) % n).alias("a"), (scramble(F.col("id"), seed + 7) % n).alias("b"))
+    at = spark.range(edges).select((scramble(F.col("id"), seed) % n).alias("a"), (scramble(F.col("id") * (F.col("id") % 9973 + 17), seed + 7) % n).alias("b"))
     return at.where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct().withColumn("v", F.lit(1.0))
 
 
 def structured(spark: SparkSession, n: int, width: int) -> DataFrame:
     """Dense first rows and columns and a diagonal; row 1 left of the middle and column 3 below it are empty."""
-    side = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(min(width, n) - 1))).cast("long").alias("j"))
+    side = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(width, n) - 1).cast("long"))).alias("j"))
     both = side.unionByName(side.select(F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"))).distinct()
     both = both.where(~((F.col("i") == 1) & (F.col("j") < n // 2)) & ~((F.col("j") == 3) & (F.col("i") > n // 2)))
     return both.withColumn("v", (1 + scramble(F.col("i") * n + F.col("j"), 42) % 9).cast("double"))
