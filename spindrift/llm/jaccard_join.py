@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import materialise, table
-from .components import components
 from .shingles import shingle_set
 
 #: Buckets of the frequencies by which n-grams are ordered, and parts that the suffix filter counts.
