@@ -58,22 +58,21 @@ def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
     Each round every component takes its lightest edge to another one and the components so linked are joined; there
     are at most log2(n) rounds.
     """
-    edges = materialise(a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(weight).alias("w")).groupBy("i", "j").agg(F.min("w").alias("w")), "edges")
-    forest = edges.limit(0)
+    pairs = a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(weight).alias("w"))
+    edges = materialise(pairs.groupBy("i", "j").agg(F.min("w").alias("w")).withColumns({"ci": F.col("i"), "cj": F.col("j")}), "edges")
+    forest = edges.select("i", "j", "w").limit(0)
     while True:
-        if forest.isEmpty():
-            labelled = edges.select("*", F.col("i").alias("ci"), F.col("j").alias("cj"))
-        else:
-            label = components(forest.select(F.col("i").alias("a"), F.col("j").alias("b")))
-            side = lambda c: label.select(F.col("v").alias(c), F.col("component").alias(f"l{c}"))  # noqa: E731, B023
-            labelled = edges.join(side("i"), "i", "left").join(side("j"), "j", "left")
-            labelled = labelled.select("i", "j", "w", F.coalesce("li", "i").alias("ci"), F.coalesce("lj", "j").alias("cj"))
-        out = labelled.where("ci <> cj").select("i", "j", "w", F.explode(F.array("ci", "cj")).alias("c"))
-        lightest = out.groupBy("c").agg(F.min(F.struct("w", "i", "j")).alias("e")).select("e.i", "e.j", "e.w").distinct()
+        both = edges.select("i", "j", "w", "ci", "cj", F.explode(F.array("ci", "cj")).alias("c"))
+        lightest = both.groupBy("c").agg(F.min(F.struct("w", "i", "j", "ci", "cj")).alias("e")).select("e.*").distinct()
         lightest = materialise(lightest, "lightest")
         if lightest.isEmpty():
             return forest.withColumnRenamed("w", weight)
-        forest = materialise(forest.unionByName(lightest).distinct(), "forest")
+        forest = forest.unionByName(lightest.select("i", "j", "w"))
+        # components become single vertices; edges inside one are done with
+        label = components(lightest.select(F.col("ci").alias("a"), F.col("cj").alias("b")))
+        side = lambda c: label.select(F.col("v").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
+        edges = edges.join(side("ci"), "ci").join(side("cj"), "cj").where("nci <> ncj")
+        edges = materialise(edges.select("i", "j", "w", F.col("nci").alias("ci"), F.col("ncj").alias("cj")), "edges")
 
 
 def preorder(tree: DataFrame) -> DataFrame:
