@@ -95,7 +95,7 @@ def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, shar
 
     ids = materialise(ids, "jaccard-ids")
     if ids.count() <= SENT:  # as one sorted array; beyond, texts are joined
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["id"].to_numpy(np.int64)))
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
         chosen = docs
     else:
         wanted, chosen = None, docs.join(ids, "id", "left_semi")

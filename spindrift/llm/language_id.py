@@ -66,7 +66,7 @@ def fit_language_model(labelled: DataFrame, text: str, lang: str, row_key: str,
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": k, "bucket": at, "n": c[at]})
 
-    grams = labelled.select(text, lang).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    grams = labelled.select(text, lang).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(grams["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS + 1))
     counts[np.searchsorted(langs, grams["lang"]) if len(langs) else [], grams["bucket"]] = grams["n"]

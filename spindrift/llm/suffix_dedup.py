@@ -147,7 +147,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     often = materialise(often, "suffix-anchors")
     # only windows whose anchor occurs twice can repeat
     if often.count() <= SENT:
-        chosen = np.sort(often.toPandas()["anchor"].to_numpy(np.int64))
+        chosen = np.sort(often.toArrow()["anchor"].to_numpy())
         places = lambda with_bytes: _contexts(docs, window, chosen, with_bytes)
     else:
         places = lambda with_bytes: _contexts(docs, window, None, with_bytes).join(often, "anchor", "left_semi")

@@ -173,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                 yield pd.DataFrame({"toxic": k, "gram": at, "n": n})
 
     counts = chosen.where(first).select("text", "toxic").mapInPandas(count, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
-    model = _tables(counts.toPandas())
+    model = _tables(counts.toArrow().to_pandas())
     scored = chosen.where(~first).select("toxic", _difference(chosen, model)(F.col("text")).alias("x")).toPandas()
     if scored["toxic"].nunique() == 2:
         model.slope, model.offset = _logistic(scored["x"].to_numpy(float), scored["toxic"].to_numpy(float))
