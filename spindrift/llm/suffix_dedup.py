@@ -105,14 +105,22 @@ def _search_shards(shards: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
+        group: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(batch[c] for c in ("anchor", "shard", "id", "low", "high", "data", "shards")), strict=True):
-                if size >= SHARD_BYTES and row[:2] != held[-1][:2]:
-                    yield from solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
+                if group and row[:2] != group[0][:2]:
+                    # a context alone has nothing to equal
+                    if len(group) > 1 or group[0][6] > 1:
+                        held += group
+                        size += sum(len(r[5]) for r in group)
+                    group = []
+                    if size >= SHARD_BYTES:
+                        yield from solve(held)
+                        held, size = [], 0
+                group.append(row)
+        if len(group) > 1 or group and group[0][6] > 1:
+            held += group
         if held:
             yield from solve(held)
 
@@ -158,9 +166,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = places(False).join(copied, ["anchor", "context"]).where("id <> first_id OR low <> first_low")
     spans = later.select("id", F.col("low").alias("begin"), (F.col("high") + window).alias("end"))
     # windows of different contexts of one anchor may be equal still
-    sizes = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = sizes.select("anchor", F.ceil(F.col("m") / SHARD_CONTEXTS).cast("long").alias("shards"))
-    shards = contexts.join(sizes, "anchor").select("anchor", F.pmod("context", "shards").alias("shard"), "f.*", "shards")
+    sizes = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > SHARD_CONTEXTS)
+    sizes = materialise(sizes.select("anchor", F.ceil(F.col("m") / SHARD_CONTEXTS).cast("long").alias("parts")), "suffix-sizes")
+    shards = contexts.join(sizes, "anchor", "left").withColumn("shards", F.coalesce("parts", F.lit(1).cast("long")))
+    shards = shards.select("anchor", F.pmod("context", "shards").alias("shard"), "f.*", "shards")
     found = materialise(_search_shards(shards, window), "suffix-shards")
     merged = _merge_shards(found.where("end < 0"), window)
     return spans.unionByName(found.where("end >= 0").select("id", "begin", "end")).unionByName(merged)
