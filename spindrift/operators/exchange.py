@@ -31,7 +31,7 @@ def receive_table(a: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def send_table(received: DataFrame) -> DataFrame:
     """owner, part, j, nth: the same rows as their owner sends them, numbered for each receiver."""
-    nth = F.row_number().over(Window.partitionBy("owner", "part").orderBy("j")) - 1
+    nth = (F.row_number().over(Window.partitionBy("owner", "part").orderBy("j")) - 1).cast("long")
     return received.select("owner", "part", "j", nth.alias("nth"))
 
 
@@ -70,7 +70,7 @@ def all_to_all(moves: DataFrame, rows_per_rank: int, ranks: int, features: int,
     m = m.where(F.col("peer") < ranks)
     send = Window.partitionBy("rank").orderBy("peer", "pos")
     receive = Window.partitionBy("rank").orderBy("peer", "to")
-    m = m.withColumn("send_nth", F.row_number().over(send) - 1).withColumn("receive_nth", F.row_number().over(receive) - 1)
+    m = m.withColumn("send_nth", (F.row_number().over(send) - 1).cast("long")).withColumn("receive_nth", (F.row_number().over(receive) - 1).cast("long"))
     count = m.groupBy("rank", "peer").agg((F.count("*") * features).alias("count"))
     before = Window.partitionBy("rank").orderBy("peer").rowsBetween(Window.unboundedPreceding, -1)
     return m.join(count.withColumn("displ", F.coalesce(F.sum("count").over(before), F.lit(0))), ["rank", "peer"])
