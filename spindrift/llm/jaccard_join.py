@@ -19,6 +19,8 @@ from .shingles import shingle_set
 SKETCH_BITS, PARTS = 16, 64
 #: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
 SENT = 1 << 22
+#: Pairs to verify, of four numbers, up to which they are sent to the sets.
+SENT_PAIRS = 1 << 18
 
 
 def _prefix(n: int, share: int) -> int:
@@ -41,7 +43,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
             for k, t in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(t, words)
                 held += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(held))
-                parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype("<i4")
+                parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).clip(max=65535).astype("<u2")
                 rows.append((k, len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), parts.tobytes(), -1, 0))
             yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", "bucket", "held"])
         at = np.flatnonzero(held)
@@ -74,7 +76,7 @@ def _parts_agree(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
     """Suffix filter: what two sets differ by is at least the sum of the differences of their parts' sizes."""
     if not len(x):
         return pd.Series([], dtype=bool)
-    a, b = (np.frombuffer(b"".join(s), "<i4").reshape(-1, PARTS) for s in (x, y))
+    a, b = (np.frombuffer(b"".join(s), "<u2").reshape(-1, PARTS).astype(np.int64) for s in (x, y))
     return pd.Series(np.abs(a - b).sum(1) <= most.to_numpy())
 
 
@@ -108,6 +110,7 @@ def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, shar
 
     sets = materialise(chosen.mapInPandas(make, "id long, grams binary"), "jaccard-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
+    pairs = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", _common("grams_a", "grams_b"))
     return both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
