@@ -16,7 +16,7 @@ from .common import materialise, table
 from .shingles import shingle_set
 
 #: Buckets of the frequencies by which n-grams are ordered, and parts that the suffix filter counts.
-SKETCH_BITS, PARTS = 16, 64
+SKETCH_BITS, PARTS = 16, 256
 #: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
 SENT = 1 << 22
 #: Pairs to verify, of four numbers, up to which they are sent to the sets.
