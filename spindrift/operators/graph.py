@@ -93,6 +93,8 @@ def preorder(tree: DataFrame) -> DataFrame:
             now = own.join(below, "v", "left").select("v", (1 + F.coalesce("s", F.lit(0))).alias("size"))
         last = materialise(now, "sizes")
         sizes = last if sizes is None else sizes.unionByName(last)
+        if level % 8 == 0:
+            sizes = materialise(sizes, "sizes")
     sized = materialise(tree.join(sizes, "v"), "sized")
     before = Window.partitionBy("parent").orderBy("size", "v").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("_skip", F.when(F.col("level") > 0, F.coalesce(F.sum("size").over(before), F.lit(0))))
@@ -102,4 +104,6 @@ def preorder(tree: DataFrame) -> DataFrame:
         up = above.select(F.col("v").alias("parent"), F.col("pos").alias("_up"))
         above = materialise(sized.where(F.col("level") == level).join(up, "parent").select("v", (F.col("_up") + 1 + F.col("_skip")).alias("pos")), "placed")
         placed = placed.unionByName(above)
+        if level % 8 == 0:
+            placed = materialise(placed, "placed")
     return sized.drop("_skip").join(placed, "v")

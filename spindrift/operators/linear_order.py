@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matrix import degrees
 from ..storage import materialise, number_rows
-from .graph import all_components, bfs
+from .graph import all_components, bfs, preorder, spanning_forest
 
 #: Edges of one component, up to which it is ordered inside one task; larger ones are ordered by distributed rounds.
 TASK_EDGES = 500_000
@@ -79,11 +79,36 @@ def _walk_tree(pdf: pd.DataFrame) -> list[int]:
     return out
 
 
+def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """v, step: what _walk_levels gives, in rounds. A level's vertices stand by the place of their earliest neighbour one
+    level up, then by id. edges: i, j, component; roots: the components to order, by their smallest vertex v."""
+    steps = edges.select("component", F.col("i").alias("a"), F.col("j").alias("b"))
+    steps = materialise(steps.unionByName(steps.select("component", F.col("b").alias("a"), F.col("a").alias("b"))), "steps")
+    seen = front = materialise(roots.select("v", F.col("v").alias("component"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("nth")), "front")
+    level = 0
+    while not front.isEmpty():
+        level += 1
+        reached = steps.join(front.select(F.col("v").alias("a"), "nth"), "a").groupBy("component", F.col("b").alias("v")).agg(F.min("nth").alias("up"))
+        found = number_rows(reached.join(seen, "v", "left_anti"), "component", "up", "v", name="nth")
+        front = materialise(found.select("v", "component", F.lit(level).alias("level"), "nth"), "front")
+        seen = seen.unionByName(front)
+        if level % 8 == 0:
+            seen = materialise(seen, "seen")
+    placed = materialise(number_rows(seen, "component", "level", "nth"), "placed")
+    first = placed.groupBy("component").agg(F.min("pos").alias("first"))
+    return placed.join(first, "component").select("v", (F.col("pos") - F.col("first")).alias("step"))
+
+
+def _tree_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """v, step: what _walk_tree gives, in rounds. edges: i, j, w; roots: v."""
+    return preorder(bfs(spanning_forest(edges), roots)).select("v", F.col("pos").alias("step"))
+
+
 def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", task_edges: int = TASK_EDGES) -> DataFrame:
     """v, component, step: the place inside its component. `forest`: preorder of a spanning tree of pseudo-random
-    weights; `levels`: breadth first from the smallest vertex. A component of more edges than a task should hold is
-    ordered by its levels, in distributed rounds."""
-    walk = {"forest": _walk_tree, "levels": _walk_levels}[method]
+    weights; `levels`: breadth first from the smallest vertex. A component of more edges than a task should hold gets
+    the same order in distributed rounds."""
+    walk, rounds = {"forest": (_walk_tree, _tree_order), "levels": (_walk_levels, _queue_order)}[method]
     edges = a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     edges = materialise(edges, "edges")
     member = materialise(all_components(edges, vertices), "members")
@@ -98,7 +123,7 @@ def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", t
     steps = small.groupBy("component").applyInPandas(order, "v long, step long")
     large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"))
     if not large.isEmpty():
-        steps = steps.unionByName(bfs(edges.join(large.withColumnRenamed("v", "component"), "component", "left_semi"), large).select("v", F.col("level").cast("long").alias("step")))
+        steps = steps.unionByName(rounds(edges.join(large.withColumnRenamed("v", "component"), "component", "left_semi"), large))
     return member.join(steps, "v", "left").select("v", "component", F.coalesce("step", F.lit(0)).alias("step"))
 
 

@@ -96,6 +96,15 @@ def test_weighted_forest_and_order(spark):
         assert {r["v"]: r["component"] for r in steps.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+@pytest.mark.parametrize("method", ["forest", "levels"])
+def test_order_is_the_same_in_a_task_and_in_rounds(spark, method):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)} | {(40 + rng.randrange(9), 40 + rng.randrange(9)) for _ in range(14)} | {(60 + k, 61 + k) for k in range(11)}
+    a, v = matrix(spark, [(i, j, 1) for i, j in pairs]), spark.range(80).withColumnRenamed("id", "v")
+    found = [sorted(map(tuple, linear_order.component_order(a, v, method, limit).collect())) for limit in (10**6, 1)]
+    assert found[0] == found[1]
+
+
 def test_long_path_is_one_component(spark):
     n = 300
     a = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
