@@ -16,54 +16,64 @@ from .letters import letter_pieces
 #: Labelled rows of each class to learn from, about: the bound of the sample.
 TRAIN_ROWS = 6_000
 DISCOUNT = 0.75
-#: Bits of a letter in a packed n-gram; letters beyond are folded.
-BITS = 12
+#: Bits of a code point: three of them fill a key. Longer n-grams are keyed by the number of the n-gram one letter shorter.
+BITS = 21
 #: Probability of a letter after two others that were never seen together.
 FLOOR = 1e-4
 ORDER = 5
 
 
-def _grams(codes: np.ndarray, n: int) -> np.ndarray:
-    wide = (codes & ((1 << BITS) - 1)).astype(np.int64)
-    g = np.zeros(max(len(wide) - n + 1, 0), np.int64)
-    for k in range(n):
-        g = (g << BITS) | wide[k : len(wide) - n + 1 + k]
-    return g
+def _threes(codes: np.ndarray) -> np.ndarray:
+    """The three letters from each place on, packed."""
+    wide = codes.astype(np.int64)
+    return (wide[:-2] << (2 * BITS)) | (wide[1:-1] << BITS) | wide[2:]
 
 
 @dataclass
-class Hashed:
-    """Rows of values by packed n-gram; of two n-grams in one slot the more frequent one stays."""
+class Table:
+    """Rows of values by key; row len(keys) - 1 is that of unseen keys. A key stands in the first free slot from its own on."""
 
     keys: np.ndarray
     values: np.ndarray
+    slots: np.ndarray
 
     @staticmethod
     def slot(keys: np.ndarray, size: int) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray, values: np.ndarray, weight: np.ndarray, unseen: np.ndarray) -> Hashed:
+    def build(cls, keys: np.ndarray, values: np.ndarray, unseen: list[float]) -> Table:
+        """keys: distinct, not negative."""
         size = 1 << max(4, int(4 * max(len(keys), 1)).bit_length())
-        out = cls(np.full(size, -1, np.int64), np.tile(unseen.astype(np.float32), (size + 1, 1)))
-        order = np.argsort(weight, kind="stable")
-        at = cls.slot(keys[order], size)
-        out.keys[at] = keys[order]
-        out.values[:size][at] = values[order]
-        return out
-
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slot(keys, len(self.keys))
-        return self.values[np.where(self.keys[at] == keys, at, len(self.keys))]
+        slots = np.full(size, len(keys), np.int32)
+        left, at = np.arange(len(keys)), cls.slot(keys, size)
+        while len(left):
+            free = slots[at] == len(keys)
+            slots[at[free]] = left[free]
+            out = slots[at] != left
+            left, at = left[out], (at[out] + 1) & (size - 1)
+        return cls(np.append(keys, -1), np.concatenate([values, [unseen]]).astype(np.float32), slots)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key."""
+        at = self.slot(keys, len(self.slots))
+        found = self.slots[at]
+        last = len(self.keys) - 1
+        other = np.flatnonzero((self.keys[found] != keys) & (found != last))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.slots) - 1)
+            found[other] = self.slots[at[other]]
+            other = other[(self.keys[found[other]] != keys[other]) & (found[other] != last)]
+        return found.astype(np.int64)
 
 
 @dataclass
 class Model:
     """Tables by 3-, 4- and 5-gram, and the line from the mean difference of log-likelihoods to the log-odds."""
 
-    three: Hashed
-    four: Hashed
-    five: Hashed
+    three: Table
+    four: Table
+    five: Table
     slope: float = 1.0
     offset: float = 0.0
 
@@ -73,8 +83,10 @@ class Model:
         for codes in letter_pieces(text, ORDER - 1):
             if len(codes) < ORDER:
                 continue
-            three, four = self.three[_grams(codes, 3)], self.four[_grams(codes, 4)]
-            five = self.five[_grams(codes, 5)]
+            at3 = self.three.find(_threes(codes))
+            at4 = self.four.find((at3[:-1] << BITS) | codes[3:].astype(np.int64))
+            at5 = self.five.find((at4[:-1] << BITS) | codes[4:].astype(np.int64))
+            three, four, five = self.three.values[at3], self.four.values[at4], self.five.values[at5]
             # each row ends at the same letter; contexts end one letter earlier
             lower = four[1:, :2] + three[1:-1, 1:] * three[2:, :1]
             p = five + four[:-1, 2:] * lower
@@ -87,12 +99,18 @@ class Model:
 
 
 def _tables(counts: pd.DataFrame) -> Model:
-    """counts: `toxic` (0, 1), `gram` (packed, of 5), `n`."""
+    """counts: `toxic` (0, 1), `two` and `three` (the first letters and the others of a 5-gram, packed), `n`."""
     mask = lambda n: (1 << (BITS * n)) - 1
-    pivot = counts.pivot_table(index="gram", columns="toxic", values="n", fill_value=0, aggfunc="sum").reindex(columns=[0, 1], fill_value=0)
-    g5, c5 = pivot.index.to_numpy(np.int64), pivot.to_numpy(float)
-
-    def above(grams: np.ndarray, n: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    pivot = counts.pivot_table(index=["two", "three"], columns="toxic", values="n", fill_value=0, aggfunc="sum").reindex(columns=[0, 1], fill_value=0)
+    two, three = (pivot.index.get_level_values(k).to_numpy(np.int64) for k in (0, 1))
+    c5 = pivot.to_numpy(float)
+    # numbers of the 3-grams from each place of a 5-gram, and from them of its 4-grams
+    keys3, at = np.unique(np.concatenate([(two << BITS) | (three >> (2 * BITS)), ((two & mask(1)) << (2 * BITS)) | (three >> BITS), three]), return_inverse=True)
+    one3, mid3, end3 = at.reshape(3, -1)
+    keys4, at = np.unique(np.concatenate([(one3 << BITS) | ((three >> BITS) & mask(1)), (mid3 << BITS) | (three & mask(1))]), return_inverse=True)
+    one4, end4 = at.reshape(2, -1)
+
+    def above(n: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The discounted part of each gram, and of each context its mass for what is below, by class."""
         ctx, at = np.unique(context, return_inverse=True)
         total = np.stack([np.bincount(at, n[:, k], len(ctx)) for k in (0, 1)], 1)
@@ -100,15 +118,16 @@ def _tables(counts: pd.DataFrame) -> Model:
         with np.errstate(invalid="ignore", divide="ignore"):
             part = np.where(total[at] > 0, np.maximum(n - DISCOUNT, 0) / total[at], 0.0)
             rest = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        return part, ctx, rest, total.sum(1)
+        return part, ctx, rest
 
-    part5, ctx4, rest5, weight4 = above(g5, c5, g5 >> BITS)
+    part5, ctx4, rest5 = above(c5, one4)
     # continuation counts: in how many contexts a 4-gram ends a 5-gram, by class
-    g4, at = np.unique(g5 & mask(4), return_inverse=True)
+    g4, first, at = np.unique(end4, return_index=True, return_inverse=True)
     c4 = np.stack([np.bincount(at, c5[:, k] > 0, len(g4)) for k in (0, 1)], 1)
-    part4, ctx3, rest4, weight3 = above(g4, c4, g4 >> BITS)
+    part4, ctx3, rest4 = above(c4, mid3[first])
     # below, both classes share their counts
-    g3, at = np.unique(g4 & mask(3), return_inverse=True)
+    at3, at = np.unique(end3[first], return_inverse=True)
+    g3 = keys3[at3]
     n3 = np.bincount(at, minlength=len(g3)).astype(float)
     ctx2, at2 = np.unique(g3 >> BITS, return_inverse=True)
     g2, at21 = np.unique(g3 & mask(2), return_inverse=True)
@@ -121,19 +140,16 @@ def _tables(counts: pd.DataFrame) -> Model:
     p2 = np.maximum(n2 - DISCOUNT, 0) / total1[at1] + DISCOUNT * np.bincount(at1)[at1] / total1[at1] * p1[at0]
     total2 = np.bincount(at2, n3)
     p3 = np.maximum(n3 - DISCOUNT, 0) / total2[at2] + DISCOUNT * np.bincount(at2)[at2] / total2[at2] * p2[at21]
-    keys4, keys3 = np.union1d(g4, ctx4), np.union1d(g3, ctx3)
-    v4, w4 = np.tile([0.0, 0.0, 1.0, 1.0], (len(keys4), 1)), np.zeros(len(keys4))
-    v4[np.searchsorted(keys4, g4), :2] = part4
-    v4[np.searchsorted(keys4, ctx4), 2:] = rest5
-    w4[np.searchsorted(keys4, ctx4)] = weight4
-    v3, w3 = np.tile([FLOOR, 1.0, 1.0], (len(keys3), 1)), np.zeros(len(keys3))
-    v3[np.searchsorted(keys3, g3), 0] = np.maximum(p3, FLOOR)
-    v3[np.searchsorted(keys3, ctx3), 1:] = rest4
-    w3[np.searchsorted(keys3, ctx3)] = weight3
+    v4 = np.tile([0.0, 0.0, 1.0, 1.0], (len(keys4), 1))
+    v4[g4, :2] = part4
+    v4[ctx4, 2:] = rest5
+    v3 = np.tile([FLOOR, 1.0, 1.0], (len(keys3), 1))
+    v3[at3, 0] = np.maximum(p3, FLOOR)
+    v3[ctx3, 1:] = rest4
     return Model(
-        Hashed.build(keys3, v3, w3, np.array([FLOOR, 1.0, 1.0])),
-        Hashed.build(keys4, v4, w4, np.array([0.0, 0.0, 1.0, 1.0])),
-        Hashed.build(g5, part5, c5.sum(1), np.array([0.0, 0.0])),
+        Table.build(keys3, v3, [FLOOR, 1.0, 1.0]),
+        Table.build(keys4, v4, [0.0, 0.0, 1.0, 1.0]),
+        Table.build((one4 << BITS) | (three & mask(1)), part5, [0.0, 0.0]),
     )
 
 
@@ -168,11 +184,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, part in batch.groupby("toxic"):
-                grams = [_grams(c, ORDER) for t in part["text"] for c in letter_pieces(t, ORDER - 1)]
-                at, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pd.DataFrame({"toxic": k, "gram": at, "n": n})
-
-    counts = chosen.where(first).select("text", "toxic").mapInPandas(count, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+                pieces = [c for t in part["text"] for c in letter_pieces(t, ORDER - 1) if len(c) >= ORDER]
+                if pieces:
+                    wide = [c.astype(np.int64) for c in pieces]
+                    two = np.concatenate([(c[:-4] << BITS) | c[1:-3] for c in wide])
+                    grams = pd.DataFrame({"two": two, "three": np.concatenate([_threes(c[2:]) for c in wide])})
+                    yield grams.value_counts(sort=False).rename("n").reset_index().assign(toxic=k)[["toxic", "two", "three", "n"]]
+
+    counts = chosen.where(first).select("text", "toxic").mapInPandas(count, "toxic int, two long, three long, n long").groupBy("toxic", "two", "three").agg(F.sum("n").alias("n"))
     model = _tables(counts.toArrow().to_pandas())
     scored = chosen.where(~first).select("toxic", _difference(chosen, model)(F.col("text")).alias("x")).toPandas()
     if scored["toxic"].nunique() == 2:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -174,6 +175,30 @@ def test_quality_neighbours(spark):
         quality_knn.PIECE = piece
 
 
+def test_toxicity_keeps_every_gram():
+    rng = np.random.default_rng(0)
+    letters = rng.choice([97, 98, 0x4E00 + 1, 0x5E00 + 1, 0x6E00 + 1], (2000, 5))
+    counts = pd.DataFrame({"two": (letters[:, 0] << 21) | letters[:, 1], "three": toxicity._threes(letters[:, 2:].reshape(-1))[::3], "toxic": rng.integers(0, 2, 2000), "n": 1})
+    model = toxicity._tables(counts)
+    at3 = model.three.find(toxicity._threes(letters.reshape(-1))[::5])
+    at4 = model.four.find((at3 << 21) | letters[:, 3])
+    at5 = model.five.find((at4 << 21) | letters[:, 4])
+    assert len(np.unique(at5)) == len(np.unique(letters, axis=0)) and at5.max() < len(model.five.keys) - 1
+    # a key that isn't there is unseen, however full the slots are
+    keys = np.arange(5000)
+    table = toxicity.Table.build(keys, keys[:, None].astype(float), [-1.0])
+    assert (table.values[table.find(np.arange(10_000)), 0] == np.where(np.arange(10_000) < 5000, np.arange(10_000), -1)).all()
+
+
+def test_toxicity_tells_distant_letters_apart(spark):
+    plain, far = "\u4e01\u4e02\u4e03\u4e04\u4e05\u4e06", "\u5e01\u5e02\u5e03\u5e04\u5e05\u5e06"  # equal in their last 12 bits
+    rows = [(k, (far if k % 2 else plain) * 3, k % 2) for k in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, model).collect()}
+    assert got[0] < 0.5 < got[1]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     words = ["calm", "river", "stone", "garden", "letter", "window"]
