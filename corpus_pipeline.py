@@ -2,6 +2,7 @@
 
 Documents have doc_id, text, lang, source, n_chars and whatever columns else; all but the last stage return them. A null
 or empty text has no letter, so the first stage rejects it. Repeated rows are equal texts, of which the second keeps one.
+Ids may be null or shared by different texts: each row is decided on by its own place in the stage's input.
 An empty table gives an empty result.
 """
 
@@ -18,12 +19,18 @@ from spindrift.llm.mixing import mix
 from spindrift.llm.packing import pack
 
 
-def _attach(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs with the decisions of an operator, which has a row for each row of docs; equal ids are matched in turn."""
-    turn = Window.partitionBy("doc_id").orderBy("doc_id")
-    left = docs.withColumn("_turn", F.row_number().over(turn))
-    right = decided.withColumn("_turn", F.row_number().over(turn)).withColumnRenamed("doc_id", "_id").withColumnRenamed("_turn", "_its")
-    return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_turn"] == right["_its"])).drop("_id", "_its", "_turn")
+def _places(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a long of its own for each row that stays the same each time docs are read: the file's number and
+    the row's place in it. Anything but a table as read from files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialise(docs, "pipeline-rows")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = placed.select("_file").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    return placed.join(F.broadcast(files), "_file").select(*docs.columns, (F.shiftleft("_nth", 40) + F.col("_at")).alias("_row"))
+
+
+#: Orders rows by doc_id, nulls last; `_row` decides among equal ids.
+_BY_ID = F.struct(F.isnull("doc_id").alias("z"), F.col("doc_id").alias("k"), F.col("_row").alias("r"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +42,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    keep = exact_groups(docs).select("doc_id", F.col("kept").alias("_keep"))
-    return _attach(docs, keep).where("_keep").select(*docs.columns)
+    rows = _places(docs)
+    kept = exact_groups(rows.select(_BY_ID.alias("_id"), "text"), "_id").where("kept").select(F.col("_id.r").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links of 0.8 on five-word shingles connect."""
-    groups = similar_components(docs, words=5, share=80)
-    return _attach(docs, groups.select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("_keep"))).where("_keep").select(*docs.columns)
+    rows = _places(docs)
+    groups = similar_components(rows, "_row", words=5, share=80).select("_row", "component_id")
+    best = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(_BY_ID).alias("_id"))
+    return rows.join(best.select(F.col("_id.r").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; one taken in part, the last of its source, ends there."""
-    taken = materialise(mix(docs).select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mix-taken")
-    rows = _attach(docs, taken).where(F.col("_taken") > 0)
+    rows = _places(docs)
+    # drawn by id and text, so that different texts of one id, or of none, are drawn apart and files' layout doesn't count
+    drawn = rows.withColumn("_draw", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text")))
+    taken = mix(drawn, "_draw", also=("_row",)).select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = rows.join(materialise(taken, "mix-taken").where("_taken > 0"), "_row")
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), times)))
     left = F.least(F.col("_size"), F.col("_taken") - (F.col("_nth") - 1) * F.col("_size")).cast("int")
@@ -61,7 +74,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of at most 1024 tokens."""
-    return pack(docs)
+    # as text on the way: pandas would hold whole numbers among nulls as floats
+    kind = docs.schema["doc_id"].dataType
+    return pack(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixed", mixed), ("packed", packed)]

@@ -49,8 +49,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     )
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
-    """One row per row of df: key, source, `size`, `source_size`, `target`, `taken` long, `epochs` long.
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: key, source, `size`, `source_size`, `target`, `taken` long, `epochs` long, and the columns `also`.
 
     Size counts words; a null or empty text has none and is never taken. A source's target is spent on complete
     epochs of all its documents first; the rest on documents in the order of their keys -ln(u) / w, smallest first,
@@ -63,7 +63,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     spark = df.sparkSession
     key_of = -F.log(uniform(F.col(key), seed)) / quality_weight(F.col(text))
     slices = 16 * partitions(spark)
-    base = materialise(df.select(key, source, F.size(words(F.col(text))).cast("long").alias("size"), key_of.alias("_order")), "mix-sizes")
+    base = materialise(df.select(key, source, *also, F.size(words(F.col(text))).cast("long").alias("size"), key_of.alias("_order")), "mix-sizes")
     targets = source_targets(base, source, weights=weights)
     joined = base.join(targets, base[source].eqNullSafe(targets[source])).drop(targets[source])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -77,7 +77,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sums = sums.select("_nth", "_slice", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
     placed = joined.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["_nth", "_slice"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.col("_within")))
-    return placed.select(key, source, "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), "epochs")
+    return placed.select(key, source, "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), "epochs", *also)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

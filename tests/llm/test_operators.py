@@ -344,3 +344,24 @@ def test_pipeline(spark):
     empty = common.table(spark, DATA, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_pipeline_keeps_clean_rows_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda k, n=12: " ".join(f"w{k}x{i}" for i in range(n))
+    # ids null or shared, lengths unlike; text 3 has a copy, and text 4 a near one, under ids of other texts
+    rows = [(None, text(0)), (None, text(1, 30)), (7, text(2, 20)), (7, text(3, 9)), (7, text(3, 9)), (None, text(4, 40)), (7, text(4, 40) + " z"), (2**53 + 1, text(5))]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (table, spark.read.parquet(str(tmp_path / "docs"))):
+        exact = common.materialise(corpus_pipeline.exact(spark, docs, ""), "exact")
+        assert sorted(r["text"] for r in exact.collect()) == sorted({t for _, t in rows})
+        near = common.materialise(corpus_pipeline.near(spark, exact, ""), "near")
+        left = sorted({t for _, t in rows} - {text(4, 40)})
+        assert sorted(r["text"] for r in near.collect()) == left  # of ids null and 7, 7 stays
+        mixed = common.materialise(corpus_pipeline.mixed(spark, near, ""), "mixed")
+        # one source: its target is its size, so each text is taken once and whole
+        assert sorted(r["text"] for r in mixed.collect()) == left
+        ids = [r["doc_id"] for r in corpus_pipeline.packed(spark, mixed, "").where("start = 0").select("doc_id").collect()]
+        assert sorted(ids, key=str) == [7, 7, 7, 2**53 + 1, None, None]
