@@ -18,11 +18,14 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int,
     if "coordinate" not in kind:
         raise ValueError("only coordinate files hold sparse matrices")
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("p"))
-    size = [int(x) for x in body.first()["p"][:2]]
-    pattern = "pattern" in kind
-    # the size line is the only one with three whole numbers in a file of values; in a pattern it alone has three parts
     first = body.first()["p"]
-    rest = body.where(F.col("p") != F.array(*map(F.lit, first))) if not pattern else body.where(F.size("p") == 2)
+    size = [int(x) for x in first[:2]]
+    pattern = "pattern" in kind
+    # an entry of whole numbers may equal the size line: of the equal lines one alone is left out
+    same = F.col("p") == F.array(*map(F.lit, first))
+    equal = body.where(same).groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
+    again = equal.select("p", F.explode(F.sequence(F.lit(2), F.col("c").cast("int")))).select("p")
+    rest = body.where(~same).unionByName(again) if not pattern else body.where(F.size("p") == 2)
     value = F.lit(1.0) if pattern else F.coalesce(F.get("p", F.lit(2)).cast("double"), F.lit(1.0))
     a = rest.select((F.get("p", F.lit(0)).cast("long") - 1).alias("i"), (F.get("p", F.lit(1)).cast("long") - 1).alias("j"), value.alias("v"))
     if "symmetric" in kind:

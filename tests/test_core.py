@@ -137,6 +137,14 @@ def test_files(spark, tmp_path):
     assert files.read_tile(spark, str(tmp_path / "tiles"), 1, 0).count() == tiles.where("bi = 1 AND bj = 0").count() > 0
 
 
+def test_entry_like_the_size_line(spark, tmp_path):
+    path = tmp_path / "a.mtx"
+    path.write_text("%%MatrixMarket matrix coordinate integer general\n3 3 3\n1 1 2\n2 1 5\n3 3 3\n")
+    a, rows, columns = files.read_matrix_market(spark, str(path))
+    assert (rows, columns) == (3, 3)
+    assert sorted(map(tuple, a.collect())) == [(0, 0, 2.0), (1, 0, 5.0), (2, 2, 3.0)]
+
+
 def test_generators(spark):
     g = generators.uniform(spark, 200, 6.0)
     assert g.count() > 400 and g.where("i >= j").isEmpty()
