@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, number_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,8 +45,11 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Directed, from each user to the one of the next event of the type; values count steps. Loops occur."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
-    following = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    steps = events.select(F.col("user_id").alias("i"), following.alias("j")).where("j IS NOT NULL")
+    # a type may hold any share of the events, so places come from range partitions, not from a window over the type
+    placed = materialise(number_rows(events, "event_type", "ts", "event_id"), "placed")
+    after = placed.select((F.col("pos") - 1).alias("pos"), F.col("event_type").alias("_type"), F.col("user_id").alias("j"))
+    steps = placed.join(after, "pos").where(F.col("event_type").eqNullSafe(F.col("_type")) & F.col("j").isNotNull())
+    steps = steps.select(F.col("user_id").alias("i"), "j")
     n = events.agg(F.max("user_id") + 1).first()[0]
     return steps.groupBy("i", "j").agg(F.count("*").cast("double").alias("v")), n
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import matrix as M
 from spindrift.operators import exchange, graph, linear_order, metrics, peel, spmm
-from spindrift.sources import files, generators
+from spindrift.sources import files, generators, graphs
 from spindrift.storage import number_rows
 
 SOME = settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -145,6 +145,19 @@ def test_entry_like_the_size_line(spark, tmp_path):
     assert sorted(map(tuple, a.collect())) == [(0, 0, 2.0), (1, 0, 5.0), (2, 2, 3.0)]
 
 
+def test_steps_of_a_hot_type_need_no_window_over_it(spark, tmp_path):
+    rows = [(k, k * 7 % 10, "hot" if k % 5 else ("b" if k % 2 else None), k // 3) for k in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    a, n = graphs.user_steps(spark, str(tmp_path))
+    assert "Window" not in a._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for t in ("hot", "b", None):
+        users = [u for _, u, x, _ in sorted(rows, key=lambda r: (r[3], r[0])) if x == t]
+        for e in zip(users, users[1:]):
+            want[e] = want.get(e, 0) + 1
+    assert {(r["i"], r["j"]): r["v"] for r in a.collect()} == want and n == 10
+
+
 def test_generators(spark):
     g = generators.uniform(spark, 200, 6.0)
     assert g.count() > 400 and g.where("i >= j").isEmpty()
