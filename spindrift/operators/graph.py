@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import Rounds, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,11 +18,12 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("l"))
     labels = materialise(labels, "labels")
+    seen, made = Rounds(links.sparkSession, "neighbours"), Rounds(links.sparkSession, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("n"))
-        better = materialise(labels.join(near, "v").select("v", "l", F.least("l", "n").alias("m")), "labels")
+        better = seen.write(labels.join(near, "v").select("v", "l", F.least("l", "n").alias("m")))
         up = better.select(F.col("v").alias("m"), F.col("m").alias("j"))
-        moved = materialise(better.join(up, "m").select("v", F.col("j").alias("l"), (F.col("j") != F.col("l")).alias("moved")), "labels")
+        moved = made.write(better.join(up, "m").select("v", F.col("j").alias("l"), (F.col("j") != F.col("l")).alias("moved")))
         labels = moved.select("v", "l")
         if moved.where("moved").isEmpty():
             return labels.withColumnRenamed("l", "component")

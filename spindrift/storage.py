@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own, if all runs on this machine: other hosts couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -25,12 +27,27 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The tables that a loop writes round by round: each takes the place of the one before the last, so that a loop of any
+    length leaves two. A round may read the round before it, none earlier."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.nth = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, self.nth = f"{self.path}/{self.nth % 2}", self.nth + 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def number_rows(df: DataFrame, *order, name: str = "pos") -> DataFrame:
-    """Add each row's place, 0 to n - 1, in a total order, without one task for all rows: rows are range partitioned,
-    numbered within each partition, and moved by the counts of the partitions before."""
+    """Add each row's place, 0 to n - 1, in a total order, without one task for all rows: rows are range partitioned and
+    sorted once; the place in the partition is moved by the counts of the partitions before, a row for each partition."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = materialise(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the low bits of this id are the row's place in its partition
+    parts = parts.withColumn("_part", F.spark_partition_id()).withColumn("_rank", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
+    parts = materialise(parts, "numbered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    numbered = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    return numbered.join(first, "_part").withColumn(name, F.col("_first") + F.col("_rank") - 1).drop("_part", "_rank", "_first")
+    return parts.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_rank", "_first")
