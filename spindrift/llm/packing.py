@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,31 +23,34 @@ END = 0
 CUT_PENALTY = 1 / 256
 #: The linear program ends when no pattern saves more than this share, or after so many columns.
 TOLERANCE, MOST_COLUMNS = 2e-4, 1500
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The same vocabulary as ranks, and as the file that says what tokens were added to it.
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 @lru_cache(2)
-def _tokenizer(path: str | None):
-    """The vocabulary's encoder; its ids are those that the same vocabulary gives in `tokenizers`."""
+def _tokenizer(ranks_path: str | None, path: str | None):
+    """The vocabulary's encoder; its ids are those that the same vocabulary gives in `tokenizers`, added tokens included."""
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
+    with open(ranks_path or public_tokenizers.path(RANKS), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
+        added = {t["content"]: int(t["id"]) for t in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def tokenised(df: DataFrame, key: str, text: str, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(df: DataFrame, key: str, text: str, ranks: str | None = None, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per row: `uid`, key, `tokens` long (with the closing id), `crcs` of its full pieces of `capacity`,
     `rest` int and `tail` binary (the ids after them, unsigned little-endian). A null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _tokenizer(vocabulary)
+        encoder = _tokenizer(ranks, vocabulary)
         kind = "<u2" if encoder.n_vocab <= 1 << 16 else "<u4"
         for batch in batches:
             rows = []
             for uid, k, t in zip(batch["uid"], batch["_key"], batch["_text"], strict=True):
-                ids = encoder.encode_ordinary(t or "")
+                ids = encoder.encode(t or "", allowed_special="all")
                 ids.append(END)
                 ids = np.asarray(ids, "<u4")
                 cut = len(ids) // capacity * capacity
@@ -159,8 +164,14 @@ class Plan:
     sequences: int = 0  # by patterns
     stream: int = 0  # tokens that are cut
 
+    @cached_property
+    def _firsts(self) -> dict[int, list[int]]:
+        return {l: [r[0] for r in runs] for l, runs in self.runs.items()}
+
+    @cached_property
     def _ends(self) -> list[int]:
-        """Ends of the sequences after the stream's last full one: powers of two, which need no padding."""
+        """Ends of the sequences after the stream's last full one: powers of two, which need no padding. Read once the
+        stream is complete."""
         at, ends = self.stream // self.capacity * self.capacity, []
         while at < self.stream:
             at += 1 << ((self.stream - at).bit_length() - 1)
@@ -169,13 +180,12 @@ class Plan:
 
     @property
     def all_sequences(self) -> int:
-        return self.sequences + self.stream // self.capacity + len(self._ends())
+        return self.sequences + self.stream // self.capacity + len(self._ends)
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """Pieces of one document's rest: start, length, sequence, offset."""
         if rank < self.cut_from[length]:
-            runs = self.runs[length]
-            first, sequence, copies, offset = runs[int(np.searchsorted([r[0] for r in runs], rank, "right")) - 1]
+            first, sequence, copies, offset = self.runs[length][bisect_right(self._firsts[length], rank) - 1]
             k = rank - first
             return [(0, length, sequence + k // copies, offset + k % copies * length)]
         at, end, out = self.cut_at[length] + (rank - self.cut_from[length]) * length, 0, []
@@ -184,8 +194,8 @@ class Plan:
             if at < full * self.capacity:
                 sequence, low, end = at // self.capacity, at // self.capacity * self.capacity, (at // self.capacity + 1) * self.capacity
             else:
-                ends = [full * self.capacity, *self._ends()]
-                k = int(np.searchsorted(ends, at, "right"))
+                ends = [full * self.capacity, *self._ends]
+                k = bisect_right(ends, at)
                 sequence, low, end = full + k - 1, ends[k - 1], ends[k]
             end = min(end, begin + length)
             out.append((at - begin, end - at, self.sequences + sequence, at - low))
@@ -223,16 +233,17 @@ def plan_packing(demand: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents: key, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset` (all long).
 
     Full pieces of `capacity` ids are sequences of their own; the rests, of at most capacity - 1 ids, fill patterns.
-    Each row counts, repeated ones too; a null or empty text is its closing id alone. An empty table gives no piece.
+    Each row counts, repeated ones too; a null or empty text is its closing id alone, a very long one has as many pieces
+    as it needs. A string of an added token in a text is that token. An empty table gives no piece.
     The driver sees the histogram of lengths only. Documents of a length are ranked by key in slices, each with its
     first rank from the counts of the slices before, so that a length that very many documents share is spread.
     """
     spark = df.sparkSession
-    rows = materialise(tokenised(df, key, text, vocabulary, capacity), "packing-ids")
+    rows = materialise(tokenised(df, key, text, ranks, vocabulary, capacity), "packing-ids")
     slices = 4 * partitions(spark)
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64("uid"), F.lit(slices)))
     counts = materialise(rows.groupBy("rest", "_slice").agg(F.count("*").alias("_n")), "packing-lengths")
