@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, with_columns
 from .letters import letter_pieces
 
 UNKNOWN = "und"
@@ -18,6 +18,8 @@ ORDERS = (1, 2, 3)
 #: Labelled rows to learn from, about (chosen by a hash of the row): the bound of the sample.
 TRAIN_ROWS = 20_000
 SMOOTHING = 0.1
+#: Texts that are scored together.
+BLOCK = 64
 #: Odd multipliers of the n-gram hash.
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -78,26 +80,31 @@ def fit_language_model(labelled: DataFrame, text: str, lang: str, row_key: str,
 def detect_language(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """Add `lang_pred` string and `score` double, the posterior probability of that language.
 
-    A null text, one without a letter, or any text where no language was learned, is `und` with score 0.
+    A null or empty text, one without a letter, or any text where no language was learned, is `und` with score 0. Of
+    languages that are as likely the first by name is taken. A very long text counts whole, in pieces. Equal texts get
+    equal results, repeated rows stay, an empty table stays empty; columns that df has by these names are replaced.
     """
     langs = model[0]
     shared = df.sparkSession.sparkContext.broadcast(model[1])
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def detect(texts: pd.Series) -> pd.DataFrame:
-        logs = shared.value
-        found = []
-        for t in texts:
-            if not langs or (counts := _gram_counts(t)) is None:
-                found.append((UNKNOWN, 0.0))
+        logs, names, scores = shared.value, np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for low in range(0, len(texts) if langs else 0, BLOCK):
+            found = [(low + k, c) for k, t in enumerate(texts.iloc[low : low + BLOCK]) if (c := _gram_counts(t)) is not None]
+            if not found:
                 continue
-            at = np.flatnonzero(counts)
-            total = counts[at].astype(np.float64) @ logs[at] + logs[-1]
-            p = np.exp(total - total.max())
-            found.append((langs[int(p.argmax())], float(p.max() / p.sum())))
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
-
-    return df.withColumn("_found", detect(F.col(text))).select("*", "_found.*").drop("_found")
+            # the block's counts as one sparse matrix, a row a text
+            at = [np.flatnonzero(c) for _, c in found]
+            weighted = logs[np.concatenate(at)] * np.concatenate([c[x] for (_, c), x in zip(found, at, strict=True)])[:, None].astype(np.float64)
+            total = np.add.reduceat(weighted, np.cumsum([0] + [len(x) for x in at[:-1]])) + logs[-1]
+            p = np.exp(total - total.max(axis=1, keepdims=True))
+            rows = [k for k, _ in found]
+            names[rows] = np.array(langs, object)[p.argmax(axis=1)]
+            scores[rows] = p.max(axis=1) / p.sum(axis=1)
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return with_columns(df, detect(F.col(text)), "lang_pred", "score")
 
 
 def learnable(docs: DataFrame, key: str = "doc_id") -> DataFrame:
