@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, with_columns
 
 #: Labelled rows that are neighbours to choose from, about: the bound of the sample.
 TRAIN_ROWS = 4_000
@@ -39,54 +39,52 @@ def _outline() -> np.ndarray:
 _OUTLINE: list[np.ndarray] = []
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text by pieces that end at white space where there is any."""
-    i = 0
-    while i < len(text):
-        j = i + PIECE
-        if j < len(text):
-            j = max(text.rfind(" ", i, j), text.rfind("\n", i, j)) + 1 or j
-            j = j if j > i else i + PIECE
-        yield text[i:j]
-        i = j
+def _distinct(held: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
 
 
 def term_counts(text: str | None) -> np.ndarray:
-    """Counts of the hashed terms of a whole text; an empty one has only its bins."""
+    """Counts of the hashed terms of a whole text; an empty one has only its bins.
+
+    The text goes through in pieces. What a piece leaves open goes on in the next: the last two runs of the outline, the
+    word that isn't at its end, the two words before; so the counts are the same for pieces of any size.
+    """
     _OUTLINE or _OUTLINE.append(_outline())
-    counts = np.zeros(TERMS)
+    counts, text = np.zeros(TERMS), text or ""
     totals = np.zeros(6)  # words, repeats of the word before, repeats of three words, upper, marks, characters
-    last, text = np.zeros(0, np.uint64), text or ""
-    for piece in _pieces(text):
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+    runs, before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    threes: list[np.ndarray] = []
+    open_sum, open_letters = np.uint64(0), 0
+    for i in range(0, len(text), PIECE):
+        codes = np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = _OUTLINE[0][np.minimum(codes, (1 << 16) - 1)]
-        blank = (kind == 4) | (kind == 5)
-        totals[3:] += (kind == 2).sum(), ((kind > 5) & (kind < 150)).sum(), (~blank).sum()
+        solid = (kind != 4) & (kind != 5)
+        totals[3:] += (kind == 2).sum(), ((kind > 5) & (kind < 150)).sum(), solid.sum()
         # the outline: runs of one kind collapse; its 3-grams
+        kind = np.concatenate([runs[-2:], kind])
         runs = kind[np.concatenate([[True], kind[1:] != kind[:-1]])]
         if len(runs) >= 3:
             h = ((runs[:-2] * _A ^ runs[1:-1]) * _B ^ runs[2:]) * _A
             counts[WORDS : WORDS + SHAPES] += np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=SHAPES)
-        # words by a sum of hashed letters at their places
-        start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        if not len(start):
-            continue
-        place = np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes)))) if start[0] == 0 else None
-        if place is None:
-            codes, blank = codes[start[0] :], blank[start[0] :]
-            start = start - start[0]
-            place = np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes))))
+        # words by a sum of hashed letters at their places; the letters before the first start end the open word
+        start = np.flatnonzero(solid & ~np.concatenate([[open_letters > 0], solid[:-1]]))
+        begin = np.concatenate([[0], start])
+        end = np.append(start, len(codes))
+        place = np.arange(len(codes)) - np.repeat(begin, end - begin)
+        place[: end[0]] += open_letters
         h = (codes.astype(np.uint64) + np.uint64(1)) * (_A + place.astype(np.uint64) * _B)
-        h = np.where(blank, np.uint64(0), h ^ (h >> np.uint64(29)))
-        word = np.add.reduceat(h, start) * _A
-        counts[:WORDS] += np.bincount((word >> np.uint64(53)).astype(np.int64), minlength=WORDS)
-        word = np.concatenate([last, word])
-        totals[0] += len(word) - len(last)
-        totals[1] += (word[1:] == word[:-1]).sum() - (last[1:] == last[:-1]).sum()
-        if len(word) >= 3:
-            three = (word[:-2] * _A ^ word[1:-1]) * _B ^ word[2:]
-            totals[2] += len(three) - len(np.unique(three))
-        last = word[-2:]
+        upto = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(np.where(solid, h ^ (h >> np.uint64(29)), np.uint64(0)), out=upto[1:])
+        sums = upto[end] - upto[begin]
+        sums[:1] += open_sum
+        last = bool(solid[-1])  # a word may go on
+        letters = (open_letters if not len(start) else 0) + len(codes) - int(begin[-1])
+        word = sums[0 if open_letters else 1 : len(sums) - last] * _A
+        open_sum, open_letters = (sums[-1], letters) if last else (np.uint64(0), 0)
+        before = _count_words(word, before, counts, totals, threes)
+    if open_letters:
+        _count_words(np.array([open_sum]) * _A, before, counts, totals, threes)
+    totals[2] = sum(map(len, threes)) - len(_distinct(threes))
     n, chars = max(totals[0], 1), max(totals[5], 1)
     parts = [totals[1] / n, totals[2] / n, totals[3] / chars, totals[4] / chars, min(totals[0] / 2000, 1), min(chars / n / 20, 1)]
     for k, x in enumerate(parts):
@@ -94,6 +92,17 @@ def term_counts(text: str | None) -> np.ndarray:
     return counts
 
 
+def _count_words(word: np.ndarray, before: np.ndarray, counts: np.ndarray, totals: np.ndarray, threes: list[np.ndarray]) -> np.ndarray:
+    """Add whole words, which come after the words `before`, to the counts; returns the last two words."""
+    counts[:WORDS] += np.bincount((word >> np.uint64(53)).astype(np.int64), minlength=WORDS)
+    both = np.concatenate([before, word])
+    totals[0] += len(word)
+    totals[1] += (both[1:] == both[:-1]).sum() - (before[1:] == before[:-1]).sum()
+    if len(both) >= 3:
+        threes.append((both[:-2] * _A ^ both[1:-1]) * _B ^ both[2:])
+    return both[-2:]
+
+
 @dataclass
 class Neighbours:
     """idf by term, terms x rank projection, unit vectors of labelled rows, and their labels."""
@@ -118,12 +127,23 @@ class Neighbours:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(texts), BLOCK):
             cosine = self.embed(texts[i : i + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k else np.zeros((len(cosine), 0), int)
+            near = _nearest(cosine, k)
             w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(float) ** SHARPNESS
             out[i : i + BLOCK] = (w * self.labels[near]).sum(1) / w.sum(1) if k else 0.5
         return np.clip(out, 0, 1)
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row; of those as large as the k-th, the first ones."""
+    if not k:
+        return np.zeros((len(cosine), 0), int)
+    least = np.partition(cosine, -k, axis=1)[:, -k, None]
+    over, level = cosine > least, cosine == least
+    room = k - over.sum(axis=1, keepdims=True)
+    chosen = over | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
+    return np.nonzero(chosen)[1].reshape(len(cosine), k)
+
+
 def _weigh(counts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """tf-idf of unit length within each kind of term."""
     x = np.log1p(counts) * idf[at]
@@ -166,15 +186,19 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def score_quality(df: DataFrame, model: Neighbours, text: str = "text") -> DataFrame:
-    """Add `score` double: the share of its neighbours' weight that has label 1. A null text counts as empty; an empty
-    one is near the shortest labelled texts."""
+    """Add `score` double: the share of its neighbours' weight that has label 1.
+
+    A null text counts as empty; an empty one is near the shortest labelled texts. Of neighbours that are as near, those
+    whose keys come first by code point are preferred. A very long text counts whole. Equal texts get equal scores,
+    repeated rows stay, an empty table stays empty; a column `score` that df has is replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(list(texts)))
 
-    return df.withColumn("score", score(F.col(text)))
+    return with_columns(df, F.struct(score(F.col(text)).alias("score")), "score")
 
 
 def op2_quality_knn(spark, sf_dir: str) -> DataFrame:
