@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, with_columns
 from .letters import letter_pieces
 
 #: Labelled rows of each class to learn from, about: the bound of the sample.
@@ -18,8 +18,9 @@ TRAIN_ROWS = 6_000
 DISCOUNT = 0.75
 #: Bits of a code point: three of them fill a key. Longer n-grams are keyed by the number of the n-gram one letter shorter.
 BITS = 21
-#: Probability of a letter after two others that were never seen together.
-FLOOR = 1e-4
+#: Stands for the backed-off probability of a 3-gram that wasn't seen. Neither class has a longer n-gram that ends with it,
+#: so both multiply this same number by their masses and it goes out of the ratio: any positive value gives the same score.
+UNSEEN = 1e-4
 ORDER = 5
 
 
@@ -143,11 +144,11 @@ def _tables(counts: pd.DataFrame) -> Model:
     v4 = np.tile([0.0, 0.0, 1.0, 1.0], (len(keys4), 1))
     v4[g4, :2] = part4
     v4[ctx4, 2:] = rest5
-    v3 = np.tile([FLOOR, 1.0, 1.0], (len(keys3), 1))
-    v3[at3, 0] = np.maximum(p3, FLOOR)
+    v3 = np.tile([UNSEEN, 1.0, 1.0], (len(keys3), 1))
+    v3[at3, 0] = p3
     v3[ctx3, 1:] = rest4
     return Model(
-        Table.build(keys3, v3, [FLOOR, 1.0, 1.0]),
+        Table.build(keys3, v3, [UNSEEN, 1.0, 1.0]),
         Table.build(keys4, v4, [0.0, 0.0, 1.0, 1.0]),
         Table.build((one4 << BITS) | (three & mask(1)), part5, [0.0, 0.0]),
     )
@@ -211,10 +212,12 @@ def _difference(df: DataFrame, model: Model):
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `score` double, 0 to 1: the probability that a text is toxic, from the length-normalised difference of its
-    two log-likelihoods. Null and empty texts differ by nothing and get the probability at 0."""
+    two log-likelihoods. Null and empty texts, and those of under five letters and blanks (one blank at either end
+    counted), differ by nothing and get the probability at 0. Very long texts count whole. Equal texts get equal scores,
+    so ties stay ties; repeated rows stay, an empty table stays empty; a column `score` that df has is replaced."""
     x = _difference(df, model)(F.col(text))
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * x + F.lit(model.offset)))
-    return df.withColumn("score", 1 / (1 + F.exp(-z)))
+    return with_columns(df, F.struct((1 / (1 + F.exp(-z))).alias("score")), "score")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
