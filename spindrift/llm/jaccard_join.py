@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import materialise, table
+from .common import materialise, partitions, table, with_ids
 from .shingles import shingle_set
 
-#: Buckets of the frequencies by which n-grams are ordered, and parts that the suffix filter counts.
-SKETCH_BITS, PARTS = 16, 256
+#: Parts that the suffix filter counts.
+PARTS = 256
+#: n-grams whose counts the tasks get to know, at most: the most frequent ones, of those that LEAST sets or more hold.
+FREQUENT, LEAST = 1 << 17, 8
+#: n-grams, eight bytes each, that a task holds before it packs them.
+HELD = 1 << 22
 #: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
 SENT = 1 << 22
 #: Pairs to verify, of four numbers, up to which they are sent to the sets.
 SENT_PAIRS = 1 << 18
+#: Rows of an n-gram for which one task pairs them with others; more are dealt over several.
+SALTED = 1000
 
 
 def _prefix(n: int, share: int) -> int:
@@ -33,38 +40,105 @@ def _needed(a: Column, b: Column, share: int) -> Column:
     return F.ceil((F.lit(share) * (a + b)).cast("double") / (100 + share) - 1e-9)
 
 
-def _survey(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: size, digest of its set and counts by part; and, per task, how many sets hold an n-gram by bucket."""
+def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Per document: size, digest of its set and counts by part; and, packed by their first `bits` bits, the next 32 bits of
+    all its n-grams."""
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        s = np.sort(np.concatenate(held))
+        of = (s >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        low = ((s >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        return pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, "bucket": of[at], "grams": [x.tobytes() for x in np.split(low, at[1:])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(1 << SKETCH_BITS, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             rows = []
             for k, t in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(t, words)
-                held += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(held))
                 parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).clip(max=65535).astype("<u2")
-                rows.append((k, len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), parts.tobytes(), -1, 0))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", "bucket", "held"])
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, "bucket": at, "held": held[at]})
+                rows.append((k, len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), parts.tobytes(), -1, None))
+                held.append(s)
+                size += len(s)
+                if size >= HELD:
+                    yield packed(held)
+                    held, size = [], 0
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", "bucket", "grams"])
+        if size:
+            yield packed(held)
+
+    return docs.mapInPandas(run, "id long, n long, digest binary, parts binary, bucket int, grams binary")
+
+
+def _frequent(packed: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (their first bits + 32 bits, sorted) that most sets hold, and how many do: counted over all documents.
 
-    return docs.mapInPandas(run, "id long, n long, digest binary, parts binary, bucket int, held long")
+    A task counts the buckets dealt to it one after the other and reports its FREQUENT most frequent n-grams; the least
+    count that FREQUENT n-grams in all have comes from a histogram of counts, so the driver gets no more than these.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bucket, held = None, []
 
+        def add() -> None:
+            nonlocal grams, counts
+            s, n = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+            often = n >= LEAST
+            grams = np.concatenate([grams, (s[often].astype(np.int64)) | (int(bucket) << 32)])
+            counts = np.concatenate([counts, n[often]])
+            if len(grams) > 2 * FREQUENT:
+                most = np.argpartition(-counts, FREQUENT)[:FREQUENT]
+                grams, counts = grams[most], counts[most]
 
-def _prefixes(docs: DataFrame, words: int, share: int, frequency: np.ndarray) -> DataFrame:
-    """Rows of each document's prefix: n-gram, document, size of its set, place in its order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+        for batch in batches:
+            for b, g in zip(batch["bucket"], batch["grams"], strict=True):
+                if b != bucket and held:
+                    add()
+                    held = []
+                bucket = b
+                held.append(g)
+        if held:
+            add()
+        yield pd.DataFrame({"gram": grams, "c": counts})
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "grams")
+    counts = materialise(dealt.mapInPandas(count, "gram long, c long"), "jaccard-counts")
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step"))
+    least, room = None, FREQUENT
+    for r in steps.collect():  # a few hundred steps at most
+        if r["n"] > room:
+            break
+        least, room = r["least"], room - r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    listed = counts.where(F.col("c") >= int(least)).toArrow()
+    grams, n = listed["gram"].to_numpy().astype(np.uint64), listed["c"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def _prefixes(docs: DataFrame, words: int, share: int, frequent: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+    """Rows of each document's prefix: n-gram, document, size of its set, place in its order. First come the n-grams that
+    aren't frequent, by their hashes, then the frequent ones, rarest first."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
+        grams, counts = shared.value
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for k, t in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(t, words)
                 p = _prefix(len(s), share)
-                first = np.lexsort((s, often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
-                out.append((s[first].view(np.int64), np.full(p, k), np.full(p, len(s)), np.arange(p)))
+                often = np.zeros(len(s), np.int64)
+                if len(grams):
+                    short = s >> np.uint64(32 - bits)
+                    at = np.minimum(np.searchsorted(grams, short), len(grams) - 1)
+                    often = np.where(grams[at] == short, counts[at], 0)
+                first = s[np.argsort(often, kind="stable")[:p]]
+                out.append((first.view(np.int64), np.full(p, k), np.full(p, len(s)), np.arange(p)))
             if out:
                 yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("gram", "id", "n", "place"), zip(*out, strict=True), strict=True)})
 
@@ -87,10 +161,10 @@ def _common(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Of candidate pairs a, b those that link. Each pair passes the suffix filter and is verified once, on the sets
-    made anew from the texts of those documents only."""
+    """Of distinct candidate pairs a, b those that link. Each pair passes the suffix filter and is verified once, on the
+    sets made anew from the texts of those documents only."""
     side = lambda c: info.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
-    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), share)
     pairs = materialise(pairs.where(_parts_agree("parts_a", "parts_b", most)).select("a", "b", "n_a", "n_b"), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -115,54 +189,85 @@ def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, shar
     return both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def _may_link(share: int) -> Column:
+    """Length and positional filter of entries (n, place) and (m, at): what is left of both sets can still be enough."""
+    n, m, i, j = F.col("n"), F.col("m"), F.col("place"), F.col("at")
+    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, share))
+
+
+def _other_pairs(placed: DataFrame, share: int) -> DataFrame:
+    """Candidate pairs a, b of entries (gram, id, n, place, c, lc, group) whose components c differ.
+
+    Of a pair that links the smaller set (by size, then id) holds a common n-gram in the part of its prefix that leaves
+    enough for a partner of its own size, which is shorter; so smaller entries are taken from there only. Joined are
+    n-gram, band of sizes (a partner is in the smaller one's band or the next) and, where an n-gram has many rows, a salt.
+    Rows of the leader's component lc are joined with others only, never among themselves.
+    """
+    band = F.floor(F.log("n") / math.log(102 / share))
+    salts = F.ceil(F.col("group") / SALTED).cast("int")
+    larger = placed.select(
+        "gram", band.alias("band"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"),
+        F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("c").alias("oc"), (F.col("c") == F.col("lc")).alias("in_lead"),
+    )
+    smaller = placed.where(F.col("n") - F.col("place") >= _needed(F.col("n"), F.col("n"), share))
+    smaller = smaller.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    ordered = F.struct("n", "id") < F.struct(F.col("m").alias("n"), F.col("other").alias("id"))
+    found = []
+    for inside in (False, True):
+        left = smaller.where((F.col("c") == F.col("lc")) == inside)
+        right = larger.where(~F.col("in_lead")) if inside else larger
+        pairs = left.join(right, ["gram", "band", "salt"]).where((F.col("c") != F.col("oc")) & ordered & _may_link(share))
+        found.append(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+    return found[0].unionByName(found[1])
+
+
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: int = 80) -> DataFrame:
     """One row per row of df: key, `n_shingles` long, `component_id`: the smallest key reachable by links.
 
     Rows link when 100 * intersection >= share * union of their sets of distinct `words`-word shingles (A-Z lower-cased;
-    with fewer words, all of them as one). A row without words is linked with nothing. Keys are distinct integers.
-
-    Rows with equal sets are classes, made by their digests; one of each goes on. n-grams are ordered by a count of
-    the sets that hold their bucket, rarest first, and rows are joined on their prefixes' n-grams:
-    first each with one leader per n-gram, the row that has the fewest rarer n-grams of its own and so is the most
-    central one, which ties tight groups together in a number of pairs that is linear in the group; then, where an n-gram's rows are in different components still, those outside the leader's with all others.
-    So no pair that can link is left out, and no group is expanded into all its pairs.
+    with fewer words, all of them as one). A row without words (null, empty) is linked with nothing. Very long texts count
+    whole. Rows of a null or repeated key are rows of their own, nulls last; an empty table gives an empty one.
+
+    Rows with equal sets are classes, made by their digests; one of each goes on. n-grams are ordered rarest first, by
+    counts over all documents, and rows are joined on their prefixes' n-grams: first each with one leader per n-gram, the
+    row that has the fewest rarer n-grams of its own and so is the most central one, which ties tight groups together in a
+    number of pairs that is linear in the group; then rows in different components still, as _other_pairs says. No pair
+    that can link is left out, none is verified twice, and a group whose rows are tied is not expanded into its pairs.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    survey = materialise(_survey(docs, words), "jaccard-survey")
-    held = survey.where("bucket >= 0").groupBy("bucket").agg(F.sum("held").alias("held")).toPandas()
-    frequency = np.zeros(1 << SKETCH_BITS, np.int64)
-    frequency[held["bucket"]] = held["held"]
-    info = survey.where("bucket < 0").drop("bucket", "held")
+    docs, names = with_ids(df, key, text)
+    bits = max(4, (4 * partitions(df.sparkSession) - 1).bit_length())
+    survey = materialise(_survey(docs, words, min(bits, 24)), "jaccard-survey")
+    info = survey.where("bucket < 0").drop("bucket", "grams")
+    frequent = _frequent(survey.where("bucket >= 0").select("bucket", "grams"), min(bits, 24))
     classes = materialise(info.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("id"))
 
-    prefixes = _prefixes(docs, words, share, frequency)
-    prefixes = materialise(prefixes, "jaccard-prefixes")
+    prefixes = materialise(_prefixes(docs, words, share, frequent, min(bits, 24)), "jaccard-prefixes")
     often = prefixes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     index = materialise(prefixes.join(often, "gram", "left_semi").join(reps, "id", "left_semi"), "jaccard-index")
 
-    n, m, i, j = F.col("n"), F.col("m"), F.col("place"), F.col("at")
-    near = (100 * F.least(n, m) >= share * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, share))
     first = F.min(F.struct(F.col("place").alias("at"), F.xxhash64("id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"))).alias("x")
-    leaders = materialise(index.groupBy("gram").agg(first, F.count("*").alias("c")).where("c > 1").select("gram", "x.leader", "x.m", "x.at"), "jaccard-leaders")
-    stars = index.join(leaders, "gram").where((F.col("id") != F.col("leader")) & near)
-    stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    leaders = index.groupBy("gram").agg(first, F.count("*").alias("group")).where("group > 1").select("gram", "x.leader", "x.m", "x.at", "group")
+    leaders = materialise(leaders, "jaccard-leaders")
+    stars = index.join(leaders, "gram").where((F.col("id") != F.col("leader")) & _may_link(share))
+    stars = materialise(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "jaccard-stars")
     links = materialise(_linked(stars, info, docs, words, share), "jaccard-links")
 
     tied = components(links)
     label = lambda c: tied.select(F.col("v").alias(c), F.col("component").alias(f"{c}_in"))
-    placed = index.join(leaders.select("gram", "leader"), "gram").join(label("id"), "id", "left").join(label("leader"), "leader", "left")
-    placed = placed.select("gram", "id", "n", "place", F.coalesce("id_in", "id").alias("c"), F.coalesce("leader_in", "leader").alias("lc"))
+    placed = index.join(leaders.select("gram", "leader", "group"), "gram").join(label("id"), "id", "left").join(label("leader"), "leader", "left")
+    placed = placed.select("gram", "id", "n", "place", "group", F.coalesce("id_in", "id").alias("c"), F.coalesce("leader_in", "leader").alias("lc"))
     placed = materialise(placed, "jaccard-placed")
-    apart = placed.where("c <> lc").select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("c").alias("oc"))
-    rest = placed.join(apart, "gram").where((F.col("c") != F.col("oc")) & ((F.col("c") == F.col("lc")) | (F.col("id") < F.col("other"))) & near)
-    rest = rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    rest = _other_pairs(placed, share).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(_linked(rest, info, docs, words, share), "jaccard-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else tied
 
     classes = classes.join(final, classes["rep"] == final["v"], "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    out = info.join(classes, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
+    out = info.select("id", "n", "digest").join(classes, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component"))
+    if names is None:
+        return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"))
+    smallest = names.select(F.col("id").alias("component"), F.col("key").alias("component_id"))
+    return out.join(names, "id").join(smallest, "component").select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
