@@ -13,67 +13,71 @@ HEAD = 48
 SAMPLED = 64
 
 
-def _hot_digests(df: DataFrame, digest: Column, n_rows: int, parts: int) -> DataFrame:
+def _hot_digests(rows: DataFrame, digest: Column, n_rows: int, parts: int) -> DataFrame:
     """Digests of texts that fill about half a partition or more, by a sample: 2 * parts of them at most.
 
     Only the spread of work hangs on the sample, never a result.
     """
     share = min(1.0, SAMPLED * parts / max(n_rows, 1))
-    sampled = (df.sample(share, seed=7) if share < 1 else df).select(digest.alias("_digest"))
+    sampled = (rows.sample(share, seed=7) if share < 1 else rows).select(digest.alias("digest"))
     least = max(2.0, n_rows * share / parts / 2)
-    return sampled.groupBy("_digest").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_digest", F.lit(True).alias("_hot"))
+    return sampled.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("digest", F.lit(True).alias("hot"))
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of df: key, `keep_id`, `group_size` long, `kept` boolean, `text_sha256` string.
+def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of df: key, `keep_id`, `group_size` long, `kept` boolean, `text_sha256` string; with `carry` also
+    `row`, a struct of all columns of df.
 
-    Texts are equal when their normalised bytes are (white space deleted; null counts as empty). Rows are range
-    partitioned by normalised content at sampled splitters and sorted outside memory, which places equal texts side
-    by side; neighbours are compared in full. Of a group the row with the longest original text stays, in code
-    points, then the smallest key; with repeated keys, `kept` is true for one row of each group.
+    Texts are equal when their normalised bytes are (white space deleted; null counts as empty; very long ones are
+    compared whole). Rows are range partitioned by normalised content at sampled splitters and sorted outside memory,
+    which places equal texts side by side; neighbours are compared in full. Of a group the row with the longest original
+    text stays, in code points, then the smallest key, nulls last; with repeated keys, `kept` is true for one row of each
+    group. An empty table gives an empty one.
 
     A text with very many copies is dealt over several sub-ranges of the same content, each reduced to its best
     row; their bests, a row per sub-range, are reduced again. So no group lands in one task whole.
     """
     spark, parts = df.sparkSession, partitions(df.sparkSession)
-    norm = without_white_space(whole(F.col(text)))
-    keyed = df.select(
-        F.col(key).alias("_key"), norm.alias("_norm"), F.char_length(whole(F.col(text))).alias("_points")
-    ).withColumn("_digest", F.sha2(F.col("_norm").cast("binary"), 256))
-    hot = F.broadcast(_hot_digests(df, F.sha2(norm.cast("binary"), 256), df.count(), parts))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64("_key", "_points"), F.lit(2 * parts))).otherwise(F.lit(0))
+    own = df.columns if carry else dict.fromkeys([key, text])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    body = whole(F.col("row")[text])
+    norm = without_white_space(body)
+    digest = F.sha2(norm.cast("binary"), 256)
+    hot = F.broadcast(_hot_digests(rows, digest, df.count(), parts))
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64(F.col("row")[key], F.char_length(body)), F.lit(2 * parts))).otherwise(F.lit(0))
     ranged = (
-        keyed.join(hot, "_digest", "left")
-        .withColumn("_head", F.substring(F.col("_norm"), 1, HEAD))
-        .withColumn("_spread", spread)
-        .repartitionByRange("_head", "_digest", "_spread")
-    )
-    same = Window.partitionBy("_head", "_digest", "_spread", "_norm")
-    best = same.orderBy(F.desc("_points"), F.asc_nulls_last("_key"))
+        rows.withColumn("digest", digest).join(hot, "digest", "left")
+        .select("row", "digest", "hot", F.substring(norm, 1, HEAD).alias("head"), spread.alias("spread"))
+        .repartitionByRange("head", "digest", "spread")
+        .select("*", norm.alias("norm"), F.char_length(body).alias("points"), F.col("row")[key].alias("key"))
+    )
+    same = Window.partitionBy("head", "digest", "spread", "norm")
+    best = same.orderBy(F.desc("points"), F.asc_nulls_last("key"))
     # the range partitioning above already serves these windows: no second exchange
     local = ranged.select(
-        "_key", "_digest", "_hot", "_points",
-        F.row_number().over(best).alias("_rank"),
-        F.first("_key").over(best).alias("_best"),
-        F.first("_points").over(best).alias("_best_points"),
-        F.count("*").over(same).alias("_n"),
+        "key", "digest", "hot", "points", *(["row"] if carry else []),
+        F.row_number().over(best).alias("rank"),
+        F.first("key").over(best).alias("best"),
+        F.first("points").over(best).alias("best_points"),
+        F.count("*").over(same).alias("n"),
     )
     local = materialise(local, "exact-runs")
     # of hot texts only: one row per sub-range
-    heads = local.where(F.col("_hot") & (F.col("_rank") == 1))
-    merged = heads.groupBy("_digest").agg(
-        F.min(F.struct((-F.col("_points")).alias("p"), F.isnull("_key").alias("z"), F.col("_key").alias("k"))).alias("_top"),
-        F.sum("_n").alias("_total"),
+    heads = local.where(F.col("hot") & (F.col("rank") == 1))
+    merged = heads.groupBy("digest").agg(
+        F.min(F.struct((-F.col("points")).alias("p"), F.isnull("key").alias("z"), F.col("key").alias("k"))).alias("top"),
+        F.sum("n").alias("total"),
     )
-    joined = local.join(F.broadcast(merged), "_digest", "left")
-    keep = F.when(F.col("_top").isNotNull(), F.col("_top.k")).otherwise(F.col("_best"))
-    points = F.when(F.col("_top").isNotNull(), -F.col("_top.p")).otherwise(F.col("_best_points"))
+    joined = local.join(F.broadcast(merged), "digest", "left")
+    keep = F.when(F.col("top").isNotNull(), F.col("top.k")).otherwise(F.col("best"))
+    points = F.when(F.col("top").isNotNull(), -F.col("top.p")).otherwise(F.col("best_points"))
     return joined.select(
-        F.col("_key").alias(key),
+        F.col("key").alias(key),
         keep.alias("keep_id"),
-        F.coalesce("_total", "_n").alias("group_size"),
-        ((F.col("_rank") == 1) & F.col("_key").eqNullSafe(keep) & (F.col("_points") == points)).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
+        F.coalesce("total", "n").alias("group_size"),
+        ((F.col("rank") == 1) & F.col("key").eqNullSafe(keep) & (F.col("points") == points)).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+        *(["row"] if carry else []),
     )
 
 

@@ -52,7 +52,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: key, source, `size`, `source_size`, `target`, `taken` long, `epochs` long, and the columns `also`.
 
-    Size counts words; a null or empty text has none and is never taken. A source's target is spent on complete
+    Size counts words, of very long texts too; a null or empty text has none and is never taken. Documents with equal keys
+    go by size, null keys are one key; only rows equal in both may swap what is taken. An empty table gives an empty one. A source's target is spent on complete
     epochs of all its documents first; the rest on documents in the order of their keys -ln(u) / w, smallest first,
     u from a hash of the document's key and w from the text's share of symbols. The last document is taken in
     part, up to the target. The same rows give the same mix each time.
