@@ -27,6 +27,22 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, by name; what it doesn't read again it empties, so that not all of them
+    take disk until the end."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def empty(self, *names: str) -> None:
+        for name in names:
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+
 class Rounds:
     """The tables that a loop writes round by round: each takes the place of the one before the last, so that a loop of any
     length leaves two. A round may read the round before it, none earlier."""
