@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import materialise, partitions, table, with_ids
+from ..storage import Scratch
+from .common import partitions, table, with_ids
 from .shingles import shingle_set
 
 #: Parts that the suffix filter counts.
@@ -72,7 +73,7 @@ def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, digest binary, parts binary, bucket int, grams binary")
 
 
-def _frequent(packed: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(packed: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams (their first bits + 32 bits, sorted) that most sets hold, and how many do: counted over all documents.
 
     A task counts the buckets dealt to it one after the other and reports its FREQUENT most frequent n-grams; the least
@@ -105,7 +106,7 @@ def _frequent(packed: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"gram": grams, "c": counts})
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "grams")
-    counts = materialise(dealt.mapInPandas(count, "gram long, c long"), "jaccard-counts")
+    counts = scratch.write("counts", dealt.mapInPandas(count, "gram long, c long"))
     steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step"))
     least, room = None, FREQUENT
     for r in steps.collect():  # a few hundred steps at most
@@ -160,16 +161,16 @@ def _common(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], dtype="int64")
 
 
-def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Of distinct candidate pairs a, b those that link. Each pair passes the suffix filter and is verified once, on the
-    sets made anew from the texts of those documents only."""
+def _linked(name: str, pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, share: int, scratch: Scratch) -> DataFrame:
+    """Of distinct candidate pairs a, b those that link, as table `name`. Each pair passes the suffix filter and is verified
+    once, on the sets made anew from the texts of those documents only."""
     side = lambda c: info.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), share)
-    pairs = materialise(pairs.where(_parts_agree("parts_a", "parts_b", most)).select("a", "b", "n_a", "n_b"), "jaccard-pairs")
+    pairs = scratch.write(f"{name}-pairs", pairs.where(_parts_agree("parts_a", "parts_b", most)).select("a", "b", "n_a", "n_b"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
-    ids = materialise(ids, "jaccard-ids")
+    ids = scratch.write(f"{name}-ids", ids)
     if ids.count() <= SENT:  # as one sorted array; beyond, texts are joined
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
         chosen = docs
@@ -182,11 +183,14 @@ def _linked(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, shar
                 batch = batch[np.isin(batch["id"].to_numpy(), wanted.value)]
             yield pd.DataFrame({"id": batch["id"], "grams": [shingle_set(t, words).astype("<u8").tobytes() for t in batch["text"]]})
 
-    sets = materialise(chosen.mapInPandas(make, "id long, grams binary"), "jaccard-sets")
+    sets = scratch.write(f"{name}-sets", chosen.mapInPandas(make, "id long, grams binary"))
     side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
     pairs = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", _common("grams_a", "grams_b"))
-    return both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    both = both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    links = scratch.write(name, both)
+    scratch.empty(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
+    return links
 
 
 def _may_link(share: int) -> Column:
@@ -235,31 +239,35 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     that can link is left out, none is verified twice, and a group whose rows are tied is not expanded into its pairs.
     """
     docs, names = with_ids(df, key, text)
-    bits = max(4, (4 * partitions(df.sparkSession) - 1).bit_length())
-    survey = materialise(_survey(docs, words, min(bits, 24)), "jaccard-survey")
-    info = survey.where("bucket < 0").drop("bucket", "grams")
-    frequent = _frequent(survey.where("bucket >= 0").select("bucket", "grams"), min(bits, 24))
-    classes = materialise(info.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
+    scratch = Scratch(df.sparkSession, "jaccard")
+    bits = min(24, max(4, (4 * partitions(df.sparkSession) - 1).bit_length()))
+    survey = scratch.write("survey", _survey(docs, words, bits))
+    info = scratch.write("info", survey.where("bucket < 0").drop("bucket", "grams"))
+    frequent = _frequent(survey.where("bucket >= 0").select("bucket", "grams"), scratch)
+    scratch.empty("survey", "counts")
+    classes = scratch.write("classes", info.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id"))
 
-    prefixes = materialise(_prefixes(docs, words, share, frequent, min(bits, 24)), "jaccard-prefixes")
+    prefixes = scratch.write("prefixes", _prefixes(docs, words, share, frequent, bits))
     often = prefixes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    index = materialise(prefixes.join(often, "gram", "left_semi").join(reps, "id", "left_semi"), "jaccard-index")
+    index = scratch.write("index", prefixes.join(often, "gram", "left_semi").join(reps, "id", "left_semi"))
+    scratch.empty("prefixes")
 
     first = F.min(F.struct(F.col("place").alias("at"), F.xxhash64("id").alias("h"), F.col("id").alias("leader"), F.col("n").alias("m"))).alias("x")
     leaders = index.groupBy("gram").agg(first, F.count("*").alias("group")).where("group > 1").select("gram", "x.leader", "x.m", "x.at", "group")
-    leaders = materialise(leaders, "jaccard-leaders")
+    leaders = scratch.write("leaders", leaders)
     stars = index.join(leaders, "gram").where((F.col("id") != F.col("leader")) & _may_link(share))
-    stars = materialise(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "jaccard-stars")
-    links = materialise(_linked(stars, info, docs, words, share), "jaccard-links")
+    stars = scratch.write("stars", stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    links = _linked("links", stars, info, docs, words, share, scratch)
 
     tied = components(links)
     label = lambda c: tied.select(F.col("v").alias(c), F.col("component").alias(f"{c}_in"))
     placed = index.join(leaders.select("gram", "leader", "group"), "gram").join(label("id"), "id", "left").join(label("leader"), "leader", "left")
     placed = placed.select("gram", "id", "n", "place", "group", F.coalesce("id_in", "id").alias("c"), F.coalesce("leader_in", "leader").alias("lc"))
-    placed = materialise(placed, "jaccard-placed")
+    placed = scratch.write("placed", placed)
     rest = _other_pairs(placed, share).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_linked(rest, info, docs, words, share), "jaccard-links")
+    more = _linked("more", rest, info, docs, words, share, scratch)
+    scratch.empty("placed", "index", "leaders", "stars")
     final = components(links.unionByName(more)) if not more.isEmpty() else tied
 
     classes = classes.join(final, classes["rep"] == final["v"], "left").select("digest", F.coalesce("component", "rep").alias("class"))
