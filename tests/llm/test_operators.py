@@ -18,10 +18,12 @@ WHITE = " \t\n\x0b\x0c\r"
 
 def docs(spark, rows):
     """doc_id, text, source; with columns whose names the operators use inside."""
-    full = [(k, t, s, "en", k * 10, 1.5, "x") for k, t, s in rows]
-    return spark.createDataFrame(full, "doc_id long, text string, source string, lang string, id long, score double, rank string")
+    full = [(k, t, s, "en", (k or 0) * 10, 1.5, "x") for k, t, s in rows]
+    table = spark.createDataFrame(full, "doc_id long, text string, source string, lang string, id long, score double, rank string")
+    return table.withColumns({c: F.lit("own") for c in CLASHING})
 
 
+CLASHING = "key row lang_pred kept shard slot size taken target digest nth draw n _id _keep _row _rank uid h own found".split()
 ODD = [(0, None, None), (1, "", "a"), (2, " \n\t ", "a"), (3, "é ß 漢字 😀", "b"), (4, "x" * 300_000, "b"), (5, "a b c d e f", "a"), (6, "a b c d e f", "a"), (7, "A  b c\nd e f ", "c")]
 
 
@@ -57,6 +59,14 @@ def test_sharding(spark):
         sharding.rendezvous(F.lit(1), [0.0])
 
 
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_with_clashing_columns(spark, name, tmp_path):
+    common.table(spark, DATA, "documents").limit(60).withColumns({c: F.lit("own") for c in [*CLASHING, "rank", "score", "id"]}).write.parquet(str(tmp_path / "documents.parquet"))
+    common.table(spark, DATA, "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.queries()[name](spark, str(tmp_path))
+    assert "own" not in got.columns and got.select("doc_id").distinct().count() == 60
+
+
 def test_sharding_query(spark):
     rows = {r["doc_id"]: r for r in sharding.op7_sharding(spark, DATA).collect()}
     for r in common.table(spark, DATA, "documents").collect():
@@ -129,7 +139,7 @@ def test_language(spark):
     model = language_id.fit_language_model(language_id.learnable(train), "text", "lang", "doc_id")
     got = {r["doc_id"]: r for r in language_id.detect_language(train.select("doc_id", "text"), model).collect()}
     assert all(got[k]["lang_pred"] == x and 0 <= got[k]["score"] <= 1 for k, _, x in rows)
-    odd = {r["doc_id"]: r for r in language_id.detect_language(docs(spark, [*ODD, (9, "12 !! 3", "a")]).drop("score"), model).collect()}
+    odd = {r["doc_id"]: r for r in language_id.detect_language(docs(spark, [*ODD, (9, "12 !! 3", "a")]), model).collect()}
     assert [odd[k]["lang_pred"] == "und" for k in (0, 1, 2, 3, 4, 5, 9)] == [True, True, True, False, False, False, True]
     none = language_id.fit_language_model(train.limit(0), "text", "lang", "doc_id")
     assert {r["lang_pred"] for r in language_id.detect_language(train.select("text"), none).collect()} == {"und"}
@@ -154,6 +164,106 @@ def test_held_out_accuracy(spark):
     rows = [r for r in quality_knn.op2_quality_knn(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
     good, bad = ([r["score"] for r in rows if labels[r["doc_id"]]["quality"] == k] for k in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.95
+    rows = [r for r in toxicity.op5_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    bad, calm = ([r["score"] for r in rows if labels[r["doc_id"]]["toxic"] == k] for k in (1, 0))
+    assert np.mean([g > b for g in bad for b in calm]) > 0.6  # few of the labels can be told from the texts
+
+
+def test_language_is_naive_bayes(spark):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcä é" if k % 2 else "bcd o") for _ in range(rng.randint(1, 60))), "xy"[k % 2]) for k in range(120)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.detect_language(train, language_id.fit_language_model(train, "text", "lang", "doc_id")).collect()}
+
+    def grams(text):
+        t = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in t:
+            t = t.replace("  ", " ")
+        return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+    held, n = {"x": {}, "y": {}}, {"x": 0, "y": 0}
+    for _, t, x in rows:
+        if any(c.isalpha() for c in t):
+            n[x] += 1
+            for g in grams(t):
+                held[x][g] = held[x].get(g, 0) + 1
+    logs = {}
+    for x in "xy":
+        total = sum(held[x].values()) + language_id.SMOOTHING * language_id.BUCKETS
+        logs[x] = lambda g, x=x, total=total: math.log((held[x].get(g, 0) + language_id.SMOOTHING) / total)
+    for k, t, _ in rows:
+        if not any(c.isalpha() for c in t):
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        a, b = (sum(map(logs[x], grams(t))) + math.log(n[x] / sum(n.values())) for x in "xy")
+        assert got[k]["lang_pred"] == ("x" if a >= b else "y") and math.isclose(got[k]["score"], 1 / (1 + math.exp(-abs(a - b))), rel_tol=1e-3)
+
+
+def test_quality_is_a_weighted_vote():
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    model = quality_knn.Neighbours(np.ones(quality_knn.TERMS, np.float32), rng.standard_normal((quality_knn.TERMS, 8)).astype(np.float32), unit(rng.standard_normal((90, 8))).astype(np.float32), rng.integers(0, 2, 90).astype(float))
+    texts = [" ".join(rng.choice(["a", "bb", "## !", "Cc."], 30)) for _ in range(300)]
+    found, vectors = model.score(texts), model.embed(texts)
+    for v, s in zip(vectors, found, strict=True):
+        cosine = [float(v @ w) for w in model.vectors]
+        near = sorted(range(90), key=lambda k: -cosine[k])[: quality_knn.NEIGHBOURS]
+        weight = [max(cosine[k], 1e-6) ** quality_knn.SHARPNESS for k in near]
+        assert math.isclose(s, sum(w * model.labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight), rel_tol=1e-4, abs_tol=1e-6)
+    assert quality_knn._nearest(np.array([[1, 5, 5, 5, 2.0], [3, 3, 3, 3, 3]]), 2).tolist() == [[1, 2], [0, 1]]
+
+
+class Dictionary:
+    """Kneser-Ney by its definition: orders 5 and 4 by class, 3 and below over both."""
+
+    def __init__(self, texts, d=toxicity.DISCOUNT):
+        five = [{}, {}]
+        for t, k in texts:
+            for i in range(len(t) - 4):
+                five[k][t[i : i + 5]] = five[k].get(t[i : i + 5], 0) + 1
+        self.d, self.five = d, five
+        self.four = [self.ends(five[k]) for k in (0, 1)]
+        self.three = self.ends(set(self.four[0]) | set(self.four[1]))
+        self.two = self.ends(self.three)
+        self.one = self.ends(self.two)
+
+    @staticmethod
+    def ends(grams):
+        out = {}
+        for g in grams:
+            out[g[1:]] = out.get(g[1:], 0) + 1
+        return out
+
+    def p(self, gram, k):
+        """The last letter's probability after the others."""
+        if len(gram) == 1:
+            return self.one.get(gram, 0) / sum(self.one.values())
+        table = {5: self.five[k], 4: self.four[k], 3: self.three, 2: self.two}[len(gram)]
+        after = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        lower = self.p(gram[1:], k)
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(gram, 0) - self.d, 0) / total + self.d * len(after) / total * lower
+
+
+def test_toxicity_is_kneser_ney():
+    rng = random.Random(11)
+    texts = [("".join(rng.choice("abbc " if k else "abc") for _ in range(25)), k) for k in (0, 1) for _ in range(12)]
+    rows = []
+    for t, k in texts:
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+        for i in range(len(codes) - 4):
+            rows.append((k, (codes[i] << toxicity.BITS) | codes[i + 1], int(toxicity._threes(codes[i + 2 : i + 5])[0]), 1))
+    counts = pd.DataFrame(rows, columns=["toxic", "two", "three", "n"]).groupby(["toxic", "two", "three"], as_index=False).sum()
+    model, brute = toxicity._tables(counts), Dictionary(texts)
+    for context in ("abbc", "bc a", "cccc", "a ab"):  # seen and unseen ones: all letters' probabilities sum to one
+        for k in (0, 1):
+            assert math.isclose(sum(brute.p(context + c, k) for c in "abc "), 1)
+    for text in ("abbcab", "cab abc bba", "aaaaaaaa", "bc ccabbc"):
+        t = f" {text} "
+        want = [math.log(brute.p(t[i : i + 5], 1) / brute.p(t[i : i + 5], 0)) for i in range(len(t) - 4)]
+        assert math.isclose(model.difference(text), sum(want) / len(want), abs_tol=1e-4)
 
 
 def test_quality_neighbours(spark):
@@ -163,14 +273,14 @@ def test_quality_neighbours(spark):
     model = quality_knn.fit_neighbours(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
     got = {r["doc_id"]: r["score"] for r in quality_knn.score_quality(rows, model).collect()}
     assert all(got[k] > 0.9 for k, _, _ in good) and all(got[k] < 0.1 for k, _, _ in bad)
-    assert all(0 <= r["score"] <= 1 for r in quality_knn.score_quality(docs(spark, ODD).drop("score"), model).collect())
+    assert all(0 <= r["score"] <= 1 for r in quality_knn.score_quality(docs(spark, ODD), model).collect())
     empty = quality_knn.fit_neighbours(rows.select("doc_id", "text").limit(0), rows.select("doc_id", "quality"))
     assert {r["score"] for r in quality_knn.score_quality(rows, empty).collect()} == {0.5}
     text = " ".join(f"w{k % 7} Abc" for k in range(400))
     whole = quality_knn.term_counts(text)
-    piece, quality_knn.PIECE = quality_knn.PIECE, 100
+    piece, quality_knn.PIECE = quality_knn.PIECE, 7
     try:
-        assert (quality_knn.term_counts(text)[: quality_knn.WORDS] == whole[: quality_knn.WORDS]).all()
+        assert (quality_knn.term_counts(text) == whole).all()
     finally:
         quality_knn.PIECE = piece
 
@@ -208,7 +318,7 @@ def test_toxicity(spark):
     model = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, model).collect()}
     assert np.mean([(got[k] >= 0.5) == t for k, _, t in rows]) > 0.97
-    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs(spark, ODD).drop("score"), model).collect())
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs(spark, ODD), model).collect())
     none = toxicity.fit_toxicity(table.select("doc_id", "text").limit(0), table.select("doc_id", "toxic"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(table, none).collect())
 
@@ -239,13 +349,24 @@ def test_knapsack_and_plan():
     assert padding <= 0.01 * total and max(fill) < plan.all_sequences
 
 
+def test_column_generation_reaches_the_optimum():
+    """Against all patterns of a small case: no fractional cover takes fewer sequences than the bound from the lengths,
+    and none that covers by whole patterns and cuts is cheaper than the program's."""
+    demand, capacity = {7: 30, 5: 40, 3: 30}, 10
+    solved = packing.column_generation(demand, capacity)
+    held = {l: sum(p.get(l, 0) * x for p, x in solved) for l in demand}
+    # 7 + 3 and 5 + 5 fill every sequence: 30 and 20 of them
+    assert math.isclose(sum(x for _, x in solved), 50, rel_tol=1e-3) and all(math.isclose(held[l], d, rel_tol=1e-3) for l, d in demand.items())
+
+
 def test_packing(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
     rng = random.Random(8)
-    rows = [*ODD, ODD[5], *((20 + k, " ".join(rng.choice(["red", "Blue", "grün", "7"]) for _ in range(rng.randint(0, 3000))), "a") for k in range(30))]
+    marked = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "  <|endoftext|>  x", "<|endoftext|", "<|ENDOFTEXT|>", "x<|endoftext|>\n\n y"]
+    rows = [*ODD, ODD[5], *((60 + k, t, "a") for k, t in enumerate(marked)), *((20 + k, " ".join(rng.choice(["red", "Blue", "grün", "7"]) for _ in range(rng.randint(0, 3000))), "a") for k in range(30))]
     pieces = packing.pack(docs(spark, rows)).collect()
     want = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for k, t, _ in rows}
     for k, ids in want.items():
@@ -280,8 +401,14 @@ def brute_components(rows, words, share):
     return {k: (len(sets[k]), label[k]) for k in sets}
 
 
-@pytest.mark.parametrize("words,share", [(4, 85), (5, 80)])
-def test_jaccard(spark, words, share):
+@pytest.mark.parametrize("words,share,small", [(4, 85, False), (5, 80, False), (4, 85, True)])
+def test_jaccard(spark, words, share, small, monkeypatch):
+    if small:  # ids and pairs joined instead of sent, few counts, salted groups
+        for name, value in (("SENT", 0), ("SENT_PAIRS", 0), ("LEAST", 2), ("FREQUENT", 20), ("HELD", 50), ("SALTED", 3)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    seen = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda name, pairs, *a: (seen.extend(map(tuple, pairs.collect())), linked(name, pairs, *a))[1])
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = list(ODD)
@@ -294,9 +421,32 @@ def test_jaccard(spark, words, share):
             rows.append((len(rows), " ".join(copy), "a"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs(spark, rows), words=words, share=share).collect()}
     assert got == brute_components(rows, words, share)
+    assert seen and len(seen) == len(set(seen))  # no pair is verified twice
     assert jaccard_join.similar_components(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_jaccard_of_a_template(spark, monkeypatch):
+    common = " ".join(f"c{k}" for k in range(93))
+    rows = [(k, common + "".join(f" o{j}x{k}" for j in range(10)), "a") for k in range(400)]
+    seen = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda name, pairs, *a: (seen.append(pairs.count()), linked(name, pairs, *a))[1])
+    got = jaccard_join.similar_components(docs(spark, rows), words=4, share=85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and sum(seen) < 400
+
+
+def test_null_and_repeated_keys(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0), "a"), (None, text(1), "a"), (7, text(2), "a"), (7, text(1), "a"), (9, text(2), "a"), (7, text(3), "a")]
+    got = jaccard_join.similar_components(docs(spark, rows), words=4, share=85).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted([("None", "None"), ("None", "7"), ("7", "7"), ("7", "7"), ("7", "7"), ("9", "7")])
+    named = jaccard_join.similar_components(spark.createDataFrame([("b", text(0)), ("a", text(0)), ("c", "x")], "k string, text string"), "k")
+    assert sorted((r["k"], r["component_id"]) for r in named.collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+    got = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    assert len(got) == 6 and sorted(r["n_removed"] for r in got) == [0, 0, 0, 0, len(text(1)), len(text(2))]
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {None, 9}
+
+
 def brute_repeats(rows, window):
     seen, out = set(), {}
     for k, t, *_ in sorted(rows):
@@ -317,23 +467,46 @@ def test_repeats(spark, small, monkeypatch):
     rng = random.Random(9)
     say = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
     shared = [say(150) for _ in range(4)]
-    rows = [(k, t[:5000] if t else t, s) for k, t, s in ODD]
+    rows = list(ODD)
     rows += [(20 + k, "".join(say(rng.randint(0, 80)) + rng.choice(shared) for _ in range(3)), "a") for k in range(25)]
     rows += [(60, rows[-1][1], "a"), (61, "ab" * 200, "a"), (62, "ab" * 230, "a")]
-    if small:  # many shards, and anchors joined instead of sent
+    merged = []
+    if small:  # many shards
         monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 2)
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
-        monkeypatch.setattr(suffix_dedup, "SENT", 0)
+        monkeypatch.setattr(suffix_dedup, "ROWS", 100)
+        monkeypatch.setattr(suffix_dedup, "BYTES", 1000)
+        merge = suffix_dedup._merge_shards
+        monkeypatch.setattr(suffix_dedup, "_merge_shards", lambda classes, window: (merged.append(classes.count()), merge(classes, window))[1])
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs(spark, rows)).drop("kept").collect()}
-    assert got == brute_repeats(rows, 100)
+    assert got == brute_repeats(rows, 100) and (not small or merged[0] > 100)
     assert suffix_dedup.remove_repeats(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_runs_merge_to_their_union():
+    rng = random.Random(2)
+    windows = [bytes(rng.choice([0, 1, 255]) for _ in range(6)) for _ in range(300)]
+    best, late, stack = {}, [], []
+    for nth in range(5):
+        own = {w: (rng.randrange(50), rng.randrange(50)) for w in rng.sample(windows, 120)}
+        keys = sorted(own)
+        stack.append((np.array(keys, "S6"), np.array([own[w][0] for w in keys]), np.array([own[w][1] for w in keys])))
+        for w, p in own.items():
+            late += [max(p, best[w])] if w in best else []
+            best[w] = min(p, best.get(w, p))
+    run, found = stack[0], []
+    for other in stack[1:]:
+        run, (ids, starts) = suffix_dedup._merge(run, other)
+        found += zip(ids.tolist(), starts.tolist())
+    assert [w.ljust(6, b"\0") for w in run[0].tolist()] == sorted(best) and list(zip(run[1].tolist(), run[2].tolist())) == [best[w] for w in sorted(best)]
+    assert sorted(found) == sorted(late)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "mixed", "packed"]
-    table = common.materialise(common.table(spark, DATA, "documents").withColumn("rank", F.lit("x")), "docs")
+    table = common.materialise(common.table(spark, DATA, "documents").withColumns({c: F.lit("own") for c in [*CLASHING, "rank", "score", "id"]}), "docs")
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"] for r in table.collect()}
         after = common.materialise(stage(spark, table, DATA), name)
