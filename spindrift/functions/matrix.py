@@ -68,8 +68,11 @@ def block_count(a: DataFrame, size: int, row: str = "i", column: str = "j") -> D
     return a.agg(F.coalesce(F.ceil((last + 1) / F.lit(size)), F.lit(0)).cast("long").alias("blocks"))
 
 
-def relabel(a: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Rows and columns renamed by mapping (old, new). Entries without a name in it are dropped."""
+def relabel(a: DataFrame, mapping: DataFrame, n: int) -> DataFrame:
+    """Rows and columns renamed by mapping (old, new), which must be a bijection on 0 to n - 1."""
+    wrong = [bijection_errors(m, n).first().asDict() for m in (mapping, mapping.select(F.col("new").alias("old"), F.col("old").alias("new")))]
+    if any(any(w.values()) for w in wrong):
+        raise ValueError(f"the mapping isn't a bijection: {wrong}")
     rows = mapping.select(F.col("old").alias("i"), F.col("new").alias("_i"))
     columns = mapping.select(F.col("old").alias("j"), F.col("new").alias("_j"))
     return a.join(rows, "i").join(columns, "j").select(F.col("_i").alias("i"), F.col("_j").alias("j"), "v")

@@ -23,6 +23,13 @@ def with_owner(df: DataFrame, ranges: DataFrame, column: str, owner: str) -> Dat
     return df.join(r, (F.col(column) >= F.col("_lo")) & (F.col(column) < F.col("_hi"))).drop("_lo", "_hi")
 
 
+def localised(df: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
+    """Add the slice that owns the column, `owner`, and the column's place in that slice, `at`."""
+    owned = with_owner(df, ranges, column, "owner")
+    starts = F.broadcast(ranges.select(F.col("part").alias("owner"), F.col("lo").alias("_lo")))
+    return owned.join(starts, "owner").withColumn("at", F.col(column) - F.col("_lo")).select(*df.columns, "owner", "at")
+
+
 def receive_table(a: DataFrame, ranges: DataFrame) -> DataFrame:
     """part, owner, j: columns that a slice uses and another one owns."""
     owned = with_owner(with_owner(a.select("i", "j"), ranges, "i", "part"), ranges, "j", "owner")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Rounds, materialise
+from ..storage import Rounds, materialise, number_rows
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -76,10 +76,54 @@ def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
         edges = materialise(edges.select("i", "j", "w", F.col("nci").alias("ci"), F.col("ncj").alias("cj")), "edges")
 
 
+def _doubled(links: DataFrame, name: str) -> DataFrame:
+    """links: id, next (null at the end of a list), w. id and the sum of w from each entry to the end of its list: each
+    round every entry takes over what its next one knows, so rounds grow with the logarithm of the longest list."""
+    made = Rounds(links.sparkSession, name)
+    known = made.write(links.select("id", "next", "w"))
+    while not known.where("next IS NOT NULL").isEmpty():
+        further = known.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("w").alias("_w"))
+        known = made.write(known.join(further, "next", "left").select("id", F.col("_next").alias("next"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w")))
+    return known.select("id", "w")
+
+
+def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """forest: i, j, the edges of trees; roots: v, one of each tree. v, parent (null at roots), size (of the subtree).
+
+    A tour goes round each tree, from every arc to the one after its twin among its end's arcs; of an edge's two arcs the
+    parent's comes first, and half the arcs from it to its twin are the subtree's. Places in tours are found by doubling.
+    """
+    both = forest.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(forest.select(F.col("j").alias("a"), F.col("i").alias("b")))
+    arcs = materialise(number_rows(both, "a", "b", name="id"), "arcs")
+    first = arcs.groupBy("a").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    around = arcs.join(first, "a").select("id", "a", "b", "first", F.when(F.col("id") == F.col("last"), F.col("first")).otherwise(F.col("id") + 1).alias("after"))
+    twins = around.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("id").alias("twin"), F.col("first").alias("_first"), F.col("after").alias("next"))
+    ends = roots.select(F.col("v").alias("b"), F.lit(True).alias("_root"))
+    tour = arcs.join(twins, ["a", "b"]).join(ends, "b", "left")
+    closes = F.col("_root") & (F.col("next") == F.col("_first"))
+    tour = materialise(tour.select("id", "twin", "a", "b", F.when(~F.coalesce(closes, F.lit(False)), F.col("next")).alias("next"), F.lit(1).cast("long").alias("w")), "tour")
+    place = _doubled(tour, "tour-places")
+    twin = place.select(F.col("id").alias("twin"), F.col("w").alias("_w"))
+    down = tour.select("id", "twin", "a", "b").join(place, "id").join(twin, "twin").where("w > _w")
+    below = down.select(F.col("b").alias("v"), F.col("a").alias("parent"), F.expr("(w - _w + 1) div 2").alias("size"))
+    top = roots.select("v").join(below.groupBy(F.col("parent").alias("v")).agg(F.sum("size").alias("s")), "v", "left")
+    return below.unionByName(top.select("v", F.lit(None).cast("long").alias("parent"), (1 + F.coalesce("s", F.lit(0))).alias("size")))
+
+
+def visited(tree: DataFrame) -> DataFrame:
+    """tree: v, parent, size. Adds `pos`: the place in a preorder of its tree that visits smaller subtrees first, ties by
+    vertex: pos(child) = pos(parent) + 1 + the sizes of the siblings before it, added up to the root by doubling."""
+    before = Window.partitionBy("parent").orderBy("size", "v").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    steps = materialise(tree.select("v", "parent", "size", step.cast("long").alias("w")), "steps")
+    places = _doubled(steps.select(F.col("v").alias("id"), F.col("parent").alias("next"), "w"), "visits")
+    return steps.select("v", "parent", "size").join(places.select(F.col("id").alias("v"), F.col("w").alias("pos")), "v")
+
+
 def preorder(tree: DataFrame) -> DataFrame:
     """tree: v, level, parent, as bfs gives it. Adds `size` (of the subtree) and `pos`: the place in a preorder of its
-    tree that visits smaller subtrees first, ties by vertex. In closed form, a level at a time:
-    pos(child) = pos(parent) + 1 + the sizes of the siblings before it."""
+    tree that visits smaller subtrees first, ties by vertex. In closed form, a level at a time, as the levels are known:
+    pos(child) = pos(parent) + 1 + the sizes of the siblings before it. rooted and visited do it for trees of any depth."""
     tree = materialise(tree, "tree")
     depth = tree.agg(F.max("level")).first()[0]
     if depth is None:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matrix import degrees
 from ..storage import materialise, number_rows
-from .graph import all_components, bfs, preorder, spanning_forest
+from .graph import all_components, rooted, spanning_forest, visited
 
 #: Edges of one component, up to which it is ordered inside one task; larger ones are ordered by distributed rounds.
 TASK_EDGES = 500_000
@@ -101,7 +100,7 @@ def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _tree_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """v, step: what _walk_tree gives, in rounds. edges: i, j, w; roots: v."""
-    return preorder(bfs(spanning_forest(edges), roots)).select("v", F.col("pos").alias("step"))
+    return visited(rooted(spanning_forest(edges), roots)).select("v", F.col("pos").alias("step"))
 
 
 def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", task_edges: int = TASK_EDGES) -> DataFrame:
@@ -116,11 +115,14 @@ def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", t
     sizes = materialise(edges.groupBy("component").agg(F.count("*").alias("m")), "sizes")
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = walk(pdf)
-        return pd.DataFrame({"v": found, "step": np.arange(len(found))})
+        found = [walk(own) for _, own in pdf.groupby("component")]
+        return pd.DataFrame({"v": [v for own in found for v in own], "step": [k for own in found for k in range(len(own))]}, dtype="int64")
 
+    # small components share a task's call
     small = edges.join(sizes.where(F.col("m") <= task_edges).select("component"), "component", "left_semi")
-    steps = small.groupBy("component").applyInPandas(order, "v long, step long")
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    calls = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // task_edges))
+    steps = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")).applyInPandas(lambda pdf: order(pdf), "v long, step long")
     large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"))
     if not large.isEmpty():
         steps = steps.unionByName(rounds(edges.join(large.withColumnRenamed("v", "component"), "component", "left_semi"), large))
@@ -128,15 +130,17 @@ def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", t
 
 
 def linear_order(a: DataFrame, vertices: DataFrame, width: int, method: str = "forest") -> DataFrame:
-    """v, pos: a bijection onto 0 to n - 1. Edges of head vertices are left out before the middle is ordered."""
+    """v, pos: a bijection onto 0 to n - 1. Edges of head vertices are left out before the middle is ordered; its components
+    stand by size, largest first, then by their smallest vertex."""
     classes = materialise(vertex_classes(a, vertices, width), "classes")
     middle = classes.where("class = 'middle'").select("v")
     inner = a.join(middle.withColumnRenamed("v", "i"), "i", "left_semi").join(middle.withColumnRenamed("v", "j"), "j", "left_semi")
-    steps = component_order(inner, middle, method)
+    steps = materialise(component_order(inner, middle, method), "order")
+    steps = steps.join(steps.groupBy("component").agg(F.count("*").alias("_size")), "component")
     keyed = classes.join(steps, "v", "left").select(
         "v",
         F.when(F.col("class") == "head", 0).when(F.col("class") == "middle", 1).otherwise(2).alias("_segment"),
         F.when(F.col("class") == "middle", F.col("component")).otherwise(F.col("rank")).alias("_group"),
-        F.coalesce("step", F.lit(0)).alias("_step"),
-    )
-    return number_rows(keyed, "_segment", "_group", "_step", "v").select("v", "pos")
+        F.coalesce("_size", F.lit(0)).alias("_size"), F.coalesce("step", F.lit(0)).alias("_step"),
+    )
+    return number_rows(keyed, "_segment", F.desc("_size"), "_group", "_step", "v").select("v", "pos")

@@ -41,6 +41,14 @@ def multiply_wide(a: DataFrame, x: DataFrame, features: list[str], group: int =
     return out
 
 
+def multiply_arrays(a: DataFrame, x: DataFrame, features: int) -> DataFrame:
+    """Many features: X has a row per vertex (v, x: an array of that length); products go through wide rows and come out as
+    rows (v, f, x), so that neither the join nor the shuffle has a row per feature."""
+    names = [f"f{k}" for k in range(features)]
+    wide = multiply_wide(a, x.select("v", *[F.col("x")[k].cast("double").alias(c) for k, c in enumerate(names)]), names)
+    return wide.select("v", F.posexplode(F.array(*names)).alias("f", "x"))
+
+
 def multiply_levels(levels: Levels, x: DataFrame) -> DataFrame:
     """Each level in its own order: rows of X go to the level's positions, products are added there, and the sums go
     back to the vertices and are added over levels. Rows go straight from vertices to any level, not level by level."""
@@ -63,7 +71,7 @@ def multiply_owned(a: DataFrame, x: DataFrame, size: int) -> DataFrame:
     """One owner for each diagonal tile, holding also the first row's and the first column's tiles at its place: owner
     max(bi, bj). Entries are dealt by owner, and the first row of tiles is reduced over the owners."""
     owned = with_tiles(a, size).withColumn("owner", F.greatest("bi", "bj"))
-    pairs = owned.repartition("owner").join(_rows(x, "j"), "j").select("owner", F.col("i").alias("v"), "f", (F.col("v") * F.col("_x")).alias("x"))
+    pairs = owned.join(_rows(x, "j"), "j").select("owner", F.col("i").alias("v"), "f", (F.col("v") * F.col("_x")).alias("x"))
     return _summed(_summed(pairs, "owner", "v", "f"), "v", "f")
 
 

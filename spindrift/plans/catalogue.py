@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from ..operators import exchange as E
 from ..operators import graph as G
 from ..operators import linear_order as L
 from ..operators import metrics, peel, spmm
-from ..sources import generators, graphs
-from ..storage import materialise, number_rows
+from ..sources import files, generators, graphs
+from ..storage import materialise, number_rows, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,10 +241,16 @@ def block_count(spark, d):
 
 @query(f"WITH {PS} SELECT i // 64 AS y, j // 64 AS x, count(*) AS entries FROM ps GROUP BY ALL")
 def pattern_histogram(spark, d):
-    from ..sources.files import pattern_histogram as grid
+    return files.pattern_histogram(graphs.part_supplier(spark, d)[0], 64)
 
-    a, n = graphs.part_supplier(spark, d)
-    return grid(a, -(-n // 64), n) if -(-n // -(-n // 64)) == 64 else grid(a, n // 64, 64 * (n // 64))
+
+@query(f"WITH {NT} SELECT i, j, v, (SELECT count(*) FROM nation) AS rows, (SELECT count(*) FROM nation) AS columns FROM nt")
+def matrix_market_round_trip(spark, d):
+    a, n = graphs.nation_trade(spark, d)
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}.mtx"
+    files.write_matrix_market(a, n, n, path)
+    a, rows, columns = files.read_matrix_market(spark, path)
+    return a.select("i", "j", "v", F.lit(rows).cast("long").alias("rows"), F.lit(columns).cast("long").alias("columns"))
 
 
 # Permutations and joins
@@ -252,7 +259,8 @@ def pattern_histogram(spark, d):
 @query(f"WITH {PS}, {DEG} SELECT p.rank AS i, q.rank AS j, a.v FROM ps a JOIN rk p ON p.v = a.i JOIN rk q ON q.v = a.j")
 def relabel(spark, d):
     mapping = materialise(_ranked(spark, d, 64).select(F.col("v").alias("old"), F.col("rank").alias("new")), "ranked")
-    return M.relabel(graphs.part_supplier(spark, d)[0], mapping)
+    a, n = graphs.part_supplier(spark, d)
+    return M.relabel(a, mapping, n)
 
 
 @query("SELECT 0::BIGINT AS missing, 0::BIGINT AS repeated, 0::BIGINT AS outside")
@@ -264,7 +272,7 @@ def mapping_is_bijection(spark, d):
 @query(f"WITH {NT} SELECT (i * 7 + 3) % 25 AS i, (j * 7 + 3) % 25 AS j, v FROM nt")
 def permute_graph(spark, d):
     a, n = graphs.nation_trade(spark, d)
-    return M.relabel(a, spark.range(n).select(F.col("id").alias("old"), ((F.col("id") * 7 + 3) % 25).alias("new")))
+    return M.relabel(a, spark.range(n).select(F.col("id").alias("old"), ((F.col("id") * 7 + 3) % 25).alias("new")), n)
 
 
 @query(f"WITH {PS}, {DEG}, m AS (SELECT v FROM rk WHERE rank >= 64 AND d > 0) SELECT i, j, v FROM ps a WHERE i IN (SELECT v FROM m) AND j IN (SELECT v FROM m)")
@@ -332,7 +340,7 @@ def msf_edges(spark, d):
     return forest.agg(F.count("*").alias("edges"))
 
 
-@query(
+_PREORDER = (
     f"WITH {TT}, o AS (SELECT o_custkey + r + n AS c, o_orderkey + r + n + (SELECT c FROM k) AS v FROM orders, k), "
     "cs AS (SELECT c.c_custkey + r + n AS v, c.c_nationkey + r AS p, 1 + (SELECT count(*) FROM orders x WHERE x.o_custkey = c.c_custkey) AS size FROM customer c, k), "
     "ns AS (SELECT n_nationkey + r AS v, n_regionkey::BIGINT AS p, 1 + coalesce((SELECT sum(size) FROM cs WHERE cs.p = n_nationkey + r), 0) AS size FROM nation, k), "
@@ -342,12 +350,26 @@ def msf_edges(spark, d):
     "po AS (SELECT o.v, o.c AS p, 1 AS size, pc.pos + row_number() OVER (PARTITION BY o.c ORDER BY o.v) AS pos FROM o JOIN pc ON pc.v = o.c) "
     "SELECT v, 0 AS level, NULL::BIGINT AS parent, size::BIGINT AS size, 0::BIGINT AS pos FROM rs UNION ALL SELECT v, 1, p, size::BIGINT, pos::BIGINT FROM pn UNION ALL SELECT v, 2, p, size::BIGINT, pos::BIGINT FROM pc UNION ALL SELECT v, 3, p, size, pos::BIGINT FROM po"
 )
+
+
+@query(_PREORDER)
 def tree_preorder(spark, d):
     a, _ = graphs.trade_tree(spark, d)
     tree = G.bfs(a, spark.range(graphs.rows_of(spark, d, "region")).withColumnRenamed("id", "v"))
     return G.preorder(tree).select("v", "level", "parent", "size", "pos")
 
 
+# every tree has its region, which is its smallest vertex, on top; larger trees come first
+@query(
+    f"WITH RECURSIVE {TT}, w AS (SELECT range AS v, range AS c FROM range((SELECT count(*) FROM region)) UNION ALL SELECT j, c FROM w JOIN tt ON i = v), "
+    f"p AS ({_PREORDER}), t AS (SELECT c, count(*) AS size FROM w GROUP BY c), s AS (SELECT c, (sum(size) OVER (ORDER BY size DESC, c) - size)::BIGINT AS before FROM t) "
+    "SELECT p.v, before + p.pos AS pos FROM p JOIN w USING (v) JOIN s USING (c)"
+)
+def linear_order_of_trees(spark, d):
+    a, n = graphs.trade_tree(spark, d)
+    return L.linear_order(a, spark.range(n).withColumnRenamed("id", "v"), 0)
+
+
 @query(f"WITH {US} SELECT range AS pos FROM range((SELECT max(user_id) + 1 FROM events))")
 def linear_order_positions(spark, d):
     a, n = graphs.user_steps(spark, d)
@@ -438,7 +460,7 @@ def spmm_k_features(spark, d):
 )
 def spmm_embeddings(spark, d):
     a, n = graphs.part_supplier(spark, d)
-    return spmm.multiply(a, graphs.dense_embeddings(spark, d, n)).withColumn("x", F.round("x", 6))
+    return spmm.multiply_arrays(a, *graphs.dense_embeddings(spark, d, n)).withColumn("x", F.round("x", 6))
 
 
 @query(_product_sql(4, "us", US, _USERS))
@@ -568,6 +590,12 @@ def local_columns(spark, d):
     return owned.select("i", "j", "v", (F.col("p") == F.col("q")).alias("local"))
 
 
+@query(f"WITH {PS}, {_RANGES} SELECT i, j, v, part AS owner, j - lo AS at FROM ps JOIN r ON j >= lo AND j < hi")
+def local_indices(spark, d):
+    a, n = graphs.part_supplier(spark, d)
+    return E.localised(a, E.even_ranges(spark, n, 8), "j")
+
+
 # Errors, statistics, scalars, generators
 
 

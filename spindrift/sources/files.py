@@ -17,6 +17,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int,
     kind = head[0].lower().split() if head else ["%%matrixmarket", "matrix", "coordinate", "real", "general"]
     if "coordinate" not in kind:
         raise ValueError("only coordinate files hold sparse matrices")
+    if {"complex", "hermitian"} & set(kind):
+        raise ValueError("values must be real numbers")
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("p"))
     first = body.first()["p"]
     size = [int(x) for x in first[:2]]
@@ -35,6 +37,14 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int,
     return canonical(a), size[0], size[1]
 
 
+def write_matrix_market(a: DataFrame, rows: int, columns: int, path: str) -> None:
+    """(i, j, v from 0) as general coordinate text. The format is one file that starts with its header, so one task writes."""
+    entries = canonical(a).select(F.lit(2).alias("k"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    spark, n = a.sparkSession, entries.count()
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{rows} {columns} {n}")], "k int, value string")
+    head.unionByName(entries).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
 def write_levels(levels: Levels, path: str) -> None:
     """Three Parquet tables; entries and permutations are partitioned by level, and a level's width is in `meta`."""
     levels.edges.write.mode("overwrite").partitionBy("level").parquet(f"{path}/edges")
@@ -65,7 +75,6 @@ def read_tile(spark: SparkSession, path: str, bi: int, bj: int) -> DataFrame:
     return spark.read.parquet(path).where((F.col("bi") == bi) & (F.col("bj") == bj))
 
 
-def pattern_histogram(a: DataFrame, cells: int, n: int) -> DataFrame:
-    """y, x, entries: counts on a grid of cells, what a picture of the pattern shows."""
-    size = max(1, -(-n // cells))
+def pattern_histogram(a: DataFrame, size: int) -> DataFrame:
+    """y, x, entries: counts on a grid of cells of size x size places, what a picture of the pattern shows."""
     return a.groupBy(F.expr(f"i div {size}").alias("y"), F.expr(f"j div {size}").alias("x")).agg(F.count("*").alias("entries"))

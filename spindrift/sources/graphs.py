@@ -74,8 +74,8 @@ def dense_wide(spark: SparkSession, n: int, features: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("v"), *[((F.col("id") * 7 + f * 3) % 11).cast("double").alias(f"f{f}") for f in range(features)])
 
 
-def dense_embeddings(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Feature f of vertex v: that of the embedding at place v mod their number."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("f", "x"))
-    count = rows_of(spark, sf_dir, "embeddings")
-    return spark.range(n).select(F.col("id").alias("v"), (F.col("id") % count).alias("vec_id")).join(e, "vec_id").select("v", "f", F.col("x").cast("double").alias("x"))
+def dense_embeddings(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, int]:
+    """v, x: the embedding at place v mod their number, as an array; and the number of features."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    count, features = rows_of(spark, sf_dir, "embeddings"), e.select(F.size("x")).first()[0]
+    return spark.range(n).select(F.col("id").alias("v"), (F.col("id") % count).alias("vec_id")).join(e, "vec_id").select("v", "x"), features

@@ -85,18 +85,106 @@ def test_iterated(spark):
     assert as_dict(spmm.iterate(lambda y: spmm.multiply(a, y), rows_x(spark, [[1], [2], [3]]), 5)) == {(v, 0): float(r[0]) for v, r in enumerate(x)}
 
 
-def test_weighted_forest_and_order(spark):
-    a = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0), (4, 1, 4.0), (1, 3, 0.5)], "i long, j long, w double")
-    assert sorted((r["i"], r["j"]) for r in graph.spanning_forest(a).collect()) == [(1, 2), (1, 3), (3, 4)]
+def kruskal(edges):
+    """The lightest forest of (w, i, j), ties by i, then j: every edge in order whose ends aren't joined yet."""
+    label, kept = {}, []
+    for w, i, j in sorted(edges):
+        a, b = label.setdefault(i, i), label.setdefault(j, j)
+        if a != b:
+            kept.append((i, j, w))
+            label.update({v: a for v, x in label.items() if x == b})
+    return kept
+
+
+def smaller_first(edges, root):
+    """A preorder of a tree that goes into smaller subtrees first, ties by vertex; with parents and sizes."""
+    near = {}
+    for i, j in edges:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+
+    def below(v, up):
+        found = sorted((len(x), x[0][0], x) for x in (below(u, v) for u in near.get(v, []) if u != up))
+        return [(v, up, 1 + sum(n for n, _, _ in found)), *(e for _, _, x in found for e in x)]
+
+    return below(root, None)
+
+
+def parts(vertices, edges):
+    label = {v: v for v in vertices}
+    for _ in vertices:
+        for i, j in edges:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("n,m,seed", [(30, 30, 1)])
+def test_forests_and_orders_by_brute_force(spark, n, m, seed):
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+    edges = [(rng.randrange(5) / 2, i, j) for i, j in pairs]
+    a = spark.createDataFrame([(j, i, w) if rng.random() < 0.5 else (i, j, w) for w, i, j in edges], "i long, j long, w double")
+    want = kruskal(edges)
+    assert sorted(tuple(r) for r in graph.spanning_forest(a).select("i", "j", "w").collect()) == sorted(want)
     assert graph.spanning_forest(a.limit(0)).count() == 0
-    clique = matrix(spark, [(i, j, 1) for i in range(4) for j in range(i)]).withColumnRenamed("v", "w")
-    assert graph.spanning_forest(clique).count() == 3
-    for method, limit in (("forest", 10**6), ("levels", 10**6), ("forest", 1)):
-        steps = linear_order.component_order(matrix(spark, [(0, 1, 1), (1, 2, 1), (2, 3, 1), (5, 6, 1)]), spark.range(8).withColumnRenamed("id", "v"), method, limit)
-        assert {r["v"]: r["component"] for r in steps.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
+    label = parts(range(n), pairs)
+    roots = sorted(set(label.values()))
+    tours = {r: smaller_first([(i, j) for i, j, _ in want if label[i] == r], r) for r in roots}
+    tree = graph.visited(graph.rooted(a.join(spark.createDataFrame([(min(i, j), max(i, j)) for i, j, _ in want], "x long, y long"), (F.least("i", "j") == F.col("x")) & (F.greatest("i", "j") == F.col("y"))).select("i", "j"), spark.createDataFrame([(r,) for r in roots], "v long")))
+    assert {r["v"]: (r["parent"], r["size"], r["pos"]) for r in tree.collect()} == {v: (p, s, k) for t in tours.values() for k, (v, p, s) in enumerate(t)}
+    # the same trees by their pseudo-random weights, and breadth first, as the linear order takes them
+    import hashlib
+
+    hashed = kruskal([(hashlib.md5(f"{i}:{j}".encode()).hexdigest(), i, j) for i, j in pairs])
+    forest = {v: k for r in roots for k, (v, _, _) in enumerate(smaller_first([(i, j) for i, j, _ in hashed if label[i] == r], r))}
+    levels = {}
+    for r in roots:
+        queue = [r]
+        for v in queue:
+            queue += sorted(u for u in {x for e in pairs if v in e for x in e} - {v} if u not in queue)
+        levels |= {v: k for k, v in enumerate(queue)}
+    vertices = spark.range(n).withColumnRenamed("id", "v")
+    for method, step in (("forest", forest), ("levels", levels)):
+        for limit in (10**6, 1):
+            got = linear_order.component_order(a.select("i", "j"), vertices, method, limit).collect()
+            assert {r["v"]: (r["component"], r["step"]) for r in got} == {v: (label[v], step[v]) for v in range(n)}
+
+
+def test_linear_order_puts_hubs_first_then_large_components(spark):
+    rng = random.Random(8)
+    pairs = {(0, k) for k in range(1, 20)} | {(30 + k, 31 + k) for k in range(5)} | {(50 + k, 51 + k) for k in range(9)} | {tuple(sorted(rng.sample(range(1, 20), 2))) for _ in range(6)}
+    a, n = matrix(spark, [(i, j, 1) for i, j in pairs]), 65
+    place = {r["v"]: r["pos"] for r in linear_order.linear_order(a, spark.range(n).withColumnRenamed("id", "v"), 1).collect()}
+    assert sorted(place.values()) == list(range(n)) and place[0] == 0
+    inner = [e for e in pairs if 0 not in e]
+    degree = {v: sum(v in e for e in pairs) for v in range(n)}
+    label = parts(range(n), inner)
+    middle = sorted((v for v in range(1, n) if degree[v]), key=place.get)
+    size = {c: sum(label[v] == c for v in middle) for c in set(label.values())}
+    assert [place[v] for v in middle] == list(range(1, len(middle) + 1))
+    assert [label[v] for v in middle] == sorted((label[v] for v in middle), key=lambda c: (-size[c], c))
+    # neighbours stand nearer than in a random order
+    spread = lambda at: sum(abs(at[i] - at[j]) for i, j in inner)
+    mixed = dict(zip(range(n), rng.sample(range(n), n), strict=True))
+    assert spread(place) < spread(mixed) / 2
+
+
+def test_deep_tree(spark):
+    n = 40
+    tree = graph.visited(graph.rooted(spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")), spark.createDataFrame([(0,)], "v long")))
+    assert all(r["pos"] == r["v"] and r["size"] == n - r["v"] for r in tree.collect())
+
+
+def test_relabel_refuses_what_is_no_bijection(spark):
+    a = matrix(spark, [(0, 1, 2), (2, 0, 1)])
+    good = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "old long, new long")
+    assert sorted(map(tuple, M.relabel(a, good, 3).collect())) == [(1, 2, 1.0), (2, 0, 2.0)]
+    for bad in ([(0, 2), (1, 0)], [(0, 2), (1, 2), (2, 1)], [(0, 2), (1, 0), (2, 3)], [(0, 2), (0, 1), (2, 0)]):
+        with pytest.raises(ValueError):
+            M.relabel(a, spark.createDataFrame(bad, "old long, new long"), 3)
 
 
-@pytest.mark.parametrize("method", ["forest", "levels"])
+@pytest.mark.parametrize("method", ["forest"])
 def test_order_is_the_same_in_a_task_and_in_rounds(spark, method):
     rng = random.Random(5)
     pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)} | {(40 + rng.randrange(9), 40 + rng.randrange(9)) for _ in range(14)} | {(60 + k, 61 + k) for k in range(11)}
@@ -145,6 +233,22 @@ def test_entry_like_the_size_line(spark, tmp_path):
     assert sorted(map(tuple, a.collect())) == [(0, 0, 2.0), (1, 0, 5.0), (2, 2, 3.0)]
 
 
+def test_kinds_of_files(spark, tmp_path):
+    path = tmp_path / "a.mtx"
+    path.write_text("%%MatrixMarket matrix coordinate real skew-symmetric\n3 3 2\n2 1 1.5\n3 1 -2\n")
+    assert sorted(map(tuple, files.read_matrix_market(spark, str(path))[0].collect())) == [(0, 1, -1.5), (0, 2, 2.0), (1, 0, 1.5), (2, 0, -2.0)]
+    for kind in ("complex general", "complex hermitian"):
+        path.write_text(f"%%MatrixMarket matrix coordinate {kind}\n1 1 1\n1 1 1 0\n")
+        with pytest.raises(ValueError):
+            files.read_matrix_market(spark, str(path))
+
+
+def test_wide_products_of_arrays(spark):
+    a = matrix(spark, [(0, 1, 2), (0, 0, 1), (2, 1, -1)])
+    x = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [4.0, 5.0, 6.0])], "v long, x array<float>")
+    assert as_dict(spmm.multiply_arrays(a, x, 3)) == {(0, 0): 9.0, (0, 1): 12.0, (0, 2): 15.0, (2, 0): -4.0, (2, 1): -5.0, (2, 2): -6.0}
+
+
 def test_steps_of_a_hot_type_need_no_window_over_it(spark, tmp_path):
     rows = [(k, k * 7 % 10, "hot" if k % 5 else ("b" if k % 2 else None), k // 3) for k in range(200)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
