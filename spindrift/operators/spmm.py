@@ -29,9 +29,9 @@ def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
     return _summed(pairs, "v", "f")
 
 
-def multiply_wide(a: DataFrame, x: DataFrame, features: list[str], group: int = 64) -> DataFrame:
+def multiply_wide(a: DataFrame, x: DataFrame, features: list[str], group: int = 32) -> DataFrame:
     """X wide (v and one column a feature): one shuffled row per row of A instead of one per feature; features go in
-    groups that generated code can hold."""
+    groups whose generated code is small enough to be compiled."""
     out = None
     for k in range(0, len(features), group):
         part = features[k : k + group]
