@@ -10,6 +10,8 @@ from .common import SYMBOLS, materialise, partitions, table, whole, without_whit
 #: No document is taken more often than this.
 MOST_EPOCHS = 3
 SEED = "mix-1"
+#: Sources, of under a hundred bytes each, up to which their targets are sent to the documents; beyond, the two are joined.
+SENT = 1 << 16
 
 
 def quality_weight(text: Column) -> Column:
@@ -65,7 +67,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     key_of = -F.log(uniform(F.col(key), seed)) / quality_weight(F.col(text))
     slices = 16 * partitions(spark)
     base = materialise(df.select(key, source, *also, F.size(words(F.col(text))).cast("long").alias("size"), key_of.alias("_order")), "mix-sizes")
-    targets = source_targets(base, source, weights=weights)
+    targets = materialise(source_targets(base, source, weights=weights), "mix-targets")
+    targets = F.broadcast(targets) if targets.count() <= SENT else targets
     joined = base.join(targets, base[source].eqNullSafe(targets[source])).drop(targets[source])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     joined = joined.withColumn("epochs", epochs).withColumn("_rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
