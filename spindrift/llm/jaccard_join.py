@@ -22,7 +22,9 @@ PARTS = 256
 #: n-grams whose counts the tasks get to know, at most: the most frequent ones, of those that LEAST sets or more hold.
 FREQUENT, LEAST = 1 << 17, 8
 #: n-grams, eight bytes each, that a task holds before it packs them.
-HELD = 1 << 22
+HELD = 1 << 21
+#: Entries of prefixes, 24 bytes each, that a task holds before it passes them on.
+PASSED = 1 << 18
 #: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
 SENT = 1 << 22
 #: Pairs to verify, of four numbers, up to which they are sent to the sets.
@@ -126,10 +128,14 @@ def _prefixes(docs: DataFrame, words: int, share: int, frequent: tuple[np.ndarra
     aren't frequent, by their hashes, then the frequent ones, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def entries(out: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("gram", "id", "n", "place"), zip(*out, strict=True), strict=True)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, counts = shared.value
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
             for k, t in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(t, words)
                 p = _prefix(len(s), share)
@@ -139,9 +145,13 @@ def _prefixes(docs: DataFrame, words: int, share: int, frequent: tuple[np.ndarra
                     at = np.minimum(np.searchsorted(grams, short), len(grams) - 1)
                     often = np.where(grams[at] == short, counts[at], 0)
                 first = s[np.argsort(often, kind="stable")[:p]]
-                out.append((first.view(np.int64), np.full(p, k), np.full(p, len(s)), np.arange(p)))
-            if out:
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("gram", "id", "n", "place"), zip(*out, strict=True), strict=True)})
+                out.append((first.view(np.int64), np.full(p, k), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
+                size += p
+                if size >= PASSED:
+                    yield entries(out)
+                    out, size = [], 0
+        if out:
+            yield entries(out)
 
     return docs.mapInPandas(run, "gram long, id long, n int, place int")
 
