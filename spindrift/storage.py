@@ -67,3 +67,16 @@ def number_rows(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     return parts.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_rank", "_first")
+
+
+def sums_before(df: DataFrame, columns: list[str], *order) -> DataFrame:
+    """Add `before_` and each column's name: its sum over the rows before, in a total order, 0 for the first. Rows are range
+    partitioned and summed within partitions; what the partitions before hold comes from a row for each partition."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = materialise(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "summed")
+    held = parts.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_first_{c}") for c in columns])
+    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    both = parts.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_within_{c}") for c in columns]).join(F.broadcast(held), "_part")
+    return both.select(*df.columns, *[(F.col(f"_first_{c}") + F.col(f"_within_{c}")).alias(f"before_{c}") for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import matrix as M
 from spindrift.operators import exchange, graph, linear_order, metrics, peel, spmm
 from spindrift.sources import files, generators, graphs
-from spindrift.storage import number_rows
+from spindrift.storage import number_rows, sums_before
 
 SOME = settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -205,6 +205,13 @@ def test_number_rows(spark):
     assert number_rows(df.limit(0), "k").count() == 0
 
 
+def test_sums_before(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit(0.5).alias("w"))
+    rows = sums_before(df, ["k", "w"], F.desc("k")).collect()
+    assert len(rows) == 1000 and all(r["before_w"] == (999 - r["k"]) / 2 and r["before_k"] == sum(range(r["k"] + 1, 1000)) for r in rows)
+    assert sums_before(df.limit(0), ["k"], "k").count() == 0
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "a.mtx"
     path.write_text("%%MatrixMarket matrix coordinate real symmetric\n% note\n3 3 3\n1 1 2.0\n2 1 1.5\n3 2 4\n")
