@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import number_rows, sums_before
 from .common import SYMBOLS, materialise, partitions, table, whole, without_white_space, words
 
 #: No document is taken more often than this.
@@ -34,21 +35,18 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     Sources, by code point and null last, weigh `weights`, repeating; together they get the sum of all sizes. No
     target passes `most` times its source's size; the excess goes to the others by weight until none is above.
     In closed form: with sources by size over weight, the level is the first one that the next source isn't below.
+    Sources may be many, such as sites: they are numbered and summed in range partitions, and the driver gets the two totals
+    and the level.
     """
-    by_name = Window.orderBy(F.asc_nulls_last(source))
-    per = sizes.groupBy(source).agg(F.sum(size).alias("source_size"))
-    per = per.withColumn("_nth", F.row_number().over(by_name) - 1)
+    per = number_rows(sizes.groupBy(source).agg(F.sum(size).alias("source_size")), F.asc_nulls_last(source), name="_nth")
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), (F.col("_nth") % len(weights) + 1).cast("int")))
     per = per.withColumn("_ratio", F.lit(most) * F.col("source_size") / F.col("_w"))
-    every = Window.partitionBy()
-    before = Window.orderBy("_ratio", "_nth").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    weight = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    per = per.withColumn("_level", left / weight)
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_nth", "_level"))).over(every)["_level"]
-    return per.withColumn("_at", level).select(
-        source, "source_size", F.least(F.col("source_size").cast("double") * most, F.col("_at") * F.col("_w")).alias("target"), "_nth"
-    )
+    per = materialise(sums_before(per, ["source_size", "_w"], "_ratio", "_nth"), "mix-sources")
+    total, weight = per.agg(F.sum("source_size"), F.sum("_w")).first()
+    per = per.withColumn("_level", (F.lit(total) - most * F.col("before_source_size")) / (F.lit(weight) - F.col("before__w")))
+    first = per.where("_ratio >= _level").agg(F.min(F.struct("_ratio", "_nth", "_level"))["_level"]).first()[0]
+    level = F.lit(first).cast("double")
+    return per.select(source, "source_size", F.least(F.col("source_size").cast("double") * most, level * F.col("_w")).alias("target"), "_nth")
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:

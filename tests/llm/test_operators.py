@@ -74,6 +74,23 @@ def test_sharding_query(spark):
         assert (rows[r["doc_id"]]["size"], rows[r["doc_id"]]["text_crc32"]) == (len(body) + 8, zlib.crc32(body))
 
 
+def test_targets_of_many_sources(spark):
+    size = {f"site{k:03}": k * k % 97 * 10 ** (k % 4) for k in range(300)} | {None: 5}
+    rows = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, size long").repartition(5)
+    found = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    weight = {s: 1 + k % 3 for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    open_, left, target = set(size), sum(size.values()), {}
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * size[s] < level * weight[s]}
+        if not full:
+            break
+        target |= {s: 3 * size[s] for s in full}
+        open_, left = open_ - full, left - sum(3 * size[s] for s in full)
+    target |= {s: level * weight[s] for s in open_}
+    assert found.keys() == target.keys() and all(math.isclose(found[s], target[s]) for s in target)
+
+
 def test_mixing(spark, monkeypatch):
     rng = random.Random(5)
     table = [(k, " ".join(["w"] * rng.randint(0, 50)), rng.choice(["a", "a", "a", "b", "c", None])) for k in range(600)]
