@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,35 +18,47 @@ from .suffix_automaton import suffix_automaton
 LONGEST, LEAST, COVERED = 3, 10, 50
 SCALE = 1_000_000
 #: Bytes of text, about, that one automaton is made of.
-SHARD_BYTES = 7 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the filter of frequent pairs: BITS_EACH for each, in these bounds. What passes by chance is counted, no more.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Characters that end a piece, and those that part words.
 _TO_GAP, _TO_BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
+_PARTS = frozenset(_TO_GAP + _TO_BLANK)
 _CLASSES = bytes.maketrans(_TO_GAP + _TO_BLANK, b"\n" * len(_TO_GAP) + b" " * len(_TO_BLANK))
 
 
-def _tokens(texts: list[bytes], context: int) -> Iterator[tuple[list[bytes], int]]:
+def _groups(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Texts joined, a line end between two, until there are SHARD_BYTES."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text) + 1
+        if size >= SHARD_BYTES:
+            yield b"\n".join(group)
+            group, size = [], 0
+    yield b"\n".join(group)
+
+
+def _tokens(texts: Iterable[bytes], context: int) -> Iterator[tuple[list[bytes], int]]:
     """The words of texts, A-Z lower-cased, in lists of bounded size, a line end where no phrase reaches over; and how
     many at the start of a list are the last ones of the list before, for context only."""
-    data = b"\n".join(texts).translate(_CLASSES).lower()
-    start, before = 0, []
-    while start < len(data):
-        stop = min(len(data), start + SHARD_BYTES)
-        if stop < len(data):  # a list ends between words
-            ends = [x for x in (data.find(b" ", stop), data.find(b"\n", stop)) if x >= 0]
-            stop = min(ends, default=len(data))
-        own = before + [w for w in data[start:stop].replace(b"\n", b" \n ").split(b" ") if w]
-        if len(own) > len(before):
-            yield own, len(before)
-        start, before = stop, own[-context:]
+    for data in _groups(texts):
+        start, before = 0, []
+        while start < len(data):
+            stop = min(len(data), start + SHARD_BYTES)
+            if stop < len(data):  # a list ends between words
+                stop = next((i for i in range(stop, len(data)) if data[i] in _PARTS), len(data))
+            own = before + [w for w in data[start:stop].translate(_CLASSES).lower().replace(b"\n", b" \n ").split(b" ") if w]
+            if len(own) > len(before):
+                yield own, len(before)
+            start, before = stop, own[-context:]
 
 
 def _shards(batches: Iterator[pd.DataFrame], context: int) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
     """Language, distinct words, their numbers along the texts (-1: a gap), places of context."""
     for batch in batches:
         for lang, part in batch.groupby("lang", sort=False):
-            for tokens, skip in _tokens(list(part["text"]), context):
+            for tokens, skip in _tokens(part["text"], context):
                 numbers = dict.fromkeys(tokens)
                 numbers.pop(b"\n", None)
                 found = list(numbers)
