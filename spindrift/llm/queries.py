@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, merkle, mixing, packing, phrases, quality_knn, quality_rules, sharding, suffix_dedup, toxicity
+from . import exact_dedup, jaccard_join, language_id, log_bilinear, merkle, mixing, packing, phrases, quality_knn, quality_rules, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
+        "op11_language_model": log_bilinear.op11_language_model,
         "op12_phrases": phrases.op12_phrases,
         "op13_merkle": merkle.op13_merkle,
     }
