@@ -91,9 +91,14 @@ def _noise(counts: np.ndarray) -> np.ndarray:
 
 def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers, and the sum of the rows of each."""
-    order = np.argsort(at, kind="stable")
-    head = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return at[order][head], np.add.reduceat(rows[order], head)
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    at = at.take(order)
+    head = np.flatnonzero(np.diff(at, prepend=-1))
+    return at.take(head), np.add.reduceat(rows.take(order, 0), head)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def _contexts(texts: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,24 +136,25 @@ def train(model: Parameters, texts: Iterable[np.ndarray], counts: np.ndarray, en
     tokens = 0
 
     def move(x: np.ndarray, e: np.ndarray, at, gradient: np.ndarray) -> None:
-        e[at] += (gradient * gradient).mean(-1) if gradient.ndim > 1 else gradient * gradient
-        x[at] -= RATE * gradient / np.sqrt(e[at])[..., None] if gradient.ndim > 1 else RATE * gradient / np.sqrt(e[at])
+        e[at] = now = e[at] + (np.einsum("...i,...i", gradient, gradient) / gradient.shape[-1])
+        x[at] -= (RATE / np.sqrt(now))[..., None] * gradient
 
     for two, one, word in _contexts(texts, end):
-        n = len(word)
-        tokens += n
+        tokens += len(word)
         noise = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), len(share) - 1)
-        a, b = seen[two], seen[one]
+        a, b = seen.take(two, 0), seen.take(one, 0)
         h = a @ turn[0] + b @ turn[1]
-        own, other = nxt[word], nxt[noise]
-        true = np.einsum("ij,ij->i", h, own) + bias[word] - log_share[word]
-        false = h @ other.T + (bias[noise] - log_share[noise])
-        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        own, other = nxt.take(word, 0), nxt.take(noise, 0)
+        g_true = _sigmoid(np.einsum("ij,ij->i", h, own) + (bias.take(word) - log_share.take(word))) - 1
+        g_false = _sigmoid(h @ other.T + (bias[noise] - log_share[noise]))
         g_h = g_true[:, None] * own + g_false @ other
-        at, rows = _sums(np.concatenate([word, noise]), np.concatenate([np.c_[g_true[:, None] * h, g_true], np.c_[g_false.T @ h, g_false.sum(0)]]).astype(np.float32))
+        rows = np.empty((len(word) + NOISE, h.shape[1] + 1), np.float32)
+        np.multiply(g_true[:, None], h, out=rows[:-NOISE, :-1])
+        np.matmul(g_false.T, h, out=rows[-NOISE:, :-1])
+        rows[:-NOISE, -1], rows[-NOISE:, -1] = g_true, g_false.sum(0)
+        at, rows = _sums(np.concatenate([word, noise]), rows)
         move(nxt, energy[1], at, rows[:, :-1])
-        move(bias, energy[2], at, rows[:, -1])
+        move(bias[:, None], energy[2], at, rows[:, -1:])
         at, rows = _sums(np.concatenate([two, one]), np.concatenate([g_h @ turn[0].T, g_h @ turn[1].T]))
         move(turn, energy[3], slice(None), np.stack([a.T @ g_h, b.T @ g_h]))
         move(seen, energy[0], at, rows)
@@ -254,12 +260,13 @@ def fit_language(texts: DataFrame, vocabulary: int = VOCABULARY, width: int = WI
     spark, scratch = texts.sparkSession, Scratch(texts.sparkSession, "language")
     counts = scratch.write("counts", word_counts(texts))
     whole_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(sent).toPandas()
+    top = _most_frequent(counts, sent)
     if not whole_["kinds"]:
         return Language([END], np.zeros(1, np.int64), None, 1, 0, 0), counts
-    model = Language([bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64), None, min(vocabulary, len(top)), whole_["tokens"], whole_["kinds"])
-    if END not in model.numbers():
-        model.words[-1], model.counts[-1] = END, counts.where(F.col("word") == F.lit(bytearray(END))).first()["n"]
+    words, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
+    if END not in words:
+        words, n = [*words, END], np.append(n, counts.where(F.col("word") == F.lit(bytearray(END))).first()["n"])
+    model = Language(words, n, None, min(vocabulary, len(words)), whole_["tokens"], whole_["kinds"])
     first = Parameters.start(model.class_counts, width)
     bytes_ = texts.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"]
     few = texts.where(F.pmod(F.xxhash64("text", F.lit("start")), F.lit(1 << 20)) < int(min(1.0, start_bytes / max(bytes_, 1)) * (1 << 20)))
@@ -268,6 +275,19 @@ def fit_language(texts: DataFrame, vocabulary: int = VOCABULARY, width: int = WI
     return model, counts
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """Up to `most` of the most frequent words, in order: all that have a count over the highest bound, of a few hundred,
+    that leaves no more. Sorting all words for it would send the first `most` of every partition to one place."""
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    left = most
+    for row in counts.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():
+        if row["count"] > left:
+            counts = counts.where(grade > row["grade"])
+            break
+        left -= row["count"]
+    return counts.toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def _pass(texts: DataFrame, model: Language, parameters: Parameters) -> Parameters:
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((parameters, model.words[: model.size], model.class_counts, int(END in model.words[: model.size])))

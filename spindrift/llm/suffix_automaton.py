@@ -60,6 +60,8 @@ def suffix_automaton(symbols: np.ndarray, depth: int, skip: int = 0) -> Automato
         head = real.copy()
         head[1:] &= part[1:] != part[:-1]
         starts = np.flatnonzero(head)
+        if not len(starts):
+            break
         run = np.cumsum(head) - 1
         sizes = np.bincount(run[real], minlength=len(starts))
         # a substring that ends wherever its suffix does is in the suffix's state, which becomes longer
