@@ -40,6 +40,23 @@ def _tokenizer(ranks_path: str | None, path: str | None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(1)
+def _patient_tokenizer(path: str | None):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+
+
+def token_ids(text: str, ranks: str | None = None, vocabulary: str | None = None) -> list[int]:
+    """The ids of a whole text. The quick encoder refuses runs of white space of about a million characters, for which
+    its pattern would look back too far; such a text goes to the slower one, which gives the same ids."""
+    try:
+        return _tokenizer(ranks, vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return _patient_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def tokenised(df: DataFrame, key: str, text: str, ranks: str | None = None, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per row: `uid`, key, `tokens` long (with the closing id), `crcs` of its full pieces of `capacity`,
     `rest` int and `tail` binary (the ids after them, unsigned little-endian). A null text counts as empty."""
@@ -50,9 +67,7 @@ def tokenised(df: DataFrame, key: str, text: str, ranks: str | None = None, voca
         for batch in batches:
             rows = []
             for uid, k, t in zip(batch["uid"], batch["_key"], batch["_text"], strict=True):
-                ids = encoder.encode(t or "", allowed_special="all")
-                ids.append(END)
-                ids = np.asarray(ids, "<u4")
+                ids = np.asarray([*token_ids(t or "", ranks, vocabulary), END], "<u4")
                 cut = len(ids) // capacity * capacity
                 crcs = [zlib.crc32(ids[i : i + capacity].tobytes()) for i in range(0, cut, capacity)]
                 rows.append((uid, k, len(ids), crcs, len(ids) - cut, ids[cut:].astype(kind).tobytes()))
