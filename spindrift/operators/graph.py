@@ -2,19 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, materialise, number_rows
 
+#: Edges that disjoint sets are made of at once in a task; a graph that has no more left is finished by one task.
+CHUNK = 500_000
+
+
+def _disjoint(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges, ascending, and the smallest one that each reaches: roots are hooked to smaller ones and paths
+    halved, all at once, until both ends of every edge agree."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    top = np.arange(len(ids))
+    while len(a):
+        x, y = top[a], top[b]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(top, up := top[top]):
+            top = up
+        apart = top[a] != top[b]
+        a, b = a[apart], b[apart]
+    return ids, ids[top]
+
+
+def _lightest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges in ascending order those of the lightest forest: every set of vertices takes its first edge to another."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    taken, left, top = np.zeros(len(a), bool), np.arange(len(a)), np.arange(len(ids))
+    while True:
+        left = left[top[a[left]] != top[b[left]]]
+        if not len(left):
+            return np.flatnonzero(taken)
+        x, y = top[a[left]], top[b[left]]
+        first = np.full(len(ids), len(taken))
+        np.minimum.at(first, x, left)
+        np.minimum.at(first, y, left)
+        won = np.unique(first[first < len(taken)])
+        taken[won] = True
+        known, low = _disjoint(top[a[won]], top[b[won]])
+        up = np.arange(len(ids))
+        up[known] = low
+        top = up[top]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges as those from each vertex to the smallest one that it reaches within its chunk."""
+    for table in _chunks(batches):
+        ids, low = _disjoint(table["a"].to_numpy(), table["b"].to_numpy())
+        keep = ids != low
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(low[keep])], names=["a", "b"])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk's edges (i, j, w, ci, cj) the lightest forest over ci, cj: a lightest forest of the whole has no other."""
+    for table in _chunks(batches):
+        order = pc.sort_indices(table, [("w", "ascending"), ("i", "ascending"), ("j", "ascending")], null_placement="at_start")
+        table = table.take(order)
+        keep = _lightest(table["ci"].to_numpy(), table["cj"].to_numpy())
+        yield from table.take(pa.array(keep)).combine_chunks().to_batches()
+
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b. One row per vertex that has a link: `v`, `component` (the smallest vertex it reaches).
+    """links: a, b, whole numbers. One row per vertex that has a link: `v`, `component` (the smallest vertex it reaches).
 
-    Each round takes the smallest label among neighbours and then the label of that label, so the number of rounds
-    grows with the logarithm of the longest path.
+    Each partition sends on a star for each set of vertices that its own links connect, so that no more edges than vertices
+    leave it. If they fit a task, it finishes; else each round takes the smallest label among neighbours and then the label
+    of that label, so the number of rounds grows with the logarithm of the longest path.
     """
-    both = links.select("a", "b").where("a <> b").distinct()
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    links = materialise(links.mapInArrow(_stars, "a long, b long"), "links")
+    if links.count() <= CHUNK:
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = list(_chunks(batches))
+            if tables:
+                table = pa.concat_tables(tables)
+                ids, low = _disjoint(table["a"].to_numpy(), table["b"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["v", "component"])
+
+        return materialise(links.coalesce(1).mapInArrow(finish, "v long, component long"), "labels")
+    both = links.distinct()
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("l"))
     labels = materialise(labels, "labels")
@@ -56,24 +143,35 @@ def bfs(a: DataFrame, roots: DataFrame, directed: bool = False) -> DataFrame:
 def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
     """A minimum spanning forest: rows i, j and the weight of undirected edges; ties go by i, then j.
 
-    Each round every component takes its lightest edge to another one and the components so linked are joined; there
-    are at most log2(n) rounds.
+    Each partition sends on the lightest forest of its own edges: what is heaviest on a ring of some edges is in no lightest
+    forest of all. If what is left fits a task, it finishes; else every component takes its lightest edge to another one
+    and the components so linked become one, of which there are half as many at most, and so on.
     """
     pairs = a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(weight).alias("w"))
-    edges = materialise(pairs.groupBy("i", "j").agg(F.min("w").alias("w")).withColumns({"ci": F.col("i"), "cj": F.col("j")}), "edges")
-    forest = edges.select("i", "j", "w").limit(0)
-    while True:
+    spark, kept, found = a.sparkSession, Rounds(a.sparkSession, "edges"), Rounds(a.sparkSession, "forest")
+    edges = pairs.withColumns({"ci": F.col("i").cast("long"), "cj": F.col("j").cast("long")})
+    kind = edges.schema
+    edges = kept.write(edges.mapInArrow(_forests, kind))
+    forest = spark.createDataFrame([], edges.select("i", "j", "w").schema)
+    while edges.count() > CHUNK:
         both = edges.select("i", "j", "w", "ci", "cj", F.explode(F.array("ci", "cj")).alias("c"))
         lightest = both.groupBy("c").agg(F.min(F.struct("w", "i", "j", "ci", "cj")).alias("e")).select("e.*").distinct()
         lightest = materialise(lightest, "lightest")
-        if lightest.isEmpty():
-            return forest.withColumnRenamed("w", weight)
-        forest = forest.unionByName(lightest.select("i", "j", "w"))
+        forest = found.write(forest.unionByName(lightest.select("i", "j", "w")))
         # components become single vertices; edges inside one are done with
         label = components(lightest.select(F.col("ci").alias("a"), F.col("cj").alias("b")))
         side = lambda c: label.select(F.col("v").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
         edges = edges.join(side("ci"), "ci").join(side("cj"), "cj").where("nci <> ncj")
-        edges = materialise(edges.select("i", "j", "w", F.col("nci").alias("ci"), F.col("ncj").alias("cj")), "edges")
+        edges = edges.select("i", "j", "w", F.col("nci").alias("ci"), F.col("ncj").alias("cj"))
+        edges = kept.write(edges.mapInArrow(_forests, edges.schema))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(_chunks(batches))
+        if tables:
+            yield from _forests(iter(pa.concat_tables(tables).combine_chunks().to_batches()))
+
+    last = edges.coalesce(1).mapInArrow(finish, edges.schema).select("i", "j", "w")
+    return materialise(forest.unionByName(last), "forest").withColumnRenamed("w", weight)
 
 
 def _doubled(links: DataFrame, name: str) -> DataFrame:

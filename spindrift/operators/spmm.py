@@ -6,12 +6,15 @@ All plans give rows (v, f, x) of A X; rows of A without entries are absent. Valu
 from __future__ import annotations
 
 import math
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matrix import with_tiles
-from ..storage import materialise
+from ..storage import materialise, shared_dir
 from .peel import Levels
 
 
@@ -67,6 +70,105 @@ def multiply_tiles(a: DataFrame, x: DataFrame, size: int) -> DataFrame:
     return sums.select((F.col("bi") * size + F.col("ri")).alias("v"), "f", "x")
 
 
+#: Rows and columns of a compressed tile: it has that many entries at most, and uses as many rows of X.
+TILE_ROWS, TILE_COLUMNS = 1024, 2048
+
+
+def compressed_tiles(a: DataFrame, rows: int = TILE_ROWS, columns: int = TILE_COLUMNS) -> DataFrame:
+    """A row for each tile with entries: bi, bj, `row` and `used` (its rows and columns with entries, in order), `indptr`
+    (where each of these rows begins), `indices` (places in `used`) and `data`."""
+
+    def compress(table: pa.Table) -> pa.Table:
+        bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
+        i, j, v = (table[c].to_numpy() for c in "ijv")
+        order = np.lexsort((j, i))
+        row, start = np.unique(i[order], return_index=True)
+        used, indices = np.unique(j[order], return_inverse=True)
+        one = {"bi": [bi], "bj": [bj], "row": [row], "used": [used], "indptr": [np.append(start, len(order)).astype(np.int32)], "indices": [indices.astype(np.int32)], "data": [v[order].astype(float)]}
+        return pa.table(one, pa.schema([("bi", pa.int64()), ("bj", pa.int64()), *((c, pa.list_(k)) for c, k in (("row", pa.int64()), ("used", pa.int64()), ("indptr", pa.int32()), ("indices", pa.int32()), ("data", pa.float64())))]))
+
+    placed = a.select(F.expr(f"i div {rows}").alias("bi"), F.expr(f"j div {columns}").alias("bj"), "i", "j", "v")
+    made = "bi long, bj long, row array<long>, used array<long>, indptr array<int>, indices array<int>, data array<double>"
+    return placed.groupBy("bi", "bj").applyInArrow(compress, made)
+
+
+def multiply_compressed(tiles: DataFrame, x: DataFrame, features: int) -> DataFrame:
+    """tiles: as compressed_tiles makes them; x: v and x, an array of so many numbers. Rows (v, f, x) of A X.
+
+    Each tile meets the rows of X that its columns use, no others, so X is reduced before it is shuffled; a tile's product
+    is made in numpy, a sum over each row's run of entries, and tiles of the same rows are added by Spark.
+    """
+
+    def product(tile: pa.Table, block: pa.Table) -> pa.Table:
+        found: dict = {"v": [], "f": [], "x": []}
+        if tile.num_rows and block.num_rows:
+            used, indptr, indices, data = (tile[c].combine_chunks().flatten().to_numpy() for c in ("used", "indptr", "indices", "data"))
+            v, dense = block["v"].to_numpy(), block["x"].combine_chunks().flatten().to_numpy().reshape(-1, features)
+            order = np.argsort(v)
+            at = np.minimum(np.searchsorted(v, used, sorter=order), len(v) - 1)
+            own = np.where((v[order[at]] == used)[:, None], dense[order[at]], 0.0)  # a row that X lacks is 0
+            known = np.isin(used, v)
+            sums = np.add.reduceat(own[indices] * data[:, None], indptr[:-1])
+            row = tile["row"].combine_chunks().flatten().to_numpy()
+            some = np.add.reduceat(known[indices].astype(int), indptr[:-1]) > 0
+            row, sums = row[some], sums[some]
+            found = {"v": np.repeat(row, features), "f": np.tile(np.arange(features, dtype=np.int32), len(row)), "x": sums.reshape(-1)}
+        return pa.table(found, pa.schema([("v", pa.int64()), ("f", pa.int32()), ("x", pa.float64())]))
+
+    need = tiles.select(F.col("bi").alias("ti"), F.col("bj").alias("tj"), F.explode("used").alias("v"))
+    blocks = need.join(x.select("v", F.col("x").cast("array<double>").alias("x")), "v")
+    parts = tiles.groupBy("bi", "bj").cogroup(blocks.groupBy("ti", "tj")).applyInArrow(product, "v long, f int, x double")
+    return _summed(parts, "v", "f")
+
+
+class Stationary:
+    """A kept in place: a table bucketed and sorted by column. X is kept in a table of as many buckets by vertex, so that a
+    product joins bucket with bucket, and only its partial sums are shuffled: to the buckets of the next X.
+
+    x is wide: v and one column a feature. The tables are the session's, in the shared folder; `close` drops them.
+    """
+
+    def __init__(self, a: DataFrame, buckets: int | None = None) -> None:
+        self.spark, self.name, self.nth = a.sparkSession, f"stationary_{uuid.uuid4().hex}", 0
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entries = a.select("i", F.col("j").alias("v"), F.col("v").cast("double").alias("_a"))
+        self.a = self._write(entries.repartition(self.buckets, "v"), "a")
+
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{self.name}_{name}"
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").bucketBy(self.buckets, "v").sortBy("v").option("path", self._path(name)).saveAsTable(f"{self.name}_{name}")
+        return self.spark.table(f"{self.name}_{name}")
+
+    def keep(self, x: DataFrame, dealt: bool = False) -> DataFrame:
+        """x in buckets; it takes the place of the one before the last. dealt: it is a product, and so lies by vertex."""
+        self.nth += 1
+        return self._write(x if dealt else x.repartition(self.buckets, "v"), f"x{self.nth % 2}")
+
+    def product(self, x: DataFrame) -> DataFrame:
+        """x as keep gives it. v and the features of A X; rows of A without entries are absent."""
+        features = [c for c in x.columns if c != "v"]
+        pairs = self.a.join(x, "v")
+        return pairs.groupBy(F.col("i").alias("v")).agg(*[F.sum(F.col("_a") * F.col(c)).alias(c) for c in features])
+
+    def close(self) -> None:
+        for name in ("a", "x0", "x1"):
+            if self.spark.catalog.tableExists(f"{self.name}_{name}"):
+                self.spark.sql(f"DROP TABLE {self.name}_{name}")
+                self.spark.range(0).write.mode("overwrite").parquet(self._path(name))
+
+
+def iterate_stationary(a: DataFrame, x: DataFrame, times: int, buckets: int | None = None) -> DataFrame:
+    """X := A X, `times` times, x wide (v and one column a feature); A is shuffled once, however many steps there are."""
+    kept = Stationary(a, buckets)
+    for k in range(times):
+        x = kept.product(kept.keep(x, dealt=k > 0))
+    x = materialise(x, "stationary")
+    kept.close()
+    return x
+
+
 def multiply_owned(a: DataFrame, x: DataFrame, size: int) -> DataFrame:
     """One owner for each diagonal tile, holding also the first row's and the first column's tiles at its place: owner
     max(bi, bj). Entries are dealt by owner, and the first row of tiles is reduced over the owners."""

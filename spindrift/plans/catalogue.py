@@ -14,7 +14,7 @@ from ..operators import exchange as E
 from ..operators import graph as G
 from ..operators import linear_order as L
 from ..operators import metrics, peel, spmm
-from ..sources import files, generators, graphs
+from ..sources import csr, files, generators, graphs
 from ..storage import materialise, number_rows, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +253,20 @@ def matrix_market_round_trip(spark, d):
     return a.select("i", "j", "v", F.lit(rows).cast("long").alias("rows"), F.lit(columns).cast("long").alias("columns"))
 
 
+@query(f"WITH {PS} SELECT i, j, v FROM ps")
+def csr_round_trip(spark, d):
+    path = f"{shared_dir(spark)}/csr-{uuid.uuid4().hex}"
+    csr.write_csr(graphs.part_supplier(spark, d)[0], path)
+    return csr.read_csr(spark, path, 8)
+
+
+@query(f"WITH {CP} SELECT i, j, v FROM cp WHERE i >= 20 AND i < 60")
+def csr_row_slice(spark, d):
+    path = f"{shared_dir(spark)}/csr-{uuid.uuid4().hex}"
+    csr.write_csr(graphs.customer_part(spark, d)[0], path)
+    return csr.read_csr(spark, path, 8, rows=(20, 60))
+
+
 # Permutations and joins
 
 
@@ -460,7 +474,7 @@ def spmm_k_features(spark, d):
 )
 def spmm_embeddings(spark, d):
     a, n = graphs.part_supplier(spark, d)
-    return spmm.multiply_arrays(a, *graphs.dense_embeddings(spark, d, n)).withColumn("x", F.round("x", 6))
+    return spmm.multiply_compressed(spmm.compressed_tiles(a), *graphs.dense_embeddings(spark, d, n)).withColumn("x", F.round("x", 6))
 
 
 @query(_product_sql(4, "us", US, _USERS))
@@ -510,6 +524,12 @@ def spmm_iterated_3(spark, d):
     return spmm.iterate(lambda x: spmm.multiply(a, x), graphs.dense(spark, n, 2), 3)
 
 
+@query(f"WITH {US}, {x_sql(2, _USERS)}, y0 AS (SELECT * FROM x), {_STEP.format(k=1, b=0)}, {_STEP.format(k=2, b=1)}, {_STEP.format(k=3, b=2)} SELECT v, max(x) FILTER (f = 0) AS f0, max(x) FILTER (f = 1) AS f1 FROM y3 GROUP BY v".replace("FROM nt a", "FROM us a"))
+def spmm_stationary_3(spark, d):
+    a, n = graphs.user_steps(spark, d)
+    return spmm.iterate_stationary(a, graphs.dense_wide(spark, n, 2), 3)
+
+
 @query(f"WITH {PS}, {x_sql(4)} SELECT a.i AS v, x.f, sum(a.v * x.x) AS x FROM ps a JOIN x ON x.v = a.j WHERE a.i // 256 = 0 GROUP BY ALL")
 def head_reduce(spark, d):
     a, n = graphs.part_supplier(spark, d)
