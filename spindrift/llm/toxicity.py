@@ -1,9 +1,9 @@
-"""Toxicity: class-conditional Kneser-Ney models over characters with shared backoff."""
+"""Toxicity: class-conditional Kneser-Ney models over words with shared backoff."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -11,167 +11,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, table, with_columns
-from .letters import letter_pieces
+from .word_models import WordModels, contexts
 
 #: Labelled rows of each class to learn from, about: the bound of the sample.
 TRAIN_ROWS = 6_000
-DISCOUNT = 0.75
-#: Bits of a code point: three of them fill a key. Longer n-grams are keyed by the number of the n-gram one letter shorter.
-BITS = 21
-#: Stands for the backed-off probability of a 3-gram that wasn't seen. Neither class has a longer n-gram that ends with it,
-#: so both multiply this same number by their masses and it goes out of the ratio: any positive value gives the same score.
-UNSEEN = 1e-4
-ORDER = 5
-
-
-def _threes(codes: np.ndarray) -> np.ndarray:
-    """The three letters from each place on, packed."""
-    wide = codes.astype(np.int64)
-    return (wide[:-2] << (2 * BITS)) | (wide[1:-1] << BITS) | wide[2:]
-
-
-@dataclass
-class Table:
-    """Rows of values by key; row len(keys) - 1 is that of unseen keys. A key stands in the first free slot from its own on."""
-
-    keys: np.ndarray
-    values: np.ndarray
-    slots: np.ndarray
-
-    @staticmethod
-    def slot(keys: np.ndarray, size: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-
-    @classmethod
-    def build(cls, keys: np.ndarray, values: np.ndarray, unseen: list[float]) -> Table:
-        """keys: distinct, not negative."""
-        size = 1 << max(4, int(4 * max(len(keys), 1)).bit_length())
-        slots = np.full(size, len(keys), np.int32)
-        left, at = np.arange(len(keys)), cls.slot(keys, size)
-        while len(left):
-            free = slots[at] == len(keys)
-            slots[at[free]] = left[free]
-            out = slots[at] != left
-            left, at = left[out], (at[out] + 1) & (size - 1)
-        return cls(np.append(keys, -1), np.concatenate([values, [unseen]]).astype(np.float32), slots)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key."""
-        at = self.slot(keys, len(self.slots))
-        found = self.slots[at]
-        last = len(self.keys) - 1
-        other = np.flatnonzero((self.keys[found] != keys) & (found != last))
-        while len(other):
-            at[other] = (at[other] + 1) & (len(self.slots) - 1)
-            found[other] = self.slots[at[other]]
-            other = other[(self.keys[found[other]] != keys[other]) & (found[other] != last)]
-        return found.astype(np.int64)
+FEATURES = 6
 
 
 @dataclass
 class Model:
-    """Tables by 3-, 4- and 5-gram, and the line from the mean difference of log-likelihoods to the log-odds."""
-
-    three: Table
-    four: Table
-    five: Table
-    slope: float = 1.0
-    offset: float = 0.0
-
-    def difference(self, text: str | None) -> float:
-        """Toxic less ordinary log-likelihood, a letter; 0 for a text without letters."""
-        total, letters = 0.0, 0
-        for codes in letter_pieces(text, ORDER - 1):
-            if len(codes) < ORDER:
-                continue
-            at3 = self.three.find(_threes(codes))
-            at4 = self.four.find((at3[:-1] << BITS) | codes[3:].astype(np.int64))
-            at5 = self.five.find((at4[:-1] << BITS) | codes[4:].astype(np.int64))
-            three, four, five = self.three.values[at3], self.four.values[at4], self.five.values[at5]
-            # each row ends at the same letter; contexts end one letter earlier
-            lower = four[1:, :2] + three[1:-1, 1:] * three[2:, :1]
-            p = five + four[:-1, 2:] * lower
-            total += float(np.log(p[:, 1] / p[:, 0]).sum())
-            letters += len(p)
-        return total / letters if letters else 0.0
+    """The classes' models of words, and the plane from a text's differences to the log-odds: weights, and last the offset,
+    for features less `mean`, over `scale`."""
+
+    words: WordModels
+    weights: np.ndarray = field(default_factory=lambda: np.array([1.0] + [0.0] * FEATURES))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.difference(text) + self.offset, -30, 30))))
-
-
-def _tables(counts: pd.DataFrame) -> Model:
-    """counts: `toxic` (0, 1), `two` and `three` (the first letters and the others of a 5-gram, packed), `n`."""
-    mask = lambda n: (1 << (BITS * n)) - 1
-    pivot = counts.pivot_table(index=["two", "three"], columns="toxic", values="n", fill_value=0, aggfunc="sum").reindex(columns=[0, 1], fill_value=0)
-    two, three = (pivot.index.get_level_values(k).to_numpy(np.int64) for k in (0, 1))
-    c5 = pivot.to_numpy(float)
-    # numbers of the 3-grams from each place of a 5-gram, and from them of its 4-grams
-    keys3, at = np.unique(np.concatenate([(two << BITS) | (three >> (2 * BITS)), ((two & mask(1)) << (2 * BITS)) | (three >> BITS), three]), return_inverse=True)
-    one3, mid3, end3 = at.reshape(3, -1)
-    keys4, at = np.unique(np.concatenate([(one3 << BITS) | ((three >> BITS) & mask(1)), (mid3 << BITS) | (three & mask(1))]), return_inverse=True)
-    one4, end4 = at.reshape(2, -1)
-
-    def above(n: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The discounted part of each gram, and of each context its mass for what is below, by class."""
-        ctx, at = np.unique(context, return_inverse=True)
-        total = np.stack([np.bincount(at, n[:, k], len(ctx)) for k in (0, 1)], 1)
-        kinds = np.stack([np.bincount(at, n[:, k] > 0, len(ctx)) for k in (0, 1)], 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            part = np.where(total[at] > 0, np.maximum(n - DISCOUNT, 0) / total[at], 0.0)
-            rest = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        return part, ctx, rest
-
-    part5, ctx4, rest5 = above(c5, one4)
-    # continuation counts: in how many contexts a 4-gram ends a 5-gram, by class
-    g4, first, at = np.unique(end4, return_index=True, return_inverse=True)
-    c4 = np.stack([np.bincount(at, c5[:, k] > 0, len(g4)) for k in (0, 1)], 1)
-    part4, ctx3, rest4 = above(c4, mid3[first])
-    # below, both classes share their counts
-    at3, at = np.unique(end3[first], return_inverse=True)
-    g3 = keys3[at3]
-    n3 = np.bincount(at, minlength=len(g3)).astype(float)
-    ctx2, at2 = np.unique(g3 >> BITS, return_inverse=True)
-    g2, at21 = np.unique(g3 & mask(2), return_inverse=True)
-    n2 = np.bincount(at21, minlength=len(g2)).astype(float)
-    c1, at1 = np.unique(g2 >> BITS, return_inverse=True)
-    one, at0 = np.unique(g2 & mask(1), return_inverse=True)
-    n1 = np.bincount(at0, minlength=len(one)).astype(float)
-    total1 = np.bincount(at1, n2)
-    p1 = n1 / max(n1.sum(), 1)
-    p2 = np.maximum(n2 - DISCOUNT, 0) / total1[at1] + DISCOUNT * np.bincount(at1)[at1] / total1[at1] * p1[at0]
-    total2 = np.bincount(at2, n3)
-    p3 = np.maximum(n3 - DISCOUNT, 0) / total2[at2] + DISCOUNT * np.bincount(at2)[at2] / total2[at2] * p2[at21]
-    v4 = np.tile([0.0, 0.0, 1.0, 1.0], (len(keys4), 1))
-    v4[g4, :2] = part4
-    v4[ctx4, 2:] = rest5
-    v3 = np.tile([UNSEEN, 1.0, 1.0], (len(keys3), 1))
-    v3[at3, 0] = p3
-    v3[ctx3, 1:] = rest4
-    return Model(
-        Table.build(keys3, v3, [UNSEEN, 1.0, 1.0]),
-        Table.build(keys4, v4, [0.0, 0.0, 1.0, 1.0]),
-        Table.build((one4 << BITS) | (three & mask(1)), part5, [0.0, 0.0]),
-    )
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a slight pull to 0."""
-    scale = max(float(np.abs(x).mean()), 1e-9)
-    a = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-3])
-        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - np.array([1e-2, 1e-3]) * w), -5, 5)
-    return float(w[0] / scale), float(w[1])
+        z = ((np.array(self.words.features(text)) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """By Newton's method, with a slight pull to 0."""
+        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+        a = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
+        w, pull = np.zeros(a.shape[1]), np.full(a.shape[1], 1e-2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(pull)
+            w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - pull * w), -5, 5)
+        self.weights = w
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Learn from about `rows` documents of each class, chosen among the labels by a hash of the key; the labels chosen,
     2 * rows about, are sent to the documents, whose texts stay where they are.
 
-    Three quarters give the n-gram counts, summed by Spark; the differences of the others, which no count has seen,
-    give the line to the log-odds. A class without rows leaves the score at one half of nothing known.
+    Three quarters give the counts of words, summed by Spark; the differences of the others, which no count has seen, give
+    the plane to the log-odds. Without rows of both classes nothing is calibrated, and without any every score is a half.
     """
     labels = labels.where(F.col(toxic).isin(0, 1)).select(F.col(key), F.xxhash64(key, F.lit("kn")).alias("_h"), F.col(toxic).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -182,45 +60,43 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     chosen = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
     first = F.pmod("_h", F.lit(4)) != 0
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, part in batch.groupby("toxic"):
-                pieces = [c for t in part["text"] for c in letter_pieces(t, ORDER - 1) if len(c) >= ORDER]
-                if pieces:
-                    wide = [c.astype(np.int64) for c in pieces]
-                    two = np.concatenate([(c[:-4] << BITS) | c[1:-3] for c in wide])
-                    grams = pd.DataFrame({"two": two, "three": np.concatenate([_threes(c[2:]) for c in wide])})
-                    yield grams.value_counts(sort=False).rename("n").reset_index().assign(toxic=k)[["toxic", "two", "three", "n"]]
-
-    counts = chosen.where(first).select("text", "toxic").mapInPandas(count, "toxic int, two long, three long, n long").groupBy("toxic", "two", "three").agg(F.sum("n").alias("n"))
-    model = _tables(counts.toArrow().to_pandas())
-    scored = chosen.where(~first).select("toxic", _difference(chosen, model)(F.col("text")).alias("x")).toPandas()
+                u, w = contexts(list(part["text"]))
+                yield pd.DataFrame({"k": k, "u": u, "w": w})
+
+    found = chosen.where(first).select("text", "toxic").mapInPandas(pairs, "k int, u long, w long").distinct()
+    model = Model(WordModels.fit(found.groupBy("k", "w").agg(F.count("*").alias("n")).toArrow().to_pandas()))
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [shared.value.features(t) for t in batch["text"]]})
+
+    shared = docs.sparkSession.sparkContext.broadcast(model.words)
+    scored = chosen.where(~first).select("toxic", "text").mapInPandas(features, "toxic int, x array<double>").toPandas()
     if scored["toxic"].nunique() == 2:
-        model.slope, model.offset = _logistic(scored["x"].to_numpy(float), scored["toxic"].to_numpy(float))
+        model.calibrate(np.array(scored["x"].tolist(), float), scored["toxic"].to_numpy(float))
     return model
 
 
-def _difference(df: DataFrame, model: Model):
+def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add `score` double, 0 to 1: the probability that a text is toxic, from the length-normalised difference of its
+    two log-likelihoods and the largest differences of its words. Null and empty texts, and those without words (runs of
+    letters and digits), differ by nothing and get the probability at 0. Very long texts count whole, in pieces. Equal
+    texts get equal scores, so ties stay ties; repeated rows stay, and so do rows of null key, of which no label is
+    learned; an empty table stays empty; a column `score` that df has is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def difference(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.difference(t) for t in texts], dtype=float)
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
-    return difference
-
-
-def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add `score` double, 0 to 1: the probability that a text is toxic, from the length-normalised difference of its
-    two log-likelihoods. Null and empty texts, and those of under five letters and blanks (one blank at either end
-    counted), differ by nothing and get the probability at 0. Very long texts count whole. Equal texts get equal scores,
-    so ties stay ties; repeated rows stay, an empty table stays empty; a column `score` that df has is replaced."""
-    x = _difference(df, model)(F.col(text))
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * x + F.lit(model.offset)))
-    return with_columns(df, F.struct((1 / (1 + F.exp(-z))).alias("score")), "score")
+    return with_columns(df, F.struct(score(F.col(text)).alias("score")), "score")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents; of a null doc_id `held_out` is null."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     model = fit_toxicity(docs, known)
