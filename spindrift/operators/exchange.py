@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ranges that are sent to all tasks: 24 bytes each.
+MOST_SENT = 1 << 18
+
 
 def slice_ranges(sizes: DataFrame) -> DataFrame:
     """sizes: part, n. part, lo, hi: the rows of each slice, by running sums. One row for each slice."""
@@ -18,9 +23,34 @@ def even_ranges(spark: SparkSession, n: int, parts: int) -> DataFrame:
 
 
 def with_owner(df: DataFrame, ranges: DataFrame, column: str, owner: str) -> DataFrame:
-    """Add the slice whose range holds the column: a range join with a table of one row for each slice."""
-    r = F.broadcast(ranges.select(F.col("part").alias(owner), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
-    return df.join(r, (F.col(column) >= F.col("_lo")) & (F.col(column) < F.col("_hi"))).drop("_lo", "_hi")
+    """Add the slice whose range holds the column; rows that no range holds are left out. Ranges don't overlap.
+
+    Up to MOST_SENT ranges are sent as a sorted array, in which each value is searched; more are joined by the cells of a
+    grid, of which there are as many as ranges, so that a range stands in two or three of them on average."""
+    known = ranges.where("lo < hi").select("part", "lo", "hi")
+    size = known.agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if size["n"] <= MOST_SENT:
+        held = known.orderBy("lo").toArrow()
+        shared = df.sparkSession.sparkContext.broadcast(tuple(held[c].to_numpy() for c in ("part", "lo", "hi")))
+
+        @F.pandas_udf("long")
+        def search(values: pd.Series) -> pd.Series:
+            part, lo, hi = shared.value
+            found = pd.Series(pd.NA, values.index, "Int64")
+            x = values.dropna()
+            if len(lo) and len(x):
+                at = np.searchsorted(lo, x.to_numpy(np.int64), "right") - 1
+                inside = (at >= 0) & (x.to_numpy(np.int64) < hi[at])
+                found[x.index[inside]] = part[at[inside]]
+            return found
+
+        kind = ranges.schema["part"].dataType
+        return df.withColumn(owner, search(F.col(column).cast("long")).cast(kind)).where(F.col(owner).isNotNull())
+    cell = max(1, -(-(size["hi"] - size["lo"]) // size["n"]))
+    place = lambda x: F.floor((x - size["lo"]) / cell)
+    index = known.select(F.col("part").alias(owner), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(place(F.col("lo")), place(F.col("hi") - 1))).alias("_cell"))
+    both = df.withColumn("_cell", place(F.col(column))).join(index, "_cell")
+    return both.where((F.col(column) >= F.col("_lo")) & (F.col(column) < F.col("_hi"))).drop("_cell", "_lo", "_hi")
 
 
 def localised(df: DataFrame, ranges: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..storage import Rounds, materialise, number_rows
+from ..storage import Rounds, materialise, number_rows, shared_dir
 
 #: Edges that disjoint sets are made of at once in a task; a graph that has no more left is finished by one task.
 CHUNK = 500_000
@@ -128,16 +130,19 @@ def bfs(a: DataFrame, roots: DataFrame, directed: bool = False) -> DataFrame:
     if not directed:
         steps = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
     steps = materialise(steps.distinct(), "steps")
-    seen = front = materialise(roots.select(F.col("v"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")).distinct(), "front")
-    level = 0
-    while not front.isEmpty():
+    # one table, a folder for each level: a level is written once and read as such, all levels are read for what is known
+    path = f"{shared_dir(a.sparkSession)}/levels-{uuid.uuid4().hex}"
+    front, level = roots.select(F.col("v"), F.lit(None).cast("long").alias("parent")).distinct(), 0
+    kind = StructType([*front.schema.fields, StructField("level", IntegerType())])
+    while True:
+        front.write.parquet(f"{path}/level={level}")
+        seen = a.sparkSession.read.schema(kind).option("basePath", path).parquet(path)
+        front = seen.where(F.col("level") == level)
+        if front.isEmpty():
+            return seen.select("v", "level", "parent")
         level += 1
         reached = steps.join(front.select(F.col("v").alias("a")), "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"))
-        front = materialise(reached.join(seen, "v", "left_anti").select("v", F.lit(level).alias("level"), "parent"), "front")
-        seen = seen.unionByName(front)
-        if level % 8 == 0:
-            seen = materialise(seen, "seen")
-    return materialise(seen, "levels")
+        front = reached.join(seen, "v", "left_anti").select("v", "parent")
 
 
 def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
