@@ -42,15 +42,19 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
     body = whole(F.col("row")[text])
     norm = without_white_space(body)
-    digest = F.sha2(norm.cast("binary"), 256)
-    hot = F.broadcast(_hot_digests(rows, digest, df.count(), parts))
-    spread = F.when(F.col("hot"), F.pmod(F.xxhash64(F.col("row")[key], F.char_length(body)), F.lit(2 * parts))).otherwise(F.lit(0))
+    # a text is normalised once before the shuffle, and again after it only where its row is carried, which has it already
+    made = rows.withColumn("norm", norm).select(
+        "*", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), F.substring("norm", 1, HEAD).alias("head"),
+        F.col("row")[key].alias("key"), F.char_length(body).alias("points"),
+    )
+    hot = F.broadcast(_hot_digests(rows, F.sha2(norm.cast("binary"), 256), df.count(), parts))
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "points"), F.lit(2 * parts))).otherwise(F.lit(0))
     ranged = (
-        rows.withColumn("digest", digest).join(hot, "digest", "left")
-        .select("row", "digest", "hot", F.substring(norm, 1, HEAD).alias("head"), spread.alias("spread"))
+        made.join(hot, "digest", "left")
+        .select("key", "points", "digest", "hot", "head", spread.alias("spread"), "row" if carry else "norm")
         .repartitionByRange("head", "digest", "spread")
-        .select("*", norm.alias("norm"), F.char_length(body).alias("points"), F.col("row")[key].alias("key"))
-    )
+    )
+    ranged = ranged.withColumn("norm", norm) if carry else ranged
     same = Window.partitionBy("head", "digest", "spread", "norm")
     best = same.orderBy(F.desc("points"), F.asc_nulls_last("key"))
     # the range partitioning above already serves these windows: no second exchange
