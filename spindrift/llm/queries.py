@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op7_sharding": sharding.OP7_SQL,
+        "op8_suffix_dedup": suffix_dedup.OP8_SQL,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
         "op12_phrases": phrases.OP12_SQL,

@@ -279,3 +279,29 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), rest=False)
+
+
+# texts as hexadecimal digits, cut into blocks first, so that a window is cut from a short string
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+b AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 2198) AS x
+  FROM (SELECT doc_id, h, unnest(range(0, n_bytes, 1000)) AS o FROM d)),
+w AS (
+  SELECT doc_id, o + t AS s, unhex(substr(x, 2 * t + 1, 200)) AS y
+  FROM (SELECT doc_id, o, x, unnest(range(0, least(1000, length(x) // 2 - 99))) AS t FROM b)),
+l AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY y ORDER BY doc_id, s) > 1),
+f AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM l),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM f),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (
+  SELECT p.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept,
+         max(e) AS last, count(*) AS n_spans, sum(e - a) AS n_removed
+  FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
