@@ -69,13 +69,16 @@ def block_count(a: DataFrame, size: int, row: str = "i", column: str = "j") -> D
 
 
 def relabel(a: DataFrame, mapping: DataFrame, n: int) -> DataFrame:
-    """Rows and columns renamed by mapping (old, new), which must be a bijection on 0 to n - 1."""
+    """Rows and columns renamed by mapping (old, new), which must be a bijection on 0 to n - 1. An entry outside 0 to n - 1
+    ends the job that reads the result."""
     wrong = [bijection_errors(m, n).first().asDict() for m in (mapping, mapping.select(F.col("new").alias("old"), F.col("old").alias("new")))]
     if any(any(w.values()) for w in wrong):
         raise ValueError(f"the mapping isn't a bijection: {wrong}")
     rows = mapping.select(F.col("old").alias("i"), F.col("new").alias("_i"))
     columns = mapping.select(F.col("old").alias("j"), F.col("new").alias("_j"))
-    return a.join(rows, "i").join(columns, "j").select(F.col("_i").alias("i"), F.col("_j").alias("j"), "v")
+    refused = lambda c: F.raise_error(F.concat(F.lit(f"{c} isn't in 0 to {n - 1}: "), F.col(c).cast("string"))).cast("long")
+    found = [F.coalesce(f"_{c}", refused(c)).alias(c) for c in "ij"]
+    return a.join(rows, "i", "left").join(columns, "j", "left").select(*found, "v")
 
 
 def bijection_errors(mapping: DataFrame, n: int) -> DataFrame:

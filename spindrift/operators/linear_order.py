@@ -31,12 +31,15 @@ def _adjacency(pdf: pd.DataFrame) -> dict[int, list[int]]:
 
 
 def _walk_levels(pdf: pd.DataFrame) -> list[int]:
-    """Breadth first from the smallest vertex."""
-    near = _adjacency(pdf)
+    """Breadth first from the smallest vertex, along lighter edges first, then to smaller vertices."""
+    near: dict[int, list[tuple[float, int]]] = {}
+    for i, j, along in zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf["along"].tolist(), strict=True):
+        near.setdefault(i, []).append((along, j))
+        near.setdefault(j, []).append((along, i))
     order = [min(near)]
     seen = set(order)
     for v in order:
-        for u in near[v]:
+        for _, u in sorted(near[v]):
             if u not in seen:
                 seen.add(u)
                 order.append(u)
@@ -80,14 +83,14 @@ def _walk_tree(pdf: pd.DataFrame) -> list[int]:
 
 def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """v, step: what _walk_levels gives, in rounds. A level's vertices stand by the place of their earliest neighbour one
-    level up, then by id. edges: i, j, component; roots: the components to order, by their smallest vertex v."""
-    steps = edges.select("component", F.col("i").alias("a"), F.col("j").alias("b"))
-    steps = materialise(steps.unionByName(steps.select("component", F.col("b").alias("a"), F.col("a").alias("b"))), "steps")
+    level up, then by the edge from it, then by id. edges: i, j, along, component; roots: the components to order, by their smallest vertex v."""
+    steps = edges.select("component", F.col("i").alias("a"), F.col("j").alias("b"), "along")
+    steps = materialise(steps.unionByName(steps.select("component", F.col("b").alias("a"), F.col("a").alias("b"), "along")), "steps")
     seen = front = materialise(roots.select("v", F.col("v").alias("component"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("nth")), "front")
     level = 0
     while not front.isEmpty():
         level += 1
-        reached = steps.join(front.select(F.col("v").alias("a"), "nth"), "a").groupBy("component", F.col("b").alias("v")).agg(F.min("nth").alias("up"))
+        reached = steps.join(front.select(F.col("v").alias("a"), "nth"), "a").groupBy("component", F.col("b").alias("v")).agg(F.min(F.struct("nth", "along")).alias("up"))
         found = number_rows(reached.join(seen, "v", "left_anti"), "component", "up", "v", name="nth")
         front = materialise(found.select("v", "component", F.lit(level).alias("level"), "nth"), "front")
         seen = seen.unionByName(front)
@@ -103,19 +106,26 @@ def _tree_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return visited(rooted(spanning_forest(edges), roots)).select("v", F.col("pos").alias("step"))
 
 
-def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", task_edges: int = TASK_EDGES) -> DataFrame:
+def component_order(
+    a: DataFrame, vertices: DataFrame, method: str = "forest", task_edges: int = TASK_EDGES, base: int = 2, weight: str | None = None
+) -> DataFrame:
     """v, component, step: the place inside its component. `forest`: preorder of a spanning tree of pseudo-random
-    weights; `levels`: breadth first from the smallest vertex. A component of more edges than a task should hold gets
-    the same order in distributed rounds."""
+    weights; `levels`: breadth first from the smallest vertex, along edges of smaller `weight` first (a column of a; of
+    several entries of a pair the smallest counts, null and NaN come last), then to smaller vertices. Components of at
+    most `base` vertices stand by id. A component of more edges than a task should hold gets the same order in
+    distributed rounds."""
     walk, rounds = {"forest": (_walk_tree, _tree_order), "levels": (_walk_levels, _queue_order)}[method]
-    edges = a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    last = F.lit(float("inf"))
+    along = F.lit(0.0) if weight is None else F.coalesce(F.nanvl(F.col(weight).cast("double"), last), last)
+    edges = a.where("i <> j").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min(along).alias("along"))
+    task_edges = max(task_edges, base * (base - 1) // 2)  # so that a component of `base` vertices never needs rounds
     edges = materialise(edges, "edges")
     member = materialise(all_components(edges, vertices), "members")
     edges = edges.join(member.withColumnRenamed("v", "i"), "i").withColumn("w", F.md5(F.concat_ws(":", "i", "j")))
     sizes = materialise(edges.groupBy("component").agg(F.count("*").alias("m")), "sizes")
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [walk(own) for _, own in pdf.groupby("component")]
+        found = [walk(own) if len(few := set(own["i"]) | set(own["j"])) > base else sorted(few) for _, own in pdf.groupby("component")]
         return pd.DataFrame({"v": [v for own in found for v in own], "step": [k for own in found for k in range(len(own))]}, dtype="int64")
 
     # small components share a task's call
@@ -129,13 +139,13 @@ def component_order(a: DataFrame, vertices: DataFrame, method: str = "forest", t
     return member.join(steps, "v", "left").select("v", "component", F.coalesce("step", F.lit(0)).alias("step"))
 
 
-def linear_order(a: DataFrame, vertices: DataFrame, width: int, method: str = "forest") -> DataFrame:
+def linear_order(a: DataFrame, vertices: DataFrame, width: int, method: str = "forest", base: int = 2, weight: str | None = None) -> DataFrame:
     """v, pos: a bijection onto 0 to n - 1. Edges of head vertices are left out before the middle is ordered; its components
-    stand by size, largest first, then by their smallest vertex."""
+    stand by size, largest first, then by their smallest vertex. base, weight: as component_order has them."""
     classes = materialise(vertex_classes(a, vertices, width), "classes")
     middle = classes.where("class = 'middle'").select("v")
     inner = a.join(middle.withColumnRenamed("v", "i"), "i", "left_semi").join(middle.withColumnRenamed("v", "j"), "j", "left_semi")
-    steps = materialise(component_order(inner, middle, method), "order")
+    steps = materialise(component_order(inner, middle, method, base=base, weight=weight), "order")
     steps = steps.join(steps.groupBy("component").agg(F.count("*").alias("_size")), "component")
     keyed = classes.join(steps, "v", "left").select(
         "v",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = "run_id string, rank long, iteration long, name string, value double"
@@ -32,6 +32,7 @@ class MetricLog:
 
     def __init__(self, spark: SparkSession, run_id: str, rank: int = 0) -> None:
         self.spark, self.run_id, self.rank, self.iteration, self.rows = spark, run_id, rank, None, []
+        self.watched: list[tuple[int | None, Observation]] = []
 
     def set_iteration(self, iteration: int) -> None:
         self.iteration = iteration
@@ -39,6 +40,20 @@ class MetricLog:
     def log(self, **values: float) -> None:
         self.rows += [(self.run_id, self.rank, self.iteration, k, float(v)) for k, v in values.items()]
 
+    def watch(self, df: DataFrame, **aggregates: Column) -> DataFrame:
+        """df, whose aggregates are taken on the way when it is written or read for the first time; `gather` logs them under
+        the iteration of now. They cost no job of their own. Put it right before the write: tasks of earlier stages may run
+        twice when executors are lost."""
+        seen = Observation()
+        self.watched.append((self.iteration, seen))
+        return df.observe(seen, *[found.alias(name) for name, found in aggregates.items()])
+
+    def gather(self) -> None:
+        """Log what was watched; each such DataFrame must have been written or read by now. A null (nothing to add up) isn't logged."""
+        for iteration, seen in self.watched:
+            self.rows += [(self.run_id, self.rank, iteration, k, float(v)) for k, v in seen.get.items() if v is not None]
+        self.watched = []
+
     def table(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, METRICS)
 

@@ -34,13 +34,14 @@ def peel(spark: SparkSession, a: DataFrame, n: int, width: int, max_levels: int
 
     A level keeps what lies near the diagonal in its own order; the rest goes to the next. The last level keeps
     everything, as does one that would keep nothing; its width is that of its farthest entry and its shape `general`.
+    Components that fit into a width, of 16 vertices at most, are taken as they are, and in the last level pairs alone.
     Values and directions stay. Every level is written once.
     """
     vertices = spark.range(n).withColumnRenamed("id", "v")
     rest, edges, perms, meta = materialise(a.select("i", "j", "v"), "peel"), [], [], []
     for level in range(max_levels):
         last = level + 1 == max_levels
-        perm = materialise(linear_order(rest, vertices, width, "levels" if last else "forest"), "perm")
+        perm = materialise(linear_order(rest, vertices, width, *(("levels", 2) if last else ("forest", max(1, min(width - 1, 16))))), "perm")
         placed = rest.join(perm.select(F.col("v").alias("i"), F.col("pos").alias("pi")), "i").join(perm.select(F.col("v").alias("j"), F.col("pos").alias("pj")), "j")
         kept = F.lit(True) if last else keeps(F.col("pi"), F.col("pj"), width, block, prune)
         placed = materialise(placed.withColumn("kept", kept), "peel")
@@ -77,3 +78,23 @@ def invariants(levels: Levels, a: DataFrame) -> DataFrame:
         count(wrong, "permutations_bijective"),
         count(outside, "structure"),
     ])
+
+
+def placements(levels: Levels) -> DataFrame:
+    """i, j, v, level, and of each entry whether its level's permutation has its row and column at the places it claims
+    (`placed`) and whether these lie where the level's shape allows entries (`inside`)."""
+    at = levels.perm.select("level", F.col("pos").alias("pi"), F.col("v").alias("_i")), levels.perm.select("level", F.col("pos").alias("pj"), F.col("v").alias("_j"))
+    e = levels.edges.join(at[0], ["level", "pi"], "left").join(at[1], ["level", "pj"], "left")
+    e = e.join(F.broadcast(levels.meta.select("level", "width", "shape")), "level", "left")
+    near = F.when(F.col("shape") == "block", F.expr("pi div width = pj div width")).otherwise(F.abs(F.col("pi") - F.col("pj")) <= F.col("width"))
+    inside = near | (F.col("pi") < F.col("width")) | (F.col("pj") < F.col("width"))
+    placed = F.col("i").eqNullSafe(F.col("_i")) & F.col("j").eqNullSafe(F.col("_j"))
+    return e.select("i", "j", "v", "level", placed.alias("placed"), F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+def places_taken(levels: Levels) -> DataFrame:
+    """v, as_vertex, as_place: whether each number stands once in every level's permutation as a vertex, and as a place."""
+    count = levels.meta.count()
+    once = lambda c: levels.perm.groupBy("level", F.col(c).alias("v")).agg(F.count("*").alias("c")).where("c = 1").groupBy("v").agg((F.count("*") == count).alias("ok"))
+    v, p = once("v").withColumnRenamed("ok", "as_vertex"), once("pos").withColumnRenamed("ok", "as_place")
+    return v.join(p, "v", "full").select("v", F.coalesce("as_vertex", F.lit(False)).alias("as_vertex"), F.coalesce("as_place", F.lit(False)).alias("as_place"))

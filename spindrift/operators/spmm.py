@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matrix import with_tiles
 from ..storage import materialise, shared_dir
+from .metrics import MetricLog
 from .peel import Levels
 
 
@@ -200,10 +201,15 @@ def multiply_slices(a: DataFrame, x: DataFrame, ranges: DataFrame, start: DataFr
     return _summed(parts if start is None else parts.unionByName(start.select("v", "f", F.col("x").cast("double").alias("x"))), "v", "f")
 
 
-def iterate(step, x: DataFrame, times: int, every: int = 2) -> DataFrame:
-    """X := step(X), `times` times; written every few steps, so plans stay short."""
+def iterate(step, x: DataFrame, times: int, every: int = 2, log: MetricLog | None = None) -> DataFrame:
+    """X := step(X), `times` times; written every few steps, so plans stay short. With a log every step is written, and its
+    number of rows, total and largest size are taken by that write and logged under the step's number."""
     for k in range(1, times + 1):
         x = step(x)
-        if k % every == 0 and k < times:
+        if log is not None:
+            log.set_iteration(k)
+            x = materialise(log.watch(x, rows=F.count("*"), total=F.sum("x"), largest=F.max(F.abs("x"))), "iterate")
+            log.gather()
+        elif k % every == 0 and k < times:
             x = materialise(x, "iterate")
     return x

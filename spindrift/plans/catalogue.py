@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import linear_order as L
 from ..operators import metrics, peel, spmm
 from ..sources import csr, files, generators, graphs
+from ..sources.level_store import LevelStore
 from ..storage import materialise, number_rows, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +268,14 @@ def csr_row_slice(spark, d):
     return csr.read_csr(spark, path, 8, rows=(20, 60))
 
 
+# tiles by what the catalogue says of them, which is known at run time only
+@query(f"WITH {PS}, t AS (SELECT i, j, v, i // 128 AS bi, j // 128 AS bj FROM ps) SELECT i, j, v, bi, bj FROM t WHERE (bi, bj) IN (SELECT (bi, bj) FROM t GROUP BY bi, bj HAVING count(*) BETWEEN 460 AND 1600)")
+def catalogued_tiles(spark, d):
+    path = f"{shared_dir(spark)}/catalogued-{uuid.uuid4().hex}"
+    files.write_tile_catalogue(M.with_tiles(graphs.part_supplier(spark, d)[0], 128).select("i", "j", "v", "bi", "bj"), path)
+    return files.read_catalogued(spark, path, "entries BETWEEN 460 AND 1600")
+
+
 # Permutations and joins
 
 
@@ -329,7 +338,7 @@ def components(spark, d):
     return G.all_components(a, spark.range(n).withColumnRenamed("id", "v"))
 
 
-@query(f"WITH RECURSIVE {US}, e AS (SELECT DISTINCT i, j FROM us), w AS (SELECT 0::BIGINT AS v, 0 AS l UNION SELECT e.j, w.l + 1 FROM w JOIN e ON e.i = w.v WHERE w.l < 12), s AS (SELECT v, min(l)::INT AS level FROM w GROUP BY v) SELECT s.v, s.level, min(p.v) AS parent FROM s LEFT JOIN e ON e.j = s.v LEFT JOIN s p ON p.v = e.i AND p.level = s.level - 1 GROUP BY ALL")
+@query(f"WITH RECURSIVE {US}, e AS (SELECT DISTINCT i, j FROM us), w(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT DISTINCT e.j, w.l + 1 FROM w JOIN e ON e.i = w.v WHERE e.j NOT IN (SELECT v FROM recurring.w)), s AS (SELECT v, l::INT AS level FROM w) SELECT s.v, s.level, min(p.v) AS parent FROM s LEFT JOIN e ON e.j = s.v LEFT JOIN s p ON p.v = e.i AND p.level = s.level - 1 GROUP BY ALL")
 def bfs_levels_directed(spark, d):
     a = graphs.user_steps(spark, d)[0]
     return G.bfs(a, spark.range(1).withColumnRenamed("id", "v"), directed=True)
@@ -347,11 +356,18 @@ def spanning_forest_of_tree(spark, d):
     return G.spanning_forest(a.withColumn("w", F.lit(1.0)))
 
 
-@query(f"WITH {US}, v AS (SELECT i AS v FROM us WHERE i <> j UNION SELECT j FROM us WHERE i <> j) SELECT count(*) - 1 AS edges FROM v")
+# an edge is in the forest if no way between its ends has lighter edges only; lightest ways are made through one more vertex a step
+@query(
+    f"WITH RECURSIVE {US}, q AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM us WHERE i <> j), w AS (SELECT i, j, row_number() OVER (ORDER BY md5(i || ':' || j)) AS w FROM q), "
+    "s AS (SELECT i, j, w FROM w UNION ALL SELECT j, i, w FROM w), v AS (SELECT i AS v, row_number() OVER (ORDER BY i) - 1 AS k FROM (SELECT DISTINCT i FROM s)), "
+    "f AS (SELECT 0 AS k, a.v AS i, b.v AS j, coalesce(s.w, 1000000000000) AS w FROM v a CROSS JOIN v b LEFT JOIN s ON s.i = a.v AND s.j = b.v "
+    "UNION ALL SELECT a.k + 1, a.i, a.j, least(a.w, greatest(b.w, c.w)) FROM f a JOIN v ON v.k = a.k JOIN f b ON b.i = a.i AND b.j = v.v JOIN f c ON c.i = v.v AND c.j = a.j) "
+    "SELECT w.i, w.j FROM w JOIN f ON f.i = w.i AND f.j = w.j AND f.w = w.w WHERE f.k = (SELECT count(*) FROM v)"
+)
 def msf_edges(spark, d):
     a, _ = graphs.user_steps(spark, d)
     forest = G.spanning_forest(a.withColumn("w", F.md5(F.concat_ws(":", F.least("i", "j"), F.greatest("i", "j")))))
-    return forest.agg(F.count("*").alias("edges"))
+    return forest.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
 _PREORDER = (
@@ -384,10 +400,35 @@ def linear_order_of_trees(spark, d):
     return L.linear_order(a, spark.range(n).withColumnRenamed("id", "v"), 0)
 
 
-@query(f"WITH {US} SELECT range AS pos FROM range((SELECT max(user_id) + 1 FROM events))")
+def _levels_order_sql(hubs: int, deep: int, along: str = "0") -> str:
+    """Hubs, then components breadth first, written out for `deep` levels, then vertices without edges."""
+    seen = lambda k: " UNION ALL ".join(f"SELECT v FROM l{x}" for x in range(k + 1))
+    levels = ", ".join(
+        f"l{k + 1} AS (SELECT v, row_number() OVER (ORDER BY up, v) AS nth FROM (SELECT e.j AS v, min((nth, along)) AS up FROM l{k} JOIN e ON e.i = l{k}.v WHERE e.j NOT IN ({seen(k)}) GROUP BY e.j))"
+        for k in range(deep)
+    )
+    every = " UNION ALL ".join(f"SELECT v, {k} AS level, nth FROM l{k}" for k in range(deep + 1))
+    return (
+        f"WITH RECURSIVE {US}, dg AS (SELECT v, count(*) AS d FROM (SELECT i AS v FROM us UNION ALL SELECT j FROM us) GROUP BY v), "
+        "rk AS (SELECT range AS v, coalesce(d, 0) AS d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, range) - 1 AS rank FROM range((SELECT max(user_id) + 1 FROM events)) LEFT JOIN dg ON dg.v = range), "
+        f"mid AS (SELECT v FROM rk WHERE rank >= {hubs} AND d > 0), e AS (SELECT i, j, min({along}) AS along FROM (SELECT i, j, v FROM us UNION ALL SELECT j, i, v FROM us) WHERE i <> j AND i IN (SELECT v FROM mid) AND j IN (SELECT v FROM mid) GROUP BY i, j), "
+        "w AS (SELECT v, v AS c FROM mid UNION SELECT e.j, w.c FROM w JOIN e ON e.i = w.v), m AS (SELECT v, min(c) AS component FROM w GROUP BY v), z AS (SELECT component, count(*) AS size FROM m GROUP BY component), "
+        f"l0 AS (SELECT DISTINCT component AS v, 0::BIGINT AS nth FROM m), {levels}, a AS ({every}), "
+        "p AS (SELECT rk.v, CASE WHEN a.v IS NOT NULL THEN 1 WHEN d > 0 THEN 0 ELSE 2 END AS segment, coalesce(size, 0) AS size, coalesce(component, rank) AS nth_group, coalesce(level, 0) AS level, coalesce(nth, 0) AS nth FROM rk LEFT JOIN m ON m.v = rk.v LEFT JOIN z USING (component) LEFT JOIN a ON a.v = rk.v) "
+        "SELECT v, row_number() OVER (ORDER BY segment, size DESC, nth_group, level, nth, v) - 1 AS pos FROM p"
+    )
+
+
+@query(_levels_order_sql(8, 6))
 def linear_order_positions(spark, d):
     a, n = graphs.user_steps(spark, d)
-    return L.linear_order(a, spark.range(n).withColumnRenamed("id", "v"), 8).select("pos")
+    return L.linear_order(a, spark.range(n).withColumnRenamed("id", "v"), 8, "levels")
+
+
+@query(_levels_order_sql(4, 6, "1 / (1 + v)"))
+def linear_order_weighted(spark, d):
+    a, n = graphs.user_steps(spark, d)
+    return L.linear_order(a.withColumn("along", 1 / (1 + F.col("v"))), spark.range(n).withColumnRenamed("id", "v"), 4, "levels", weight="along")
 
 
 # Peeling
@@ -398,14 +439,14 @@ def _levels(spark, d, block=True, prune=True, levels=4, kind="user"):
     return peel.peel(spark, a, n, max(2, n // 8), levels, block, prune), a, n
 
 
-@query(f"WITH {US} SELECT i, j, v FROM us")
+@query(f"WITH {US} SELECT i, j, v, true AS placed, true AS inside FROM us")
 def peel_union_equals_input(spark, d):
-    return _levels(spark, d)[0].edges.select("i", "j", "v")
+    return peel.placements(_levels(spark, d)[0]).drop("level")
 
 
-@query(f"WITH {TT} SELECT i, j, 1.0::DOUBLE AS v FROM tt")
+@query(f"WITH {TT} SELECT i, j, 1.0::DOUBLE AS v, true AS placed, true AS inside FROM tt")
 def peel_tree_band(spark, d):
-    return _levels(spark, d, block=False, levels=3, kind="tree")[0].edges.select("i", "j", "v")
+    return peel.placements(_levels(spark, d, block=False, levels=3, kind="tree")[0]).drop("level")
 
 
 _RULES = "SELECT unnest(['union_equals_input', 'levels_disjoint', 'permutations_bijective', 'structure']) AS rule, 0::BIGINT AS errors"
@@ -429,10 +470,22 @@ def peel_invariants_noprune(spark, d):
     return peel.invariants(levels, a)
 
 
-@query("SELECT v AS v, pos FROM (SELECT range AS v, range AS pos FROM range((SELECT max(user_id) + 1 FROM events)))")
+@query("SELECT range AS v, true AS as_vertex, true AS as_place FROM range((SELECT max(user_id) + 1 FROM events))")
 def peel_perm_is_bijection(spark, d):
-    perm = _levels(spark, d, levels=1)[0].perm
-    return perm.select("v").join(perm.select(F.col("pos").alias("v"), "pos"), "v")
+    return peel.places_taken(_levels(spark, d, levels=2)[0])
+
+
+# two widths side by side; the first is then replaced by another split of the same matrix, and the second stays
+@query(f"WITH {US} SELECT i, j, v, width, mode, true AS placed, true AS inside FROM us, (VALUES ('a', 'block'), ('b', 'band')) t(width, mode)")
+def level_store_widths(spark, d):
+    a, n = graphs.user_steps(spark, d)
+    a, sizes = materialise(a, "steps"), {"a": max(2, n // 8), "b": max(3, n // 4)}
+    store = LevelStore(spark, f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}")
+    store.put(peel.peel(spark, a.withColumn("v", F.lit(0.0)), n, sizes["a"], 2, block=True), sizes["a"], "block")
+    store.put(peel.peel(spark, a, n, sizes["b"], 2), sizes["b"], "band")
+    store.put(peel.peel(spark, a, n, sizes["a"], 1, block=True), sizes["a"], "block")
+    held = [peel.placements(store.get(sizes[w], mode)).drop("level").select("*", F.lit(w).alias("width"), F.lit(mode).alias("mode")) for w, mode in (("a", "block"), ("b", "band"))]
+    return held[0].unionByName(held[1])
 
 
 @query(f"WITH {US} SELECT count(*) AS nnz, (SELECT max(user_id) + 1 FROM events) AS n FROM us")
@@ -524,6 +577,20 @@ def spmm_iterated_3(spark, d):
     return spmm.iterate(lambda x: spmm.multiply(a, x), graphs.dense(spark, n, 2), 3)
 
 
+# what the writes of the steps saw, without jobs of their own
+@query(
+    f"WITH {NT}, {x_sql(2, '(SELECT count(*) FROM nation)')}, y0 AS (SELECT * FROM x), {_STEP.format(k=1, b=0)}, {_STEP.format(k=2, b=1)}, {_STEP.format(k=3, b=2)}, "
+    "y AS (SELECT 1 AS iteration, x FROM y1 UNION ALL SELECT 2, x FROM y2 UNION ALL SELECT 3, x FROM y3), "
+    "s AS (SELECT iteration, count(*)::DOUBLE AS rows, sum(x) AS total, max(abs(x)) AS largest FROM y GROUP BY iteration) "
+    "SELECT iteration::BIGINT AS iteration, name, value FROM s UNPIVOT (value FOR name IN (rows, total, largest))"
+)
+def iteration_metrics(spark, d):
+    a, n = graphs.nation_trade(spark, d)
+    a, log = materialise(a, "a"), metrics.MetricLog(spark, "run")
+    spmm.iterate(lambda x: spmm.multiply(a, x), graphs.dense(spark, n, 2), 3, log=log)
+    return log.table().select("iteration", "name", "value")
+
+
 @query(f"WITH {US}, {x_sql(2, _USERS)}, y0 AS (SELECT * FROM x), {_STEP.format(k=1, b=0)}, {_STEP.format(k=2, b=1)}, {_STEP.format(k=3, b=2)} SELECT v, max(x) FILTER (f = 0) AS f0, max(x) FILTER (f = 1) AS f1 FROM y3 GROUP BY v".replace("FROM nt a", "FROM us a"))
 def spmm_stationary_3(spark, d):
     a, n = graphs.user_steps(spark, d)
@@ -658,10 +725,9 @@ def gen_attachment(spark, d):
     return generators.attachment(spark, 3000, 4)
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT pos) AS places, min(pos) AS first, max(pos) AS last FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem")
 def global_positions(spark, d):
-    numbered = number_rows(graphs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
-    return numbered.agg(F.count("*").alias("rows"), F.countDistinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return number_rows(graphs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")

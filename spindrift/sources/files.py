@@ -11,7 +11,8 @@ from ..operators.peel import Levels
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """Coordinate text: (i, j, v from 0, rows, columns). A pattern has ones; symmetric and skew-symmetric files hold one
-    half, and the other is added. The header and the size line alone are read by the driver."""
+    half, and the other is added. The header and the size line alone are read by the driver. A file of more or fewer
+    entries than its size line says is refused."""
     lines = spark.read.text(path)
     head = lines.where(F.col("value").startswith("%%")).first()
     kind = head[0].lower().split() if head else ["%%matrixmarket", "matrix", "coordinate", "real", "general"]
@@ -23,6 +24,9 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int,
     first = body.first()["p"]
     size = [int(x) for x in first[:2]]
     pattern = "pattern" in kind
+    entries = body.count() - 1
+    if entries != int(first[2]):
+        raise ValueError(f"{path} has {entries} entries and says {first[2]}")
     # an entry of whole numbers may equal the size line: of the equal lines one alone is left out
     same = F.col("p") == F.array(*map(F.lit, first))
     equal = body.where(same).groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
@@ -71,6 +75,20 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("overwrite").partitionBy("bi").parquet(path)
 
 
+def write_tile_catalogue(tiles: DataFrame, path: str) -> None:
+    """Tiles as write_tiles has them, and beside them a small table of their places and numbers of entries."""
+    write_tiles(tiles, f"{path}/tiles")
+    counts = tiles.sparkSession.read.parquet(f"{path}/tiles").groupBy("bi", "bj").agg(F.count("*").alias("entries"))
+    counts.write.mode("overwrite").parquet(f"{path}/catalogue")
+
+
+def read_catalogued(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """Entries, bi and bj of the tiles whose row of the catalogue (bi, bj, entries) meets the condition `wanted`. The rows of
+    tiles to open are known at run time only, when the catalogue has been read; others' folders are pruned then."""
+    chosen = spark.read.parquet(f"{path}/catalogue").where(wanted).select("bi", "bj")
+    return spark.read.parquet(f"{path}/tiles").join(chosen, ["bi", "bj"]).select("i", "j", "v", "bi", "bj")
+
+
 def read_tile(spark: SparkSession, path: str, bi: int, bj: int) -> DataFrame:
     return spark.read.parquet(path).where((F.col("bi") == bi) & (F.col("bj") == bj))
 
