@@ -19,6 +19,8 @@ from .shingles import shingle_set
 
 #: Parts that the suffix filter counts.
 PARTS = 256
+#: Columns of 64 parts each, of which they say whether an odd number of n-grams is in them; the join itself filters by them.
+BRIEFS = [f"brief{k}" for k in range(PARTS // 64)]
 #: n-grams whose counts the tasks get to know, at most: the most frequent ones, of those that LEAST sets or more hold.
 FREQUENT, LEAST = 1 << 17, 8
 #: n-grams, eight bytes each, that a task holds before it packs them.
@@ -44,15 +46,15 @@ def _needed(a: Column, b: Column, share: int) -> Column:
 
 
 def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Per document: size, digest of its set and counts by part; and, packed by their first `bits` bits, the next 32 bits of
-    all its n-grams."""
+    """Per document: size, digest of its set, counts by part and whether they are odd; and, packed by their first `bits` bits, the
+    next 32 bits of all its n-grams."""
 
     def packed(held: list[np.ndarray]) -> pd.DataFrame:
         s = np.sort(np.concatenate(held))
         of = (s >> np.uint64(64 - bits)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         low = ((s >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        return pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, "bucket": of[at], "grams": [x.tobytes() for x in np.split(low, at[1:])]})
+        return pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, **dict.fromkeys(BRIEFS, 0), "bucket": of[at], "grams": [x.tobytes() for x in np.split(low, at[1:])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -61,18 +63,20 @@ def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
             rows = []
             for k, t in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(t, words)
-                parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).clip(max=65535).astype("<u2")
-                rows.append((k, len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), parts.tobytes(), -1, None))
+                parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                briefs = np.packbits((parts & 1).astype(np.uint8)).view("<i8").tolist()
+                parts = parts.clip(max=65535).astype("<u2").tobytes()
+                rows.append((k, len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), parts, *briefs, -1, None))
                 held.append(s)
                 size += len(s)
                 if size >= HELD:
                     yield packed(held)
                     held, size = [], 0
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", "bucket", "grams"])
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", *BRIEFS, "bucket", "grams"])
         if size:
             yield packed(held)
 
-    return docs.mapInPandas(run, "id long, n long, digest binary, parts binary, bucket int, grams binary")
+    return docs.mapInPandas(run, f"id long, n long, digest binary, parts binary, {', '.join(f'{b} long' for b in BRIEFS)}, bucket int, grams binary")
 
 
 def _frequent(packed: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +160,13 @@ def _prefixes(docs: DataFrame, words: int, share: int, frequent: tuple[np.ndarra
     return docs.mapInPandas(run, "gram long, id long, n int, place int")
 
 
+def _briefs_agree(most: Column) -> Column:
+    """Suffix filter of an entry and another one (`other_` before the names), inside the join: a part that is odd in one set
+    only holds an n-gram that the other lacks, or the other way."""
+    apart = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in BRIEFS]
+    return sum(apart[1:], apart[0]) <= most
+
+
 @F.pandas_udf(T.BooleanType())
 def _parts_agree(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
     """Suffix filter: what two sets differ by is at least the sum of the differences of their parts' sizes."""
@@ -210,27 +221,30 @@ def _may_link(share: int) -> Column:
 
 
 def _other_pairs(placed: DataFrame, share: int) -> DataFrame:
-    """Candidate pairs a, b of entries (gram, id, n, place, c, lc, group) whose components c differ.
+    """Candidate pairs a, b of entries (gram, id, n, place, c, lc, group, BRIEFS) whose components c differ.
 
     Of a pair that links the smaller set (by size, then id) holds a common n-gram in the part of its prefix that leaves
     enough for a partner of its own size, which is shorter; so smaller entries are taken from there only. Joined are
     n-gram, band of sizes (a partner is in the smaller one's band or the next) and, where an n-gram has many rows, a salt.
-    Rows of the leader's component lc are joined with others only, never among themselves.
+    Rows of the leader's component lc are joined with others only, never among themselves. Pairs that share a passage and
+    little else, of which there may be very many, end at a suffix filter inside the join (texts under some 700 n-grams do).
     """
     band = F.floor(F.log("n") / math.log(102 / share))
     salts = F.ceil(F.col("group") / SALTED).cast("int")
     larger = placed.select(
         "gram", band.alias("band"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"),
         F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("c").alias("oc"), (F.col("c") == F.col("lc")).alias("in_lead"),
+        *[F.col(b).alias(f"other_{b}") for b in BRIEFS],
     )
     smaller = placed.where(F.col("n") - F.col("place") >= _needed(F.col("n"), F.col("n"), share))
     smaller = smaller.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    agree = _briefs_agree(F.col("n") + F.col("m") - 2 * _needed(F.col("n"), F.col("m"), share))
     ordered = F.struct("n", "id") < F.struct(F.col("m").alias("n"), F.col("other").alias("id"))
     found = []
     for inside in (False, True):
         left = smaller.where((F.col("c") == F.col("lc")) == inside)
         right = larger.where(~F.col("in_lead")) if inside else larger
-        pairs = left.join(right, ["gram", "band", "salt"]).where((F.col("c") != F.col("oc")) & ordered & _may_link(share))
+        pairs = left.join(right, ["gram", "band", "salt"]).where((F.col("c") != F.col("oc")) & ordered & _may_link(share) & agree)
         found.append(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
     return found[0].unionByName(found[1])
 
@@ -275,13 +289,20 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     placed = index.join(leaders.select("gram", "leader", "group"), "gram").join(label("id"), "id", "left").join(label("leader"), "leader", "left")
     placed = placed.select("gram", "id", "n", "place", "group", F.coalesce("id_in", "id").alias("c"), F.coalesce("leader_in", "leader").alias("lc"))
     placed = scratch.write("placed", placed)
-    rest = _other_pairs(placed, share).distinct().join(stars, ["a", "b"], "left_anti")
+    # n-grams whose rows the leaders have tied together give no further pair
+    open_grams = placed.where("c != lc").select("gram").distinct()
+    entries = placed.join(open_grams, "gram", "left_semi").join(info.select("id", *BRIEFS), "id")
+    entries = scratch.write("entries", entries)
+    scratch.empty("placed")
+    rest = _other_pairs(entries, share).distinct().join(stars, ["a", "b"], "left_anti")
     more = _linked("more", rest, info, docs, words, share, scratch)
-    scratch.empty("placed", "index", "leaders", "stars")
+    scratch.empty("entries", "index", "leaders", "stars")
     final = components(links.unionByName(more)) if not more.isEmpty() else tied
 
     classes = classes.join(final, classes["rep"] == final["v"], "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    out = info.select("id", "n", "digest").join(classes, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component"))
+    # rows without words, which may be very many, share a digest but no class
+    out = info.where("n > 0").join(classes, "digest").select("id", F.col("n").alias("n_shingles"), F.col("class").alias("component"))
+    out = out.unionByName(info.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
     if names is None:
         return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"))
     smallest = names.select(F.col("id").alias("component"), F.col("key").alias("component_id"))

@@ -435,6 +435,20 @@ def test_jaccard_of_a_template(spark, monkeypatch):
     assert all(r["component_id"] == r["doc_id"] for r in got) and sum(seen) < 400
 
 
+def test_jaccard_of_shared_sentences(spark, monkeypatch):
+    """Texts put together from a stock of sentences: very many pairs share one, and none links. Most end in the join."""
+    rng = random.Random(9)
+    stock = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(300)]
+    seen = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda name, pairs, *a: (seen.append((name, pairs.count())), linked(name, pairs, *a))[1])
+    for n in (1000, 4000):
+        rows = [(k, " ".join(rng.sample(stock, 20)), "a") for k in range(n)]
+        got = jaccard_join.similar_components(docs(spark, rows), words=4, share=85).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(k, k) for k in range(n)]
+        assert dict(seen)["more"] < n / 50
+
+
 def test_null_and_repeated_keys(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(None, text(0), "a"), (None, text(1), "a"), (7, text(2), "a"), (7, text(1), "a"), (9, text(2), "a"), (7, text(3), "a")]
