@@ -122,5 +122,6 @@ def accepted(lang_pred: Column, score: Column, least: float = 0.5) -> Column:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """All documents; of a null doc_id `held_out` is null, and nothing is learned from its row."""
     docs = table(spark, sf_dir, "documents")
     return with_language(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -202,6 +202,7 @@ def score_quality(df: DataFrame, model: Neighbours, text: str = "text") -> DataF
 
 
 def op2_quality_knn(spark, sf_dir: str) -> DataFrame:
+    """All documents; of a null doc_id `held_out` is null, and nothing is learned from its row."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     model = fit_neighbours(docs, known)

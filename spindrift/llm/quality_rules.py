@@ -93,7 +93,9 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", most_l
     """One row per row of df: key, counts, `base_failed`, `kept`, `words_left` long, `text_left`.
 
     `text_left` is the text without the lines that fail; it is not kept if over `most_lost` of its words are gone or
-    if the base rules fail. Null and empty texts have no words and fail. Everything is done within a row.
+    if the base rules fail. Null and empty texts have no words and fail. Everything is done within a row: very long texts
+    count whole, repeated rows and null keys keep rows of their own, equal texts get equal verdicts, and an empty table gives
+    an empty one. Columns of df that aren't named play no part.
 
     Repeated words: 3-word windows are sorted by hash, so equal ones are neighbours, and compared in full; a word
     counts once however many repeated windows cover it.
