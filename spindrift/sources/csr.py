@@ -96,7 +96,9 @@ class CsrReader(DataSourceReader):
         step = max(1, -(-sum(max(0, last - first) for _, first, last in found) // self.parts))
         return [Slice(tuple(s["files"]), s["row"], k, min(k + step, last)) for s, first, last in found for k in range(first, last, step)]
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slice | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where there are none
+            return
         store, root = _open(self.path)
         indptr, indices, data = (_Numbers(store, f"{root}/{f}") for f in partition.files)
         row = indptr.last_not_over(partition.first)
