@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, number_rows
+from ..storage import deal, materialise, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,16 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; tasks are as many as its rows need from now on."""
+    deal(spark, rows_of(spark, sf_dir, name))
+    return table(spark, sf_dir, name)
+
+
 def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Parts and, after them, suppliers; values count line items."""
     parts, suppliers = rows_of(spark, sf_dir, "part"), rows_of(spark, sf_dir, "supplier")
-    items = table(spark, sf_dir, "lineitem")
+    items = dealt(spark, sf_dir, "lineitem")
     a = items.groupBy(F.col("l_partkey").alias("i"), (F.col("l_suppkey") + parts).alias("j")).agg(F.count("*").cast("double").alias("v"))
     return a, parts + suppliers
 
@@ -27,7 +33,7 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Customers and, after them, parts; values count line items of the customer's orders."""
     customers, parts = rows_of(spark, sf_dir, "customer"), rows_of(spark, sf_dir, "part")
-    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = table(spark, sf_dir, "orders").join(dealt(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     a = pairs.groupBy(F.col("o_custkey").alias("i"), (F.col("l_partkey") + customers).alias("j")).agg(F.count("*").cast("double").alias("v"))
     return a, customers + parts
 
@@ -37,14 +43,14 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("i"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("j"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    items = dealt(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     joined = items.join(o, items["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.groupBy("i", "j").agg(F.count("*").cast("double").alias("v")), rows_of(spark, sf_dir, "nation")
 
 
 def user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Directed, from each user to the one of the next event of the type; values count steps. Loops occur."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    events = dealt(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     # a type may hold any share of the events, so places come from range partitions, not from a window over the type
     placed = materialise(number_rows(events, "event_type", "ts", "event_id"), "placed")
     after = placed.select((F.col("pos") - 1).alias("pos"), F.col("event_type").alias("_type"), F.col("user_id").alias("j"))
@@ -57,6 +63,7 @@ def user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def trade_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Regions, nations, customers and orders, each linked to the one it belongs to: a forest of one tree a region."""
     r, n, c, o = (rows_of(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    deal(spark, r + n + c + o)
     one = F.lit(1.0).alias("v")
     nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("i"), (F.col("n_nationkey") + r).cast("long").alias("j"), one)
     customers = table(spark, sf_dir, "customer").select((F.col("c_nationkey") + r).cast("long").alias("i"), (F.col("c_custkey") + r + n).alias("j"), one)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -20,6 +21,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of input for each task of a shuffle, and bytes of a file or a shuffle, compressed, that a task should take at most.
+TASK_ROWS, TASK_BYTES = 250_000, {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20}
+_PARTITIONS, _DEALT = "spark.sql.shuffle.partitions", "spindrift.dealt"
+
+
+def _bytes(text: str) -> int:
+    number = text.strip().lower().rstrip("b")
+    power = "kmgtp".find(number[-1]) + 1
+    return int(number[:-1] if power else number) << 10 * power
+
+
+def deal(spark: SparkSession, rows: int) -> None:
+    """Let what is planned from now on run in as many tasks as a table of so many rows needs, so that what a task holds
+    doesn't grow with the input: more partitions of shuffles, of which adaptive execution joins small ones only, and
+    smaller pieces of files. Where the session's own settings do, they hold, also again after a larger table."""
+    found = {k: spark.conf.get(k) for k in (_PARTITIONS, *TASK_BYTES)}
+    before = json.loads(spark.conf.get(_DEALT, "{}"))
+    # what isn't as this left it, somebody else has set since
+    own = {k: before[k][0] if k in before and before[k][1] == v else v for k, v in found.items()}
+    parts = max(int(own[_PARTITIONS]), -(-rows // TASK_ROWS))
+    many = parts > int(own[_PARTITIONS])
+    wanted = {_PARTITIONS: str(parts)} | {k: f"{min(most, _bytes(own[k]))}b" if many else own[k] for k, most in TASK_BYTES.items()}
+    for k, v in wanted.items():
+        if v != found[k]:
+            spark.conf.set(k, v)
+    spark.conf.set(_DEALT, json.dumps({k: [own[k], v] for k, v in wanted.items()}))
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df and read it back: ends its lineage and gives the optimiser true sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
