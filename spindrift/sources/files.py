@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matrix import canonical, transpose
 from ..operators.peel import Levels
+from ..storage import materialise
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -75,18 +76,28 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("overwrite").partitionBy("bi").parquet(path)
 
 
-def write_tile_catalogue(tiles: DataFrame, path: str) -> None:
-    """Tiles as write_tiles has them, and beside them a small table of their places and numbers of entries."""
-    write_tiles(tiles, f"{path}/tiles")
-    counts = tiles.sparkSession.read.parquet(f"{path}/tiles").groupBy("bi", "bj").agg(F.count("*").alias("entries"))
+#: Entries that a folder of catalogued tiles should hold.
+FOLDER_ENTRIES = 500_000
+
+
+def write_tile_catalogue(tiles: DataFrame, path: str, entries: int = FOLDER_ENTRIES) -> None:
+    """Tiles sorted by place, in folders of neighbouring ones that hold about so many entries, and beside them a small table
+    of each tile's place, folder and number of entries. A tile with many entries may lie in several folders. Folders are
+    written by one task each, so files are as many as folders, however many rows of tiles or tasks there are."""
+    tiles = materialise(tiles, "tiles")
+    parts = max(1, -(-tiles.count() // entries))
+    placed = tiles.repartitionByRange(parts, "bi", "bj", "i", "j").withColumn("folder", F.spark_partition_id())
+    placed.sortWithinPartitions("folder", "bi", "bj").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/tiles")
+    written = tiles.sparkSession.read.parquet(f"{path}/tiles")
+    counts = written.groupBy("bi", "bj", "folder").agg(F.count("*").alias("_own")).groupBy("bi", "bj").agg(F.sum("_own").alias("entries"), F.collect_list("folder").alias("folders"))
     counts.write.mode("overwrite").parquet(f"{path}/catalogue")
 
 
 def read_catalogued(spark: SparkSession, path: str, wanted: str) -> DataFrame:
-    """Entries, bi and bj of the tiles whose row of the catalogue (bi, bj, entries) meets the condition `wanted`. The rows of
-    tiles to open are known at run time only, when the catalogue has been read; others' folders are pruned then."""
-    chosen = spark.read.parquet(f"{path}/catalogue").where(wanted).select("bi", "bj")
-    return spark.read.parquet(f"{path}/tiles").join(chosen, ["bi", "bj"]).select("i", "j", "v", "bi", "bj")
+    """Entries, bi and bj of the tiles whose row of the catalogue (bi, bj, entries, folders) meets the condition `wanted`. The
+    folders to open are known at run time only, when the catalogue has been read; others are pruned then."""
+    chosen = spark.read.parquet(f"{path}/catalogue").where(wanted).select("bi", "bj", F.explode("folders").alias("folder"))
+    return spark.read.parquet(f"{path}/tiles").join(chosen, ["folder", "bi", "bj"]).select("i", "j", "v", "bi", "bj")
 
 
 def read_tile(spark: SparkSession, path: str, bi: int, bj: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """What grows with the input: tasks, not what one of them holds."""
 
+from spindrift.functions import matrix
+from spindrift.sources import files
 from spindrift.storage import deal
 
 KEYS = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -27,3 +29,18 @@ def test_tasks_follow_the_rows(spark):
             spark.conf.set(k, v)
         deal(spark, 0)
     assert held() == own
+
+
+def test_folders_of_tiles_follow_the_entries(spark, tmp_path):
+    """Not the rows of tiles, nor rows of tiles times tasks; a tile over several folders is read whole."""
+    places = [(i, j) for i in range(400) for j in (i % 40, 40 + i % 3)] + [(5, 100 + k) for k in range(300)]
+    a = spark.createDataFrame([(i, j, 1.0) for i, j in places], "i long, j long, v double").repartition(4)
+    files.write_tile_catalogue(matrix.with_tiles(a, 4).select("i", "j", "v", "bi", "bj"), str(tmp_path / "few"))
+    assert len(list((tmp_path / "few" / "tiles").rglob("*.parquet"))) == 1
+    for size in (4, 1000):
+        path = tmp_path / f"many{size}"
+        files.write_tile_catalogue(matrix.with_tiles(a, size).select("i", "j", "v", "bi", "bj"), str(path), entries=200)
+        assert 3 <= len(list((path / "tiles").rglob("*.parquet"))) <= 6
+        whole = files.read_catalogued(spark, str(path), "entries > 0")
+        assert sorted((r["i"], r["j"]) for r in whole.collect()) == sorted(places)
+    assert files.read_catalogued(spark, str(path), f"entries = {len(places)}").count() == len(places)
