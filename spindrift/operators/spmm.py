@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matrix import with_tiles
@@ -72,7 +72,9 @@ def multiply_tiles(a: DataFrame, x: DataFrame, size: int) -> DataFrame:
 
 
 #: Rows and columns of a compressed tile: it has that many entries at most, and uses as many rows of X.
-TILE_ROWS, TILE_COLUMNS = 1024, 2048
+TILE_ROWS, TILE_COLUMNS = 16384, 2048
+#: Entries up to which neighbouring tiles of the same rows are multiplied together, and numbers that a step of that holds.
+TASK_ENTRIES, TASK_NUMBERS = 500_000, 1 << 22
 
 
 def compressed_tiles(a: DataFrame, rows: int = TILE_ROWS, columns: int = TILE_COLUMNS) -> DataFrame:
@@ -93,33 +95,46 @@ def compressed_tiles(a: DataFrame, rows: int = TILE_ROWS, columns: int = TILE_CO
     return placed.groupBy("bi", "bj").applyInArrow(compress, made)
 
 
-def multiply_compressed(tiles: DataFrame, x: DataFrame, features: int) -> DataFrame:
+def multiply_compressed(tiles: DataFrame, x: DataFrame, features: int, entries: int = TASK_ENTRIES) -> DataFrame:
     """tiles: as compressed_tiles makes them; x: v and x, an array of so many numbers. Rows (v, f, x) of A X.
 
-    Each tile meets the rows of X that its columns use, no others, so X is reduced before it is shuffled; a tile's product
-    is made in numpy, a sum over each row's run of entries, and tiles of the same rows are added by Spark.
+    Neighbouring tiles of the same rows go together up to so many entries and meet the rows of X that they use, no others
+    and each once, so X is reduced before it is shuffled: an entry takes one row of X at most, however large A is. Products
+    are made in numpy, a sum over each row's run of entries. Only rows of several such groups are added by Spark.
     """
 
     def product(tile: pa.Table, block: pa.Table) -> pa.Table:
-        found: dict = {"v": [], "f": [], "x": []}
+        rows, sums, alone = np.zeros(0, np.int64), np.zeros((0, features)), True
         if tile.num_rows and block.num_rows:
-            used, indptr, indices, data = (tile[c].combine_chunks().flatten().to_numpy() for c in ("used", "indptr", "indices", "data"))
-            v, dense = block["v"].to_numpy(), block["x"].combine_chunks().flatten().to_numpy().reshape(-1, features)
+            alone, v = tile["alone"][0].as_py(), block["v"].to_numpy()
             order = np.argsort(v)
-            at = np.minimum(np.searchsorted(v, used, sorter=order), len(v) - 1)
-            own = np.where((v[order[at]] == used)[:, None], dense[order[at]], 0.0)  # a row that X lacks is 0
-            known = np.isin(used, v)
-            sums = np.add.reduceat(own[indices] * data[:, None], indptr[:-1])
-            row = tile["row"].combine_chunks().flatten().to_numpy()
-            some = np.add.reduceat(known[indices].astype(int), indptr[:-1]) > 0
-            row, sums = row[some], sums[some]
-            found = {"v": np.repeat(row, features), "f": np.tile(np.arange(features, dtype=np.int32), len(row)), "x": sums.reshape(-1)}
-        return pa.table(found, pa.schema([("v", pa.int64()), ("f", pa.int32()), ("x", pa.float64())]))
-
-    need = tiles.select(F.col("bi").alias("ti"), F.col("bj").alias("tj"), F.explode("used").alias("v"))
-    blocks = need.join(x.select("v", F.col("x").cast("array<double>").alias("x")), "v")
-    parts = tiles.groupBy("bi", "bj").cogroup(blocks.groupBy("ti", "tj")).applyInArrow(product, "v long, f int, x double")
-    return _summed(parts, "v", "f")
+            v, dense = v[order], block["x"].combine_chunks().flatten().to_numpy().reshape(-1, features)[order]
+            rows = np.unique(tile["row"].combine_chunks().flatten().to_numpy())
+            sums, some = np.zeros((len(rows), features)), np.zeros(len(rows), bool)
+            for k in range(tile.num_rows):
+                row, used, indptr, indices, data = (tile[c][k].values.to_numpy() for c in ("row", "used", "indptr", "indices", "data"))
+                at, to = np.minimum(np.searchsorted(v, used), len(v) - 1), np.searchsorted(rows, row)
+                known = v[at] == used
+                own = np.where(known[:, None], dense[at], 0.0)  # a row that X lacks is 0
+                some[to] |= np.logical_or.reduceat(known[indices], indptr[:-1])
+                step = max(1, TASK_NUMBERS // len(data))
+                for f in range(0, features, step):
+                    sums[to, f : f + step] += np.add.reduceat(own[indices, f : f + step] * data[:, None], indptr[:-1])
+            rows, sums = rows[some], sums[some]
+        arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * features, pa.int32()), pa.array(sums.reshape(-1)))
+        return pa.table({"v": rows, "x": arrays, "alone": [alone] * len(rows)}, pa.schema([("v", pa.int64()), ("x", pa.list_(pa.float64())), ("alone", pa.bool_())]))
+
+    tiles = materialise(tiles, "tiles")
+    before = Window.partitionBy("bi").orderBy("bj").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tiles.select("bi", "bj", F.floor(F.coalesce(F.sum(F.size("data")).over(before), F.lit(0)) / entries).alias("part"))
+    placed = placed.withColumn("alone", F.max("part").over(Window.partitionBy("bi")) == 0)
+    tiles = tiles.join(placed, ["bi", "bj"])
+    need = tiles.select(F.col("bi").alias("ti"), F.col("part").alias("tp"), F.explode("used").alias("v"))
+    blocks = need.join(x.select("v", "x"), "v")
+    parts = tiles.groupBy("bi", "part").cogroup(blocks.groupBy("ti", "tp")).applyInArrow(product, "v long, x array<double>, alone boolean")
+    parts = materialise(parts, "products")
+    rows = lambda some: parts.where(some).select("v", F.posexplode("x").alias("f", "x"))
+    return rows("alone").unionByName(_summed(rows("NOT alone"), "v", "f"))
 
 
 class Stationary:

@@ -1,6 +1,7 @@
 """What grows with the input: tasks, not what one of them holds."""
 
 from spindrift.functions import matrix
+from spindrift.operators import spmm
 from spindrift.sources import files
 from spindrift.storage import deal
 
@@ -44,3 +45,22 @@ def test_folders_of_tiles_follow_the_entries(spark, tmp_path):
         whole = files.read_catalogued(spark, str(path), "entries > 0")
         assert sorted((r["i"], r["j"]) for r in whole.collect()) == sorted(places)
     assert files.read_catalogued(spark, str(path), f"entries = {len(places)}").count() == len(places)
+
+
+def test_a_row_of_x_goes_to_a_row_of_tiles_once(spark):
+    """However many columns there are: tiles of the same rows go together, up to a number of entries."""
+    n, features = 9000, 3
+    places = sorted({(i, (i * 37 + k * 2111) % n) for i in range(60) for k in range(12)} | {(7, j) for j in range(0, n, 4)})
+    a = spark.createDataFrame([(i, j, float(i % 5 - j % 3)) for i, j in places], "i long, j long, v double")
+    x = spark.range(n).where("id % 11 <> 3").selectExpr("id AS v", "array(float(id % 7), float(id % 5), 1f) AS x")
+    want = {}
+    for i, j in places:
+        if j % 11 != 3:
+            for f, y in enumerate((j % 7, j % 5, 1)):
+                want[i, f] = want.get((i, f), 0.0) + (i % 5 - j % 3) * y
+    for entries in (spmm.TASK_ENTRIES, 500):
+        got = spmm.multiply_compressed(spmm.compressed_tiles(a, 64, 256), x, features, entries)
+        assert got.dtypes == [("v", "bigint"), ("f", "int"), ("x", "double")]
+        assert {(r["v"], r["f"]): r["x"] for r in got.collect()} == want
+    small = spmm.compressed_tiles(a.where("i = 8"), 64, 256)
+    assert "2" not in {str(r["count"]) for r in spmm.multiply_compressed(small, x, features).groupBy("v", "f").count().collect()}
