@@ -190,11 +190,50 @@ def _doubled(links: DataFrame, name: str) -> DataFrame:
     return known.select("id", "w")
 
 
+#: The share of a forest's edges that must end in leaves for these to be taken off in a round of their own.
+LEAVES = 0.125
+
+
 def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     """forest: i, j, the edges of trees; roots: v, one of each tree. v, parent (null at roots), size (of the subtree).
 
+    Leaves are taken off round by round while they are many, so that the rounds of a shallow forest read a few times what
+    its edges are; each takes the sizes of those below it along. What is left is rooted by tours.
+    """
+    spark, top, below = forest.sparkSession, roots.select("v"), []
+    left, weights = Rounds(spark, "left"), Rounds(spark, "weights")
+    edges = left.write(forest.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
+    held = weights.write(spark.createDataFrame([], "v long, s long"))
+    while (m := edges.count()) > 0:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("i").alias("v"), F.col("j").alias("u")), F.struct(F.col("j").alias("v"), F.col("i").alias("u")))).alias("e")).select("e.*")
+        ends = ends.groupBy("v").agg(F.count("*").alias("d"), F.min("u").alias("parent")).where("d = 1")
+        leaves = ends.join(top, "v", "left_anti").join(held, "v", "left").select("v", "parent", (1 + F.coalesce("s", F.lit(0))).alias("size"))
+        leaves = materialise(leaves, "leaves")
+        if leaves.count() < LEAVES * m:
+            break
+        below.append(leaves)
+        off = leaves.select("v")
+        edges = left.write(edges.join(off.withColumnRenamed("v", "i"), "i", "left_anti").join(off.withColumnRenamed("v", "j"), "j", "left_anti"))
+        more = held.join(off, "v", "left_anti").unionByName(leaves.select(F.col("parent").alias("v"), F.col("size").alias("s")))
+        held = weights.write(more.groupBy("v").agg(F.sum("s").alias("s")))
+    if m:
+        below.append(_toured(edges, roots, held))
+    under = held  # of roots: what was taken off right below them; tours add the rest
+    if m:
+        own = below[-1].groupBy(F.col("parent").alias("v")).agg(F.sum("size").alias("s"))
+        under = under.unionByName(own).groupBy("v").agg(F.sum("s").alias("s"))
+    found = top.join(under, "v", "left").select("v", F.lit(None).cast("long").alias("parent"), (1 + F.coalesce("s", F.lit(0))).alias("size"))
+    for part in below:
+        found = found.unionByName(part.select("v", "parent", "size"))
+    return found
+
+
+def _toured(forest: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
+    """v, parent and size of all but the roots, as rooted has them. held: v, s: vertices below v that the forest lacks.
+
     A tour goes round each tree, from every arc to the one after its twin among its end's arcs; of an edge's two arcs the
-    parent's comes first, and half the arcs from it to its twin are the subtree's. Places in tours are found by doubling.
+    parent's comes first, and what the arcs to children from it to its twin weigh is the subtree. Places in tours and
+    these sums are found by doubling.
     """
     both = forest.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(forest.select(F.col("j").alias("a"), F.col("i").alias("b")))
     arcs = materialise(number_rows(both, "a", "b", name="id"), "arcs")
@@ -207,10 +246,13 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     tour = materialise(tour.select("id", "twin", "a", "b", F.when(~F.coalesce(closes, F.lit(False)), F.col("next")).alias("next"), F.lit(1).cast("long").alias("w")), "tour")
     place = _doubled(tour, "tour-places")
     twin = place.select(F.col("id").alias("twin"), F.col("w").alias("_w"))
-    down = tour.select("id", "twin", "a", "b").join(place, "id").join(twin, "twin").where("w > _w")
-    below = down.select(F.col("b").alias("v"), F.col("a").alias("parent"), F.expr("(w - _w + 1) div 2").alias("size"))
-    top = roots.select("v").join(below.groupBy(F.col("parent").alias("v")).agg(F.sum("size").alias("s")), "v", "left")
-    return below.unionByName(top.select("v", F.lit(None).cast("long").alias("parent"), (1 + F.coalesce("s", F.lit(0))).alias("size")))
+    down = materialise(tour.select("id", "twin", "a", "b", "next").join(place, "id").join(twin, "twin").where("w > _w"), "down")
+    if held.isEmpty():
+        return down.select(F.col("b").alias("v"), F.col("a").alias("parent"), F.expr("(w - _w + 1) div 2").alias("size"))
+    heavy = down.select("id", "b").join(held.withColumnRenamed("v", "b"), "b", "left").select("id", (1 + F.coalesce("s", F.lit(0))).alias("w"))
+    sums = _doubled(tour.select("id", "next").join(heavy, "id", "left").select("id", "next", F.coalesce("w", F.lit(0)).cast("long").alias("w")), "tour-sums")
+    after = sums.select(F.col("id").alias("twin"), F.col("w").alias("_w"))
+    return down.select("id", "twin", "a", "b").join(sums, "id").join(after, "twin").select(F.col("b").alias("v"), F.col("a").alias("parent"), (F.col("w") - F.col("_w")).alias("size"))
 
 
 def visited(tree: DataFrame) -> DataFrame:

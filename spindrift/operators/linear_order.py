@@ -102,8 +102,13 @@ def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _tree_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """v, step: what _walk_tree gives, in rounds. edges: i, j, w; roots: v."""
-    return visited(rooted(spanning_forest(edges), roots)).select("v", F.col("pos").alias("step"))
+    """v, step: what _walk_tree gives, in rounds. edges: i, j, w, component; roots: v, tree (whether the component is a tree
+    already and so its own spanning tree)."""
+    trees, others = (roots.where(c).select(F.col("v").alias("component")) for c in ("tree", "NOT tree"))
+    forest = edges.join(trees, "component", "left_semi").select("i", "j")
+    if not others.isEmpty():
+        forest = forest.unionByName(spanning_forest(edges.join(others, "component", "left_semi")).select("i", "j"))
+    return visited(rooted(forest, roots)).select("v", F.col("pos").alias("step"))
 
 
 def component_order(
@@ -121,8 +126,11 @@ def component_order(
     task_edges = max(task_edges, base * (base - 1) // 2)  # so that a component of `base` vertices never needs rounds
     edges = materialise(edges, "edges")
     member = materialise(all_components(edges, vertices), "members")
-    edges = edges.join(member.withColumnRenamed("v", "i"), "i").withColumn("w", F.md5(F.concat_ws(":", "i", "j")))
-    sizes = materialise(edges.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    edges = materialise(edges.join(member.withColumnRenamed("v", "i"), "i"), "edges")
+    vertices = member.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = edges.groupBy("component").agg(F.count("*").alias("m")).join(vertices, "component")
+    sizes = materialise(sizes.select("component", "m", (F.col("m") == F.col("n") - 1).alias("tree")), "sizes")
+    edges = edges.withColumn("w", F.md5(F.concat_ws(":", "i", "j")))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [walk(own) if len(few := set(own["i"]) | set(own["j"])) > base else sorted(few) for _, own in pdf.groupby("component")]
@@ -133,9 +141,9 @@ def component_order(
     total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     calls = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // task_edges))
     steps = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")).applyInPandas(lambda pdf: order(pdf), "v long, step long")
-    large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"))
+    large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"), "tree")
     if not large.isEmpty():
-        steps = steps.unionByName(rounds(edges.join(large.withColumnRenamed("v", "component"), "component", "left_semi"), large))
+        steps = steps.unionByName(rounds(edges.join(large.select(F.col("v").alias("component")), "component", "left_semi"), large))
     return member.join(steps, "v", "left").select("v", "component", F.coalesce("step", F.lit(0)).alias("step"))
 
 

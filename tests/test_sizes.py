@@ -1,7 +1,7 @@
 """What grows with the input: tasks, not what one of them holds."""
 
 from spindrift.functions import matrix
-from spindrift.operators import spmm
+from spindrift.operators import graph, spmm
 from spindrift.sources import files
 from spindrift.storage import deal
 
@@ -64,3 +64,28 @@ def test_a_row_of_x_goes_to_a_row_of_tiles_once(spark):
         assert {(r["v"], r["f"]): r["x"] for r in got.collect()} == want
     small = spmm.compressed_tiles(a.where("i = 8"), 64, 256)
     assert "2" not in {str(r["count"]) for r in spmm.multiply_compressed(small, x, features).groupBy("v", "f").count().collect()}
+
+
+def test_shallow_trees_are_rooted_leaf_by_leaf(spark, monkeypatch):
+    """A star of stars has no tour; a long path with leaves on it has one, of what is left of it, with what was taken off."""
+    toured = []
+    monkeypatch.setattr(graph, "_toured", lambda forest, *rest, f=graph._toured: toured.append(forest.count()) or f(forest, *rest))
+    star = [(0, k) for k in range(1, 6)] + [(k, 10 * k + x) for k in range(1, 6) for x in range(8)]
+    path = [(1000 + k, 1001 + k) for k in range(20)] + [(1000 + k, 2000 + 10 * k + x) for k in range(20) for x in range(3)]
+    for edges, root, tours in ((star, 0, []), (path, 1007, [19])):
+        near = {}
+        for i, j in edges:
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        order, parent = [root], {root: None}
+        for v in order:
+            for u in near[v]:
+                if u != parent[v]:
+                    parent[u] = v
+                    order.append(u)
+        size = dict.fromkeys(order, 1)
+        for v in reversed(order[1:]):
+            size[parent[v]] += size[v]
+        found = graph.rooted(spark.createDataFrame(edges, "i long, j long"), spark.createDataFrame([(root,)], "v long")).collect()
+        assert {r["v"]: (r["parent"], r["size"]) for r in found} == {v: (parent[v], size[v]) for v in order} and len(found) == len(order)
+        assert toured == tours
