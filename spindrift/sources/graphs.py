@@ -16,9 +16,9 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
-def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; tasks are as many as its rows need from now on."""
-    deal(spark, rows_of(spark, sf_dir, name))
+def dealt(spark: SparkSession, sf_dir: str, name: str, joins: bool = False) -> DataFrame:
+    """The table; tasks are as many as its rows need from now on, and broadcasts small where many joins follow."""
+    deal(spark, rows_of(spark, sf_dir, name), joins)
     return table(spark, sf_dir, name)
 
 
@@ -50,7 +50,7 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 def user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Directed, from each user to the one of the next event of the type; values count steps. Loops occur."""
-    events = dealt(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    events = dealt(spark, sf_dir, "events", joins=True).select("user_id", "event_type", "ts", "event_id")
     # a type may hold any share of the events, so places come from range partitions, not from a window over the type
     placed = materialise(number_rows(events, "event_type", "ts", "event_id"), "placed")
     after = placed.select((F.col("pos") - 1).alias("pos"), F.col("event_type").alias("_type"), F.col("user_id").alias("j"))
@@ -63,7 +63,7 @@ def user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def trade_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Regions, nations, customers and orders, each linked to the one it belongs to: a forest of one tree a region."""
     r, n, c, o = (rows_of(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
-    deal(spark, r + n + c + o)
+    deal(spark, r + n + c + o, joins=True)
     one = F.lit(1.0).alias("v")
     nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("i"), (F.col("n_nationkey") + r).cast("long").alias("j"), one)
     customers = table(spark, sf_dir, "customer").select((F.col("c_nationkey") + r).cast("long").alias("i"), (F.col("c_custkey") + r + n).alias("j"), one)

@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of input for each task of a shuffle, and bytes of a file or a shuffle, compressed, that a task should take at most.
 TASK_ROWS, TASK_BYTES = 250_000, {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20}
-_PARTITIONS, _DEALT = "spark.sql.shuffle.partitions", "spindrift.dealt"
+#: Bytes of a table, as planned, up to which a join may send it to the driver and all tasks, where a query has many joins.
+BROADCAST_BYTES = 256 << 10
+_PARTITIONS, _BROADCAST, _DEALT = "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spindrift.dealt"
 
 
 def _bytes(text: str) -> int:
@@ -32,17 +34,19 @@ def _bytes(text: str) -> int:
     return int(number[:-1] if power else number) << 10 * power
 
 
-def deal(spark: SparkSession, rows: int) -> None:
+def deal(spark: SparkSession, rows: int, joins: bool = False) -> None:
     """Let what is planned from now on run in as many tasks as a table of so many rows needs, so that what a task holds
     doesn't grow with the input: more partitions of shuffles, of which adaptive execution joins small ones only, and
-    smaller pieces of files. Where the session's own settings do, they hold, also again after a larger table."""
-    found = {k: spark.conf.get(k) for k in (_PARTITIONS, *TASK_BYTES)}
+    smaller pieces of files. joins: of a table larger than one task's, only small tables are broadcast, since those of some
+    hundred joins add up on the driver. Where the session's own settings do, they hold, also again after a larger table."""
+    found = {k: spark.conf.get(k) for k in (_PARTITIONS, _BROADCAST, *TASK_BYTES)}
     before = json.loads(spark.conf.get(_DEALT, "{}"))
     # what isn't as this left it, somebody else has set since
     own = {k: before[k][0] if k in before and before[k][1] == v else v for k, v in found.items()}
     parts = max(int(own[_PARTITIONS]), -(-rows // TASK_ROWS))
     many = parts > int(own[_PARTITIONS])
     wanted = {_PARTITIONS: str(parts)} | {k: f"{min(most, _bytes(own[k]))}b" if many else own[k] for k, most in TASK_BYTES.items()}
+    wanted[_BROADCAST] = f"{BROADCAST_BYTES}b" if joins and rows > TASK_ROWS and _bytes(own[_BROADCAST]) > BROADCAST_BYTES else own[_BROADCAST]
     for k, v in wanted.items():
         if v != found[k]:
             spark.conf.set(k, v)

@@ -89,3 +89,20 @@ def test_shallow_trees_are_rooted_leaf_by_leaf(spark, monkeypatch):
         found = graph.rooted(spark.createDataFrame(edges, "i long, j long"), spark.createDataFrame([(root,)], "v long")).collect()
         assert {r["v"]: (r["parent"], r["size"]) for r in found} == {v: (parent[v], size[v]) for v in order} and len(found) == len(order)
         assert toured == tours
+
+
+def test_joins_of_a_large_graph_broadcast_small_tables_only(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(key)
+    try:
+        deal(spark, 6_000_000, joins=True)
+        assert spark.conf.get(key) == f"{256 << 10}b"
+        deal(spark, 6_000_000)
+        assert spark.conf.get(key) == own
+        spark.conf.set(key, "-1")  # none at all stays none
+        deal(spark, 6_000_000, joins=True)
+        assert spark.conf.get(key) == "-1"
+    finally:
+        spark.conf.set(key, own)
+        deal(spark, 0)
+    assert spark.conf.get(key) == own
