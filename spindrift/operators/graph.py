@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,16 +84,30 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.take(pa.array(keep)).combine_chunks().to_batches()
 
 
+def _merged(made: Rounds, edges: DataFrame, contract: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, int]:
+    """Edges that partitions have contracted on their own, and how many are left: while they don't fit a task, as many as do
+    are contracted together, as long as that halves them. A chunk keeps fewer edges than it has vertices, so what is left
+    of a graph with few vertices fits a task after a few passes, and no rounds are needed."""
+    m = edges.count()
+    while m > CHUNK:
+        edges = made.write(edges.coalesce(-(-m // CHUNK)).mapInArrow(contract, edges.schema))
+        before, m = m, edges.count()
+        if m > before // 2:
+            break
+    return edges, m
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b, whole numbers. One row per vertex that has a link: `v`, `component` (the smallest vertex it reaches).
 
     Each partition sends on a star for each set of vertices that its own links connect, so that no more edges than vertices
-    leave it. If they fit a task, it finishes; else each round takes the smallest label among neighbours and then the label
+    leave it; chunks of these are contracted again while that halves them. If they fit a task, it finishes; else each round takes the smallest label among neighbours and then the label
     of that label, so the number of rounds grows with the logarithm of the longest path.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    links = materialise(links.mapInArrow(_stars, "a long, b long"), "links")
-    if links.count() <= CHUNK:
+    made = Rounds(links.sparkSession, "stars")
+    links, left = _merged(made, made.write(links.mapInArrow(_stars, "a long, b long")), _stars)
+    if left <= CHUNK:
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = list(_chunks(batches))
@@ -149,16 +163,16 @@ def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
     """A minimum spanning forest: rows i, j and the weight of undirected edges; ties go by i, then j.
 
     Each partition sends on the lightest forest of its own edges: what is heaviest on a ring of some edges is in no lightest
-    forest of all. If what is left fits a task, it finishes; else every component takes its lightest edge to another one
+    forest of all, nor of what several partitions send on together. If what is left fits a task, it finishes; else every component takes its lightest edge to another one
     and the components so linked become one, of which there are half as many at most, and so on.
     """
     pairs = a.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(weight).alias("w"))
     spark, kept, found = a.sparkSession, Rounds(a.sparkSession, "edges"), Rounds(a.sparkSession, "forest")
     edges = pairs.withColumns({"ci": F.col("i").cast("long"), "cj": F.col("j").cast("long")})
     kind = edges.schema
-    edges = kept.write(edges.mapInArrow(_forests, kind))
+    edges, left = _merged(kept, kept.write(edges.mapInArrow(_forests, kind)), _forests)
     forest = spark.createDataFrame([], edges.select("i", "j", "w").schema)
-    while edges.count() > CHUNK:
+    while left > CHUNK:
         both = edges.select("i", "j", "w", "ci", "cj", F.explode(F.array("ci", "cj")).alias("c"))
         lightest = both.groupBy("c").agg(F.min(F.struct("w", "i", "j", "ci", "cj")).alias("e")).select("e.*").distinct()
         lightest = materialise(lightest, "lightest")
@@ -168,7 +182,7 @@ def spanning_forest(a: DataFrame, weight: str = "w") -> DataFrame:
         side = lambda c: label.select(F.col("v").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
         edges = edges.join(side("ci"), "ci").join(side("cj"), "cj").where("nci <> ncj")
         edges = edges.select("i", "j", "w", F.col("nci").alias("ci"), F.col("ncj").alias("cj"))
-        edges = kept.write(edges.mapInArrow(_forests, edges.schema))
+        edges, left = _merged(kept, kept.write(edges.mapInArrow(_forests, edges.schema)), _forests)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = list(_chunks(batches))

@@ -62,7 +62,12 @@ def _walk_tree(pdf: pd.DataFrame) -> list[int]:
         if a != b:
             top[a] = b
             keep.append((i, j))
-    near = _adjacency(pd.DataFrame(keep, columns=["i", "j"]))
+    return _walk_down(pd.DataFrame(keep, columns=["i", "j"]))
+
+
+def _walk_down(pdf: pd.DataFrame) -> list[int]:
+    """A tree from its smallest vertex, parents first and smaller subtrees before larger ones."""
+    near = _adjacency(pdf)
     root = min(near)
     order, parent = [root], {root: root}
     for v in order:
@@ -81,9 +86,10 @@ def _walk_tree(pdf: pd.DataFrame) -> list[int]:
     return out
 
 
-def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _queue_order(edges: DataFrame, roots: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """v, step: what _walk_levels gives, in rounds. A level's vertices stand by the place of their earliest neighbour one
-    level up, then by the edge from it, then by id. edges: i, j, along, component; roots: the components to order, by their smallest vertex v."""
+    level up, then by the edge from it, then by id. edges: i, j, along, component; roots: the components to order, by their smallest vertex v.
+    A level needs the one before it whole, so task_edges plays no part."""
     steps = edges.select("component", F.col("i").alias("a"), F.col("j").alias("b"), "along")
     steps = materialise(steps.unionByName(steps.select("component", F.col("b").alias("a"), F.col("a").alias("b"), "along")), "steps")
     seen = front = materialise(roots.select("v", F.col("v").alias("component"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("nth")), "front")
@@ -101,14 +107,27 @@ def _queue_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(first, "component").select("v", (F.col("pos") - F.col("first")).alias("step"))
 
 
-def _tree_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """v, step: what _walk_tree gives, in rounds. edges: i, j, w, component; roots: v, tree (whether the component is a tree
-    already and so its own spanning tree)."""
+def _tree_order(edges: DataFrame, roots: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """v, step: what _walk_tree gives. edges: i, j, w, component; roots: v, n (vertices of the component), tree (whether it is
+    a tree already and so its own spanning tree). A spanning tree that a task can hold is walked in one, larger ones in rounds."""
     trees, others = (roots.where(c).select(F.col("v").alias("component")) for c in ("tree", "NOT tree"))
     forest = edges.join(trees, "component", "left_semi").select("i", "j")
     if not others.isEmpty():
         forest = forest.unionByName(spanning_forest(edges.join(others, "component", "left_semi")).select("i", "j"))
-    return visited(rooted(forest, roots)).select("v", F.col("pos").alias("step"))
+    few, many = (roots.where(F.coalesce(F.col("n") - 1 <= task_edges, F.lit(False)) == fits) for fits in (True, False))
+    if few.isEmpty():
+        return visited(rooted(forest, roots)).select("v", F.col("pos").alias("step"))
+    forest = materialise(edges.join(forest, ["i", "j"], "left_semi").select("i", "j", "component"), "trees")
+    of = lambda some: forest.join(some.select(F.col("v").alias("component")), "component", "left_semi")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _walk_down(pdf)
+        return pd.DataFrame({"v": found, "step": range(len(found))}, dtype="int64")
+
+    steps = of(few).groupBy("component").applyInPandas(lambda pdf: walk(pdf), "v long, step long")
+    if many.isEmpty():
+        return steps
+    return steps.unionByName(visited(rooted(of(many).select("i", "j"), many)).select("v", F.col("pos").alias("step")))
 
 
 def component_order(
@@ -129,7 +148,7 @@ def component_order(
     edges = materialise(edges.join(member.withColumnRenamed("v", "i"), "i"), "edges")
     vertices = member.groupBy("component").agg(F.count("*").alias("n"))
     sizes = edges.groupBy("component").agg(F.count("*").alias("m")).join(vertices, "component")
-    sizes = materialise(sizes.select("component", "m", (F.col("m") == F.col("n") - 1).alias("tree")), "sizes")
+    sizes = materialise(sizes.select("component", "m", "n", (F.col("m") == F.col("n") - 1).alias("tree")), "sizes")
     edges = edges.withColumn("w", F.md5(F.concat_ws(":", "i", "j")))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,9 +160,9 @@ def component_order(
     total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     calls = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // task_edges))
     steps = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")).applyInPandas(lambda pdf: order(pdf), "v long, step long")
-    large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"), "tree")
+    large = sizes.where(F.col("m") > task_edges).select(F.col("component").alias("v"), "n", "tree")
     if not large.isEmpty():
-        steps = steps.unionByName(rounds(edges.join(large.select(F.col("v").alias("component")), "component", "left_semi"), large))
+        steps = steps.unionByName(rounds(edges.join(large.select(F.col("v").alias("component")), "component", "left_semi"), large, task_edges))
     return member.join(steps, "v", "left").select("v", "component", F.coalesce("step", F.lit(0)).alias("step"))
 
 

@@ -436,6 +436,7 @@ def linear_order_weighted(spark, d):
 
 def _levels(spark, d, block=True, prune=True, levels=4, kind="user"):
     a, n = graphs.user_steps(spark, d) if kind == "user" else graphs.trade_tree(spark, d)
+    a = materialise(a, "entries")  # peeled once, and read again for what it is held against
     return peel.peel(spark, a, n, max(2, n // 8), levels, block, prune), a, n
 
 

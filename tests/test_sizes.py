@@ -1,7 +1,10 @@
 """What grows with the input: tasks, not what one of them holds."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from spindrift.functions import matrix
-from spindrift.operators import graph, spmm
+from spindrift.operators import graph, linear_order, spmm
 from spindrift.sources import files
 from spindrift.storage import deal
 
@@ -106,3 +109,30 @@ def test_joins_of_a_large_graph_broadcast_small_tables_only(spark):
         spark.conf.set(key, own)
         deal(spark, 0)
     assert spark.conf.get(key) == own
+
+
+def _dense_graph(spark, n, m):
+    rng = np.random.default_rng(n)
+    pairs = sorted({(int(i), int(j)) for i, j in rng.integers(0, n, (m, 2)) if i != j})
+    return spark.createDataFrame(pairs, "i long, j long").repartition(6)
+
+
+def test_few_vertices_need_no_rounds(spark, monkeypatch):
+    """What partitions send on is contracted together while that halves it: 6 forests of 39 edges fit tasks of 120."""
+    monkeypatch.setattr(graph, "CHUNK", 120)
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name="step", f=graph.materialise: written.append(name) or f(df, name))
+    a = _dense_graph(spark, 40, 900).withColumn("w", (F.col("i") * 31 + F.col("j") * 17) % 101)
+    forest = graph.spanning_forest(a)
+    assert forest.count() == 39 and {r["component"] for r in graph.components(a.selectExpr("i AS a", "j AS b")).collect()} == {0}
+    assert written == ["forest", "labels"]  # no table of a round
+
+
+def test_a_tree_that_fits_a_task_is_walked_in_it(spark, monkeypatch):
+    """A component of too many edges for a task, whose spanning tree fits one, is ordered without tours and doubling."""
+    a, vertices = _dense_graph(spark, 60, 700), spark.range(62).withColumnRenamed("id", "v")
+    order = lambda edges: {r["v"]: r["step"] for r in linear_order.component_order(a, vertices, "forest", edges).collect()}
+    rooted, want = [], order(10**6)
+    monkeypatch.setattr(linear_order, "rooted", lambda *x, f=linear_order.rooted: rooted.append(1) or f(*x))
+    assert order(100) == want and not rooted
+    assert order(20) == want and rooted == [1]
