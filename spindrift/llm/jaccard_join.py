@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from ..storage import Scratch
+from ..storage import Scratch, small_batches
 from .common import partitions, table, with_ids
 from .shingles import shingle_set
 
@@ -26,7 +26,7 @@ FREQUENT, LEAST = 1 << 17, 8
 #: n-grams, eight bytes each, that a task holds before it packs them.
 HELD = 1 << 21
 #: Entries of prefixes, 24 bytes each, that a task holds before it passes them on.
-PASSED = 1 << 18
+PASSED = 1 << 16
 #: Documents to verify, eight bytes each, up to which their ids are sent to the texts.
 SENT = 1 << 22
 #: Pairs to verify, of four numbers, up to which they are sent to the sets.
@@ -50,11 +50,16 @@ def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
     next 32 bits of all its n-grams."""
 
     def packed(held: list[np.ndarray]) -> pd.DataFrame:
-        s = np.sort(np.concatenate(held))
-        of = (s >> np.uint64(64 - bits)).astype(np.int64)
+        s = np.concatenate(held)
+        held.clear()  # there are many, so few copies of them are made
+        s.sort()
+        of = s >> np.uint64(64 - bits)
         at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        low = ((s >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        return pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, **dict.fromkeys(BRIEFS, 0), "bucket": of[at], "grams": [x.tobytes() for x in np.split(low, at[1:])]})
+        buckets = of[at].astype(np.int64)
+        del of
+        s >>= np.uint64(32 - bits)
+        low = s.astype("<u4")  # its last 32 bits
+        return pd.DataFrame({"id": -1, "n": 0, "digest": None, "parts": None, **dict.fromkeys(BRIEFS, 0), "bucket": buckets, "grams": [x.tobytes() for x in np.split(low, at[1:])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -71,7 +76,7 @@ def _survey(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 size += len(s)
                 if size >= HELD:
                     yield packed(held)
-                    held, size = [], 0
+                    size = 0
             yield pd.DataFrame(rows, columns=["id", "n", "digest", "parts", *BRIEFS, "bucket", "grams"])
         if size:
             yield packed(held)
@@ -172,7 +177,7 @@ def _parts_agree(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
     """Suffix filter: what two sets differ by is at least the sum of the differences of their parts' sizes."""
     if not len(x):
         return pd.Series([], dtype=bool)
-    a, b = (np.frombuffer(b"".join(s), "<u2").reshape(-1, PARTS).astype(np.int64) for s in (x, y))
+    a, b = (np.frombuffer(b"".join(s), "<u2").reshape(-1, PARTS).astype(np.int32) for s in (x, y))
     return pd.Series(np.abs(a - b).sum(1) <= most.to_numpy())
 
 
@@ -262,6 +267,12 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     number of pairs that is linear in the group; then rows in different components still, as _other_pairs says. No pair
     that can link is left out, none is verified twice, and a group whose rows are tied is not expanded into its pairs.
     """
+    with small_batches(df.sparkSession):
+        return _components(df, key, text, words, share)
+
+
+def _components(df: DataFrame, key: str, text: str, words: int, share: int) -> DataFrame:
+    """The rows of similar_components; what is left to run then is joins of written tables, without Python."""
     docs, names = with_ids(df, key, text)
     scratch = Scratch(df.sparkSession, "jaccard")
     bits = min(24, max(4, (4 * partitions(df.sparkSession) - 1).bit_length()))

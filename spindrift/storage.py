@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 TASK_ROWS, TASK_BYTES = 250_000, {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20}
 #: Bytes of a table, as planned, up to which a join may send it to the driver and all tasks, where a query has many joins.
 BROADCAST_BYTES = 256 << 10
+#: Bytes of rows that Spark sends to a Python worker at once, where texts or sets go there.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PARTITIONS, _BROADCAST, _DEALT = "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spindrift.dealt"
 
 
@@ -53,6 +58,22 @@ def deal(spark: SparkSession, rows: int, joins: bool = False) -> None:
     spark.conf.set(_DEALT, json.dumps({k: [own[k], v] for k, v in wanted.items()}))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within sends rows to Python in batches of BATCH_BYTES, or of less if the session says so: a batch of 10,000
+    texts, however long, is held several times over, by the executor outside its heap and by the worker."""
+    own = spark.conf.get(_BATCH, None)
+    if own is None or _bytes(own) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, own)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df and read it back: ends its lineage and gives the optimiser true sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

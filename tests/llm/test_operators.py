@@ -467,6 +467,27 @@ def test_jaccard_of_shared_sentences(spark, monkeypatch):
         assert dict(seen)["more"] < n / 50
 
 
+@pytest.mark.parametrize("own", [None, "1m", "64m"])
+def test_jaccard_sends_long_texts_in_small_batches(spark, own, monkeypatch):
+    """600 texts of 20 KB, 12 MB in one partition, go to Python in batches of 4 MB or what the session sets, which stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(8)], F.repeat(F.lit("y"), 20_000)).alias("text"))
+    seen = []
+    sizes = lambda batches: (pd.DataFrame({"bytes": [int(b["text"].str.len().sum())]}) for b in batches)
+    survey = jaccard_join._survey
+    monkeypatch.setattr(jaccard_join, "_survey", lambda docs, *a: (seen.extend(r["bytes"] for r in docs.mapInPandas(sizes, "bytes long").collect()), survey(docs, *a))[1])
+    before = spark.conf.get(name, None)
+    if own:
+        spark.conf.set(name, own)
+    try:
+        got = jaccard_join.similar_components(rows, words=4, share=85).collect()
+        assert spark.conf.get(name, None) == (own or before)
+    finally:
+        spark.conf.unset(name)
+    assert sorted(map(tuple, got)) == [(k, 6, k) for k in range(600)]
+    assert sum(seen) > 12_000_000 and max(seen) < (1 if own == "1m" else 4) * 1024 * 1024 + 65_536
+
+
 def test_null_and_repeated_keys(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(None, text(0), "a"), (None, text(1), "a"), (7, text(2), "a"), (7, text(1), "a"), (9, text(2), "a"), (7, text(3), "a")]
