@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,25 +28,55 @@ LONG_WORD = 32
 STEP, NOISE, RATE = 1024, 64, 0.07
 #: Bytes of text, about, that the common start is learned from, in one task; then every partition learns from all its texts.
 START_BYTES = 8 << 20
+#: Bytes of texts, about, whose words are held as arrays at once; a text stays whole.
+PIECE = 8 << 20
 #: Stands for the end of a text: no word has white space.
 END = b"\n"
 SMOOTH = 0.5
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased: of bytes, `lower` and `split` know these characters only."""
-    return text.lower().split()
-
-
 def word_key(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b" " + xxhash.xxh3_128_digest(word)
 
 
-def _keys(text: bytes) -> list[bytes]:
-    words = split_words(text)
-    if len(text) > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:
-        words = [word_key(w) for w in words]
-    return words
+@dataclass
+class Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lower-cased: the keys of the distinct ones, the number of its key for each word, and
+    before which word each text begins, and the last one ends."""
+
+    keys: pa.Array
+    at: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """Arrow's functions of ASCII work on bytes and know these characters only."""
+        strings = texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(strings))
+        flat, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
+        filled = pc.binary_length(flat).to_numpy() > 0  # white space at the ends of a text leaves empty ones
+        if not filled.all():
+            flat, starts = flat.filter(pa.array(filled)), np.append(0, np.cumsum(filled))[starts]
+        found = flat.dictionary_encode()
+        keys = found.dictionary.cast(pa.binary())
+        long = pc.greater(pc.binary_length(keys), LONG_WORD)
+        if pc.any(long).as_py():
+            keys = pc.replace_with_mask(keys, long, pa.array([word_key(w) for w in keys.filter(long).to_pylist()], pa.binary()))
+        return cls(keys, found.indices.to_numpy(), starts)
+
+    def numbers(self, known: pa.Array, unknown: int) -> np.ndarray:
+        """Of each key its place among `known`."""
+        return pc.index_in(self.keys, known).fill_null(unknown).to_numpy().astype(np.int64)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, about PIECE bytes of `text` at a time."""
+    for batch in batches:
+        if batch.num_rows:
+            before = np.cumsum(np.append(0, pc.binary_length(batch["text"]).to_numpy()[:-1].astype(np.int64)))
+            cuts = [*np.flatnonzero(np.diff(before // PIECE, prepend=-1)).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.slice(i, j - i)
 
 
 @dataclass
@@ -89,20 +119,50 @@ def _noise(counts: np.ndarray) -> np.ndarray:
     return (counts + SMOOTH) / (counts + SMOOTH).sum()
 
 
-def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, and the sum of the rows of each."""
-    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
-    at = at.take(order)
-    head = np.flatnonzero(np.diff(at, prepend=-1))
-    return at.take(head), np.add.reduceat(rows.take(order, 0), head)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+@dataclass
+class _Groups:
+    """The distinct numbers of a list (`which`), to add rows of the list up by number and to give each place its number's row."""
 
+    at: np.ndarray
+    order: np.ndarray
+    head: np.ndarray
+    which: np.ndarray
 
-def _contexts(texts: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Steps of word numbers: the word two before, the one before, the word. A text begins as if after two ends."""
+    @classmethod
+    def of(cls, lists: np.ndarray, kinds: int) -> Iterator[_Groups]:
+        """Of each row of `lists`, sorted all at once; numbers are less than kinds."""
+        order = np.argsort(lists.astype(np.uint16) if kinds <= 1 << 16 else lists, axis=1, kind="stable")
+        ordered = np.take_along_axis(lists, order, 1)
+        new = np.ones(lists.shape, bool)
+        np.not_equal(ordered[:, 1:], ordered[:, :-1], out=new[:, 1:])
+        for k in range(len(lists)):
+            head = np.flatnonzero(new[k])
+            yield cls(lists[k], order[k], head, ordered[k].take(head))
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Of each distinct number the sum of its rows. Two float32 are added as one complex number: half as many sums."""
+        rows = rows.take(self.order, 0)
+        if rows.shape[1] % 2:
+            return np.add.reduceat(rows, self.head)
+        return np.add.reduceat(rows.view(np.complex64), self.head).view(np.float32)
+
+    def each(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each place of the list the row of its number; `place` is written over."""
+        place[self.which] = np.arange(len(self.which))
+        return rows.take(place.take(self.at), 0)
+
+
+def _inverse_exp(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    with np.errstate(over="ignore"):  # the exponential of a large number: 0 is right
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(np.float32(1), x, out=x)
+
+
+def _contexts(texts: Iterable[np.ndarray], end: int) -> Iterator[np.ndarray]:
+    """Steps of word numbers, several of one size at once: the word two before, the one before and the word, of each step and
+    token. A text begins as if after two ends."""
     held, size = [], 0
     for words in texts:
         for i in range(0, len(words), 64 * STEP):  # long texts in pieces
@@ -116,11 +176,13 @@ def _contexts(texts: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarra
         yield from _steps(held)
 
 
-def _steps(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _steps(held: list[np.ndarray]) -> Iterator[np.ndarray]:
     joined = np.concatenate(held, 1)
     joined = joined[:, np.random.default_rng(joined.shape[1]).permutation(joined.shape[1])]  # neighbours are alike
-    for i in range(0, joined.shape[1], STEP):
-        yield tuple(joined[:, i : i + STEP])
+    full = joined.shape[1] // STEP * STEP
+    for part in (joined[:, :full].reshape(3, -1, STEP), joined[:, None, full:]):
+        if part.size:
+            yield part
 
 
 def train(model: Parameters, texts: Iterable[np.ndarray], counts: np.ndarray, end: int, seed: int = 0) -> tuple[Parameters, int]:
@@ -128,37 +190,53 @@ def train(model: Parameters, texts: Iterable[np.ndarray], counts: np.ndarray, en
 
     Noise-contrastive estimation: a logistic loss tells each word from NOISE words drawn by the words' shares, which the
     tokens of a step have in common, so that scores are matrix products. Steps shrink number by number as gradients sum up.
+    A step's products with the matrices, and their gradients, take a row for each distinct word, not for each token. A bias,
+    less the logarithm of the word's share of noise, is one more number of the word's vector, times a number 1 of the context's.
     """
     random, share = np.random.default_rng(seed), _noise(counts)
     cumulated, log_share = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
-    seen, nxt, bias, turn = model.seen.copy(), model.next.copy(), model.bias.copy(), model.turn.copy()
-    energy = tuple(e.copy() for e in model.energy)
-    tokens = 0
+    seen, turn, energy = model.seen.copy(), model.turn.copy(), tuple(e.copy() for e in model.energy)
+    kinds, width = seen.shape
+    nxt = np.zeros((kinds, width + 1 + (width + 1) % 2), np.float32)  # of an even width, for sums
+    nxt[:, :width], nxt[:, width] = model.next, model.bias - log_share
+    g_seen, place, tokens = np.empty_like(seen), np.empty(kinds, np.int64), 0
 
-    def move(x: np.ndarray, e: np.ndarray, at, gradient: np.ndarray) -> None:
+    def shorten(e: np.ndarray, at, gradient: np.ndarray) -> np.ndarray:
         e[at] = now = e[at] + (np.einsum("...i,...i", gradient, gradient) / gradient.shape[-1])
-        x[at] -= (RATE / np.sqrt(now))[..., None] * gradient
-
-    for two, one, word in _contexts(texts, end):
-        tokens += len(word)
-        noise = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), len(share) - 1)
-        a, b = seen.take(two, 0), seen.take(one, 0)
-        h = a @ turn[0] + b @ turn[1]
-        own, other = nxt.take(word, 0), nxt.take(noise, 0)
-        g_true = _sigmoid(np.einsum("ij,ij->i", h, own) + (bias.take(word) - log_share.take(word))) - 1
-        g_false = _sigmoid(h @ other.T + (bias[noise] - log_share[noise]))
-        g_h = g_true[:, None] * own + g_false @ other
-        rows = np.empty((len(word) + NOISE, h.shape[1] + 1), np.float32)
-        np.multiply(g_true[:, None], h, out=rows[:-NOISE, :-1])
-        np.matmul(g_false.T, h, out=rows[-NOISE:, :-1])
-        rows[:-NOISE, -1], rows[-NOISE:, -1] = g_true, g_false.sum(0)
-        at, rows = _sums(np.concatenate([word, noise]), rows)
-        move(nxt, energy[1], at, rows[:, :-1])
-        move(bias[:, None], energy[2], at, rows[:, -1:])
-        at, rows = _sums(np.concatenate([two, one]), np.concatenate([g_h @ turn[0].T, g_h @ turn[1].T]))
-        move(turn, energy[3], slice(None), np.stack([a.T @ g_h, b.T @ g_h]))
-        move(seen, energy[0], at, rows)
-    return Parameters(seen, nxt, bias, turn, energy), tokens
+        gradient *= (RATE / np.sqrt(now))[..., None]
+        return gradient
+
+    for block in _contexts(texts, end):
+        tokens += block[0].size
+        steps, n = block.shape[1:]
+        noises = np.minimum(np.searchsorted(cumulated, random.random((steps, NOISE))), kinds - 1)
+        groups = zip(*(_Groups.of(x, kinds) for x in (block[0], block[1], np.concatenate([block[2], noises], 1))), strict=True)
+        h, rows, g_false = (np.zeros(x, np.float32) for x in ((n, nxt.shape[1]), (n + NOISE, nxt.shape[1]), (n, NOISE)))
+        h[:, width] = 1
+        for word, noise, (by_two, by_one, by_next) in zip(block[2], noises, groups, strict=True):
+            a, b = seen.take(by_two.which, 0), seen.take(by_one.which, 0)
+            np.add(by_two.each(a @ turn[0], place), by_one.each(b @ turn[1], place), out=h[:, :width])
+            own, other = nxt.take(word, 0), nxt.take(noise, 0)
+            g_true = -_inverse_exp(np.einsum("ij,ij->i", h, own))[:, None]
+            _inverse_exp(np.matmul(h, -other.T, out=g_false))
+            np.multiply(g_true, h, out=rows[:n])
+            np.matmul(g_false.T, h, out=rows[n:])
+            own *= g_true
+            g_h = g_false @ other[:, :width]
+            g_h += own[:, :width]
+            g_two, g_one, g_next = by_two.sums(g_h), by_one.sums(g_h), by_next.sums(rows)
+            shorten(energy[1], by_next.which, g_next[:, :width])
+            shorten(energy[2], by_next.which, g_next[:, width : width + 1])
+            nxt[by_next.which] -= g_next
+            g_seen[by_one.which] = 0
+            g_seen[by_two.which] = g_two @ turn[0].T
+            g_seen[by_one.which] += g_one @ turn[1].T
+            used = np.zeros(kinds, bool)
+            used[by_two.which] = used[by_one.which] = True
+            at = np.flatnonzero(used)
+            turn -= shorten(energy[3], slice(None), np.stack([a.T @ g_two, b.T @ g_one]))
+            seen[at] -= shorten(energy[0], at, g_seen.take(at, 0))
+    return Parameters(seen, nxt[:, :width].copy(), nxt[:, width] + log_share, turn, energy), tokens
 
 
 @dataclass
@@ -185,10 +263,13 @@ class Tables:
             total[i, j] = z.max() + np.log(np.exp(z - z.max()).sum())
         return cls(two, one, total)
 
-    def log10(self, words: np.ndarray, end: int) -> np.ndarray:
-        """Of each word of a text its normalised log10 probability after the two before it."""
+    def log10(self, words: np.ndarray, end: int, starts: np.ndarray | None = None) -> np.ndarray:
+        """Of each word its normalised log10 probability after the two before it: of one text, or of several in a row, of which
+        each begins at one of `starts` and ends with `end`."""
         before = np.concatenate([[end, end], words])
-        i, j = before[:-2], before[1:-1]
+        i, j = before[:-2].copy(), before[1:-1]
+        if starts is not None:
+            i[starts] = end
         return (self.two[i, words].astype(float) + self.one[j, words] - self.total[i, j]) / np.log(10)
 
 
@@ -227,27 +308,32 @@ def _is_training(doc_id: Column) -> Column:
 def word_counts(texts: DataFrame) -> DataFrame:
     """`word` (its key) and `n` over all texts (column `text`, binary), their ends included."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                held.update(_keys(text))
-                if len(held) > 1 << 20:
-                    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
-                    held.clear()
-            held[END] += len(batch)
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in _pieces(batches):
+            words = Words.of(batch["text"])
+            n = np.bincount(words.at, minlength=len(words.keys))
+            held += [pa.table({"word": w, "n": pa.array(k, pa.int64())}) for w, k in ((words.keys, n), (pa.array([END], pa.binary()), [batch.num_rows]))]
+            if sum(map(len, held)) > 1 << 20:
+                held = [summed(held)]
+                if len(held[0]) > 1 << 19:
+                    yield from held.pop().to_batches()
         if held:
-            yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+            yield from summed(held).to_batches()
 
-    return texts.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _numbered(texts: Iterable[bytes], numbers: dict[bytes, int], size: int) -> Iterator[np.ndarray]:
-    end = min(numbers[END], size)
-    for text in texts:
-        keys = _keys(text)
-        found = np.fromiter((numbers.get(w, size) for w in keys), np.int64, len(keys))
-        yield np.append(np.minimum(found, size), end)
+def _numbered(batches: Iterable[pa.RecordBatch], words: pa.Array, end: int) -> Iterator[np.ndarray]:
+    """The numbers of each text's words, their places among `words` or the number after all these, and of its end."""
+    for batch in _pieces(batches):
+        found = Words.of(batch["text"])
+        at = found.numbers(words, len(words)).take(found.at)
+        for i, j in zip(found.starts[:-1].tolist(), found.starts[1:].tolist(), strict=True):
+            yield np.append(at[i:j], end)
 
 
 def fit_language(texts: DataFrame, vocabulary: int = VOCABULARY, width: int = WIDTH, sent: int = SENT_WORDS, start_bytes: int = START_BYTES) -> tuple[Language, DataFrame]:
@@ -290,19 +376,19 @@ def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 def _pass(texts: DataFrame, model: Language, parameters: Parameters) -> Parameters:
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((parameters, model.words[: model.size], model.class_counts, int(END in model.words[: model.size])))
+    shared = spark.sparkContext.broadcast((parameters, model.words[: model.size], model.class_counts))
     columns = [f"x{k}" for k in range(parameters.rows().shape[1])]
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, words, counts, _ = shared.value
-        numbers = {w: k for k, w in enumerate(words)}
-        numbers.setdefault(END, len(words))
-        found, tokens = train(start, _numbered((t for b in batches for t in b["text"]), numbers, len(words)), counts, numbers[END])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, words, counts = shared.value
+        end = words.index(END) if END in words else len(words)
+        found, tokens = train(start, _numbered(batches, pa.array(words, pa.binary()), end), counts, end)
         if tokens:
-            rows = pd.DataFrame(found.rows().astype(float) * tokens, columns=columns)
-            yield rows.assign(row=np.arange(len(rows)), tokens=tokens)
+            rows = found.rows().astype(float) * tokens
+            more = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), tokens), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(rows.T)), *more], names=[*columns, "row", "tokens"])
 
-    learned = texts.mapInPandas(learn, ", ".join(f"{c} double" for c in columns) + ", row int, tokens long")
+    learned = texts.mapInArrow(learn, ", ".join(f"{c} double" for c in columns) + ", row int, tokens long")
     sums = learned.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns], F.sum("tokens").alias("tokens")).toPandas().sort_values("row")
     if not len(sums):
         return parameters
@@ -310,15 +396,20 @@ def _pass(texts: DataFrame, model: Language, parameters: Parameters) -> Paramete
 
 
 def _scorer(shared) -> tuple:
-    """What a worker makes once of a model: numbers of words, tables, logarithms of their shares, alone and in their class."""
+    """What a worker makes once of a model: words, tables, logarithms of their shares, alone and in their class."""
     if getattr(shared, "_scorer", None) is None:
         model = shared.value
         logs = np.log10((model.counts + SMOOTH) / model.base_total()) if model.tokens else np.zeros(len(model.counts))
         other = np.log10((model.counts[model.size :] + SMOOTH) / model.other_total())
-        shared._scorer = model, model.numbers(), Tables.of(model.parameters) if model.parameters else None, logs, other
+        shared._scorer = model, pa.array(model.words, pa.binary()), Tables.of(model.parameters) if model.parameters else None, logs, other
     return shared._scorer
 
 
+def _by_text(row: np.ndarray, at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Of n texts the sum of their words' values, by each word's text and its place among the values."""
+    return np.bincount(row, values.take(at), n)
+
+
 def score_texts(df: DataFrame, model: Language, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row: key, `n_tokens`, `n_known`, `train_tokens` long, `base_score`, `score` double.
 
@@ -334,24 +425,28 @@ def score_texts(df: DataFrame, model: Language, counts: DataFrame, key: str = "d
     kind = df.schema[key].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, numbers, tables, logs, other = _scorer(shared)
-        size, end = held.size, numbers[END]
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                keys = _keys(text.as_buffer().to_pybytes())
-                at = np.fromiter((numbers.get(w, -1) for w in keys), np.int64, len(keys))
-                rare = Counter(w for w, k in zip(keys, at.tolist(), strict=True) if k < 0) if (at < 0).any() else {}
-                at = np.append(at, end)
-                known = at[at >= 0]
-                line = base = float(logs[known].sum())
-                if tables is not None:
-                    classes = np.where((at < 0) | (at >= size), size, at)
-                    line = float(tables.log10(classes, min(end, size)).sum() + other[known[known >= size] - size].sum())
-                out.append((len(at), int((held.counts[known] > 0).sum()), base, line, list(rare.keys()), list(rare.values())))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["key"], *arrays], names=["key", *names])
+        held, numbered, tables, logs, other = _scorer(shared)
+        size, end = held.size, held.words.index(END)
+        for batch in _pieces(batches):
+            words, n = Words.of(batch["text"]), batch.num_rows
+            tokens = np.diff(words.starts) + 1
+            row = np.repeat(np.arange(n), tokens - 1)
+            number = words.numbers(numbered, -1)
+            sent, new = number >= 0, number >= size
+            known = _by_text(row, words.at, sent & (held.counts.take(number) > 0), n) + (held.counts[end] > 0)
+            base = line = _by_text(row, words.at, np.where(sent, logs.take(number), 0), n) + logs[end]
+            if tables is not None:
+                classes = np.full(tokens.sum(), min(end, size))  # of all words and ends; all but the ends follow
+                classes[np.arange(len(row)) + row] = np.where(sent, np.minimum(number, size), size).take(words.at)
+                line = np.bincount(np.repeat(np.arange(n), tokens), tables.log10(classes, min(end, size), words.starts[:-1] + np.arange(n)), n)
+                line += _by_text(row, words.at, np.append(other, 0).take(np.where(new, number - size, -1)), n) + (other[end - size] if end >= size else 0)
+            rare = np.flatnonzero(~sent.take(words.at))
+            pairs, times = np.unique(row.take(rare) * len(words.keys) + words.at.take(rare), return_counts=True)
+            starts = np.searchsorted(pairs, np.arange(n + 1) * len(words.keys)).astype(np.int32)
+            which = words.keys.take(pa.array(pairs % max(1, len(words.keys))))
+            lists = [pa.ListArray.from_arrays(starts, x) for x in (which, pa.array(times, pa.int64()))]
+            columns = [pa.array(x, t) for x, t in zip((tokens, known.astype(np.int64), base, line), types, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch["key"], *columns, *lists], names=["key", *names])
 
     names = ["n_tokens", "n_known", "base_score", "score", "words", "times"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]

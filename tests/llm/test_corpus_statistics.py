@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -244,3 +246,75 @@ def test_gradient_steps_follow_the_context():
     model, tokens = log_bilinear.train(log_bilinear.Parameters.start(counts, 8), [words], counts, 3)
     after = log_bilinear.Tables.of(model).log10(np.array([0, 1, 2, 3, 0, 1]), 3)
     assert tokens == len(words) and after[2:].min() > math.log10(0.7)
+
+
+def _plain_train(start, words, counts, end):
+    """The definition of `train`, token by token: products, noise and sums of a step take a row for each token."""
+    random, share = np.random.default_rng(0), log_bilinear._noise(counts)
+    seen, nxt, bias, turn = (x.astype(float) for x in (start.seen, start.next, start.bias, start.turn))
+    energy, noise_share = [e.astype(float) for e in start.energy], np.log(share * log_bilinear.NOISE)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def move(x, e, gradient, at=None):
+        at = slice(None) if at is None else np.unique(at)
+        e[at] += (gradient[at] ** 2).mean(-1)
+        x[at] -= (log_bilinear.RATE / np.sqrt(e[at]))[..., None] * gradient[at]
+
+    steps = [(block[:, k]) for block in log_bilinear._contexts([words], end) for k in range(block.shape[1])]
+    for two, one, word in steps:
+        noise = np.minimum(np.searchsorted(np.cumsum(share), random.random(log_bilinear.NOISE)), len(share) - 1)
+        h = seen[two] @ turn[0] + seen[one] @ turn[1]
+        g_true = sigmoid((h * nxt[word]).sum(1) + (bias - noise_share)[word]) - 1
+        g_false = sigmoid(h @ nxt[noise].T + (bias - noise_share)[noise])
+        g_h = g_true[:, None] * nxt[word] + g_false @ nxt[noise]
+        g_next, g_bias, g_seen = np.zeros_like(nxt), np.zeros((len(bias), 1)), np.zeros_like(seen)
+        np.add.at(g_next, word, g_true[:, None] * h)
+        np.add.at(g_next, noise, g_false.T @ h)
+        np.add.at(g_bias, word, g_true[:, None])
+        np.add.at(g_bias, noise, g_false.sum(0)[:, None])
+        np.add.at(g_seen, two, g_h @ turn[0].T)
+        np.add.at(g_seen, one, g_h @ turn[1].T)
+        g_turn = np.stack([seen[two].T @ g_h, seen[one].T @ g_h])
+        move(nxt, energy[1], g_next, np.append(word, noise))
+        move(bias[:, None], energy[2], g_bias, np.append(word, noise))
+        move(turn, energy[3], g_turn)
+        move(seen, energy[0], g_seen, np.append(two, one))
+    return seen, nxt, bias, turn, *energy
+
+
+@pytest.mark.parametrize("width", [8, 7])
+def test_steps_by_distinct_words_equal_steps_by_tokens(width):
+    words = np.append(np.random.default_rng(3).zipf(1.5, 3 * log_bilinear.STEP + 77) % 60, 0)
+    counts = np.bincount(words, minlength=61).astype(float)
+    start = log_bilinear.Parameters.start(counts, width)
+    found, tokens = log_bilinear.train(start, [words], counts, 0)
+    assert tokens == len(words)
+    for got, want in zip([found.seen, found.next, found.bias, found.turn, *found.energy], _plain_train(start, words, counts, 0), strict=True):
+        np.testing.assert_allclose(got, want, rtol=2e-3, atol=2e-4)
+
+
+def test_distinct_words_are_looked_up_once_and_those_of_texts_are_all_there(monkeypatch):
+    texts = [b"  A b\x0bC\x1c\xc3\x84 \xc2\xa0x ", b"", b" ", b"b a b a B", b"\xff\xfe Z\n\n", b"y" * 32 + b" " + b"Y" * 33 + b" " + b"y" * 33, b"a\x00b c"] * 9
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t))
+    asked = []
+    monkeypatch.setattr(log_bilinear, "word_key", lambda w, key=log_bilinear.word_key: asked.append(w) or key(w))
+    for kind in (pa.binary(), pa.large_binary()):
+        found = log_bilinear.Words.of(pa.array(texts, kind).slice(2))
+        keys = found.keys.to_pylist()
+        assert [[keys[k] for k in found.at[i:j]] for i, j in zip(found.starts[:-1], found.starts[1:])] == [[w if len(w) < 33 else b" " + xxhash.xxh3_128_digest(w) for w in split(t)] for t in texts[2:]]
+        assert len(keys) == len(set(keys)) == len({w for t in texts[2:] for w in split(t)})
+    assert asked == [b"y" * 33] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    monkeypatch.setattr(log_bilinear, "PIECE", 40)
+    pieces = list(log_bilinear._pieces([batch, batch.slice(0, 0), batch.slice(3)]))
+    assert len(pieces) > 9 and [t for p in pieces for t in p["text"].to_pylist()] == texts + texts[3:]
+    known = pa.array([b"b", b"a"], pa.binary())
+    assert [x.tolist() for x in log_bilinear._numbered([batch], known, 5)] == [[{b"b": 0, b"a": 1}.get(w, 2) for w in split(t)] + [5] for t in texts]
+
+
+def test_texts_in_a_row_score_as_each_does_alone():
+    counts = np.arange(1.0, 7)
+    tables = log_bilinear.Tables.of(log_bilinear.Parameters.start(counts, 4, seed=5))
+    texts = [np.append(np.random.default_rng(k).integers(0, 5, k % 4), 5) for k in range(30)]
+    together = tables.log10(np.concatenate(texts), 5, np.cumsum([0, *map(len, texts[:-1])]))
+    np.testing.assert_array_equal(together, np.concatenate([tables.log10(t, 5) for t in texts]))
